@@ -94,7 +94,7 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
-def text_slices(batches, max_chars: int = 16 << 20):
+def text_slices(batches, max_chars: int = 8 << 20):
     """(batch slice, texts as str with null as None), at most about ``max_chars``
     of text at a time, so that memory does not depend on how rows are batched."""
     for b in batches:

@@ -153,14 +153,14 @@ def count_edits(docs: DataFrame, tokenizer: str, edits=edits_of, leaf_chars: int
         enc = WordEncoder.open(tokenizer)
         for rows, texts in text_slices(batches):
             cols: list[list] = [[] for _ in range(5)]
-            for text in texts:
-                tree = TokenTree(text or "", enc, leaf_chars)
-                before, built = tree.total, tree.encoded_chars
-                n = tree.n_chars
-                for edit in edits(text or ""):
-                    tree.edit(*edit)
-                for c, v in zip(cols, (n, before, tree.total, tree.encoded_chars - built, len(tree.blocks))):
-                    c.append(v)
+            with enc.loaded(texts):
+                for text in texts:
+                    tree = TokenTree(text or "", enc, leaf_chars)
+                    before, built, n = tree.total, tree.encoded_chars, tree.n_chars
+                    for edit in edits(text or ""):
+                        tree.edit(*edit)
+                    for c, v in zip(cols, (n, before, tree.total, tree.encoded_chars - built, len(tree.blocks))):
+                        c.append(v)
             yield batch(schema, [rows.column(0), *cols])
 
     return docs_view(docs, "doc_id", "text").mapInArrow(run, _COUNTS)

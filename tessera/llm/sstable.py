@@ -6,7 +6,7 @@ row end), which the offsets count.
 
 * key: empty for a null id, else the id as 8 big-endian bytes with the sign bit
   turned, so that bytes sort as numbers and null comes first;
-* block: zlib of entries ``varint shared, varint unshared, varint value bytes,
+* block: zstd of entries ``varint shared, varint unshared, varint value bytes,
   key suffix, value``; keys share a prefix with the entry before, a block's first
   entry shares nothing;
 * index: for each block ``first key (varint length, bytes), varint offset, length,
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import bisect
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +101,7 @@ class ShardWriter:
         return self._block() if len(self.body) >= self.block_bytes else None
 
     def _block(self) -> bytes:
-        data = zlib.compress(bytes(self.body), 1)
+        data = zstandard.ZstdCompressor(level=1).compress(bytes(self.body))
         self.index.append(b"".join((_varint(len(self.first)), self.first, *map(_varint, (self.at, len(data), self.n, self.t)))))
         self.at += len(data) + 1
         self.docs, self.tokens = self.docs + self.n, self.tokens + self.t
@@ -155,7 +155,7 @@ class Shard:
 
     def entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
         _, offset, length, _, _ = self.blocks[block]
-        body, at, key = zlib.decompress(self.data[offset : offset + length]), 0, b""
+        body, at, key = zstandard.ZstdDecompressor().decompress(self.data[offset : offset + length]), 0, b""
         while at < len(body):
             shared, at = _read_varint(body, at)
             unshared, at = _read_varint(body, at)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from contextlib import contextmanager
+
 import numpy as np
 
 from ._shared import quiet_env
@@ -10,17 +13,22 @@ _PROBES = ("ab cd", "It's 12 o'clock\nnow", "x  y\n\nz ", "á b ́c", "(a) <|b|
 _OPEN: dict[str, "WordEncoder"] = {}
 
 
+#: Stands between words that are encoded together; words whose ids hold its id too are encoded alone.
+_BETWEEN, _TOGETHER = "~", 128
+
+
 class WordEncoder:
     """Encodes with a ``tokenizers`` file.
 
     A tokenizer that drops white space gives, for a text, the ids of its
     space-separated pieces one after another; then each distinct piece is encoded
     once and looked up afterwards.  Whether that holds is probed when the file is
-    opened; otherwise whole texts are encoded.  Pieces over ``max_piece``
-    characters are not kept, and the cache is emptied at ``limit`` pieces.
+    opened; otherwise whole texts are encoded.  Between batches the cache keeps
+    pieces that came twice in a batch and have at most ``max_piece`` characters; it
+    is emptied at ``limit`` pieces.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19, max_piece: int = 48):
+    def __init__(self, path: str, limit: int = 400_000, max_piece: int = 48):
         quiet_env()
         from tokenizers import Tokenizer
 
@@ -31,6 +39,8 @@ class WordEncoder:
         self.word_wise = all(
             self._raw([p])[0] == b"".join(self._raw([w for w in p.replace("\n", " ").split(" ") if w])) for p in _PROBES
         )
+        mark = np.frombuffer(self._raw([_BETWEEN])[0], dtype=self.dtype)
+        self.mark = int(mark[0]) if self.word_wise and len(mark) == 1 else None
 
     @classmethod
     def open(cls, path: str) -> "WordEncoder":
@@ -42,39 +52,66 @@ class WordEncoder:
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many pieces without spaces, encoded by groups with a mark between."""
+        if self.mark is None:
+            return self._raw(pieces)
+        out: list[bytes] = []
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        between = f" {_BETWEEN} "
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, e in zip(part, self.tok.encode_batch_fast([between.join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=self.dtype)
+                cuts = np.flatnonzero(ids == self.mark)
+                if len(cuts) != len(group) - 1:
+                    out += self._raw(group)
+                    continue
+                raw, size, last = ids.tobytes(), self.dtype.itemsize, 0
+                for c in (cuts * size).tolist():
+                    out.append(raw[last:c])
+                    last = c + size
+                out.append(raw[last:])
+        return out
+
     def pieces(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ") if self.word_wise else [text]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as bytes of ``dtype``."""
+    @contextmanager
+    def loaded(self, texts: list[str | None]):
+        """While open, all pieces of the texts are in the cache; gives their lists."""
+        lists = [self.pieces(t or "") for t in texts]
+        counts: Counter = Counter()
+        for pieces in lists:
+            counts.update(pieces)
         cache = self.cache
+        fresh = [w for w in counts if w not in cache]
+        cache.update(zip(fresh, self._many(fresh) if self.word_wise else self._raw(fresh)))
         try:
+            yield lists
+        finally:
+            for w in fresh:
+                if counts[w] == 1 or len(w) > self.max_piece:
+                    del cache[w]
+            if len(cache) > self.limit:
+                cache.clear()
+                cache[""] = b""
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as bytes of ``dtype``; those not in the cache are not kept."""
+        cache = self.cache
+        missing = [w for w in pieces if w not in cache]
+        if not missing:
             return list(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        missing = [w for w in dict.fromkeys(pieces) if w not in cache]
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            cache[""] = b""
-            missing = [w for w in dict.fromkeys(pieces) if w]
-        new: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            new.update(zip(part, self._raw(part)))
-        out = [cache[w] if w in cache else new[w] for w in pieces]
-        for w, ids in new.items():
-            if len(w) <= self.max_piece and len(cache) < self.limit:
-                cache[w] = ids
-        return out
+        new = dict(zip(missing, self._raw(missing)))
+        return [new[w] if w in new else cache[w] for w in pieces]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null counts as empty."""
         return np.frombuffer(b"".join(self.encode_pieces(self.pieces(text or ""))), dtype=self.dtype)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """As ``encode`` of each text; the new pieces of all texts are encoded together."""
-        if self.word_wise:
-            fresh = [w for w in set().union(*(set(self.pieces(t or "")) for t in texts)) if w not in self.cache] if texts else []
-            if fresh and len(fresh) + len(self.cache) <= self.limit:
-                self.encode_pieces(fresh)
-        return [self.encode(t) for t in texts]
+        """As ``encode`` of each text."""
+        with self.loaded(texts) as lists:
+            get = self.cache.__getitem__
+            return [np.frombuffer(b"".join(map(get, pieces)), dtype=self.dtype) for pieces in lists]
