@@ -175,6 +175,7 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
 
     ``und`` with score 0 for a null text, one without letters, or a model without
     languages.  Repeated rows give repeated rows; an empty table gives none."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))  # the results replace them
     out = T.StructType(docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields + struct_of(_PRED).fields)
     frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = arrow_schema(out)

@@ -28,7 +28,7 @@ class WordEncoder:
     is emptied at ``limit`` pieces.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, max_piece: int = 48):
+    def __init__(self, path: str, limit: int = 300_000, max_piece: int = 48):
         quiet_env()
         from tokenizers import Tokenizer
 
