@@ -2,7 +2,7 @@
 
 A gear rolling hash over the bytes chooses cuts at word starts, so chunks depend
 on near context only and find their places again after an insertion.  A chunk is a
-repeat if an equal chunk (by 128-bit digest) comes earlier, in order of doc_id and
+repeat if an equal chunk (by 96-bit digest) comes earlier, in order of doc_id and
 place.  Runs of repeats that together hold at least ``min_words`` words are removed;
 shorter ones (a common phrase, one short line) stay.
 """
@@ -71,13 +71,15 @@ def chunk_edges(data: np.ndarray) -> np.ndarray:
     return edges
 
 
-_CHUNK = struct_of("hi bigint, lo bigint, salt bigint, doc_id bigint, text_key bigint, start bigint, stop bigint, words bigint, again boolean")
+_CHUNK = struct_of("hi bigint, lo int, salt bigint, doc_id bigint, text_key int, span bigint")
+#: A span is one long, so that few bytes are shuffled: start, then 12 bits of length, 11 of words, 1 of again.
+_LENGTH_AT, _WORDS_AT, _START_AT = 12, 1, 24
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """A row for each chunk that holds a word: digest halves hi and lo, doc_id,
-    text_key, byte span, words, again (a repeat within the rows read together) and
-    salt.
+    """A row for each chunk that holds a word: 96 bits of its digest (hi and lo), doc_id,
+    text_key, span (bytes, words, and again: a repeat within the rows read together)
+    and salt.
 
     Equal chunks of one batch meet here: only the first of them (salt 0) has to
     meet those of other batches, so a digest brings at most one row a batch to its
@@ -105,7 +107,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             if not digests:
                 continue
             ref, n_words, span = np.concatenate(refs), np.concatenate(words), np.concatenate(spans, axis=1)
-            two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2).copy()
+            two[:, 1] >>= 32
             keep = n_words > 0
             ref, n_words, span, two = ref[keep], n_words[keep], span[:, keep], two[keep]
             ids = np.asarray(pa.compute.fill_null(rows.column(0), -(1 << 63)))[ref]
@@ -117,20 +120,24 @@ def chunks(docs: DataFrame) -> DataFrame:
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             again = (ids != ids[lead]) | (keys != keys[lead]) | (span[0] != span[0][lead])
             salt = np.where(again, two[:, 0] ^ (ids * 1_000_003 + span[0] * 2 + 1) | 1, 0)
-            yield batch(schema, [two[:, 0], two[:, 1], salt, pa.array(ids, pa.int64(), mask=null), keys, span[0], span[1], n_words, again])
+            packed = span[0] << _START_AT | (span[1] - span[0]) << _LENGTH_AT | n_words << _WORDS_AT | again
+            yield batch(schema, [two[:, 0], two[:, 1].astype(np.int32), salt, pa.array(ids, pa.int64(), mask=null), keys, packed])
 
     return _keyed(docs).mapInArrow(run, _CHUNK)
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    return docs_view(docs, "doc_id", "text", *more).withColumn("text_key", F.xxhash64("text"))
+    return docs_view(docs, "doc_id", "text", *more).withColumn("text_key", F.hash("text"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, stop, words of every chunk with an equal one before it."""
-    first = Window.partitionBy("hi", "lo", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "text_key", "start")
-    ranked = chunks(docs).withColumn("rank", F.rank().over(first))
-    return ranked.where(F.col("again") | (F.col("rank") > 1)).select("doc_id", "text_key", "start", "stop", "words")
+    start = F.shiftright("span", _START_AT)
+    first = Window.partitionBy("hi", "lo", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "text_key", start)
+    ranked = chunks(docs).withColumn("rank", F.rank().over(first)).where((F.col("rank") > 1) | (F.col("span") % 2 == 1))
+    stop = start + F.shiftright("span", _LENGTH_AT).bitwiseAND((1 << _START_AT - _LENGTH_AT) - 1)
+    words = F.shiftright("span", _WORDS_AT).bitwiseAND((1 << _LENGTH_AT - _WORDS_AT) - 1)
+    return ranked.select("doc_id", "text_key", start.alias("start"), stop.alias("stop"), words.alias("words"))
 
 
 def _runs(spans: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -158,7 +165,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 16) -> DataFrame:
     found = repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop", "words")).alias("spans"))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
     own = docs.drop("removed_bytes", "removed_spans")
-    left = own.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    left = own.withColumn("_key", F.hash(F.col("text").cast("string")))
     joined = left.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k", "_key")
     out = T.StructType(own.schema.fields + struct_of("removed_bytes bigint, removed_spans array<struct<start: bigint, stop: bigint>>").fields)
     schema = arrow_schema(out)

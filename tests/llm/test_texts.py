@@ -14,13 +14,12 @@ def order(d):
     return (d is not None, d or 0)
 
 
-def brute_chunks(docs, min_words):
+def brute_chunks(docs, min_words, key):
     """doc -> kept text, by one dictionary of digests in order."""
     import re
 
     seen, out = {}, {}
     rows = {(d.doc_id, d.text or "") for d in docs}
-    key = lambda t: np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)))
     for doc, text in sorted(rows, key=lambda r: (order(r[0]), key(r[1]))):
         raw = text.encode()
         e = chunk_dedup.chunk_edges(np.frombuffer(raw, dtype=np.uint8)).tolist()
@@ -44,7 +43,8 @@ def brute_chunks(docs, min_words):
 def test_chunk_dedup(table, request):
     docs = request.getfixturevalue(table)
     docs = docs if table == "odd" else docs.where("doc_id < 260")
-    want = brute_chunks(docs.collect(), 16)
+    hashes = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("h")).collect()}
+    want = brute_chunks(docs.collect(), 16, hashes.get)
     old = docs.groupBy("doc_id", "text").count().count()
     got = chunk_dedup.dedup_substrings(docs.withColumn("old", F.col("text"))).collect()
     assert len(got) == docs.count() and old == len(want)
