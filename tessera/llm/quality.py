@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ._shared import persist
+
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Character classes, as patterns of what to leave when counting (fixed, in this order).
-CLASSES = {"upper": "[^\\p{Lu}]+", "lower": "[^\\p{Ll}]+", "digit": "[^\\p{N}]+", "punct": "[^.,;:!?'\"()\\-]+"}
-SYMBOLS = "#*$%&|<>"
+#: Character classes: patterns of one character of each, lower-case letters apart (fixed, in this order).
+CLASSES = {"upper": "\\p{Lu}", "digit": "\\p{N}", "punct": "[.,;:!?'\"()-]", "letter": "[\\p{L}&&[^\\p{Lu}\\p{Ll}]]"}
+SYMBOLS = "[#*$%&|<>]"
 ALL = "*"
 
 
@@ -42,21 +44,26 @@ class Limits:
 
 def words_of(text: Column) -> Column:
     """Words: stretches without ASCII white space; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _pairs(a: Column, n: int) -> Column:
-    """Hash of each element with the one n places on."""
-    return F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0))), F.slice(a, n + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+def window_hashes(hashes: Column, width: int, n: Column) -> Column:
+    """Hash of every window of ``width`` (a power of two) of n words, by doubling: the
+    hash of a window and of the one after it make that of both."""
+    step = 1
+    while step < width:
+        hashes = _doubled(hashes, step)
+        step *= 2
+    return F.slice(hashes, 1, F.greatest(n - (width - 1), F.lit(0)).cast("int"))
 
 
-def window_hashes(hashes: Column, width: int = 8) -> Column:
-    """Hash of every window of ``width`` (a power of two) words, by doubling."""
-    n = 1
-    while n < width:
-        hashes = _pairs(hashes, n)
-        n *= 2
-    return hashes
+def _doubled(hashes: Column, step: int) -> Column:
+    return _let(hashes, lambda a: F.zip_with(a, F.slice(a, step + 1, F.size(a)), lambda x, y: F.xxhash64(x, y)))
 
 
 def covered_words(windows: Column, width: int = 8) -> Column:
@@ -80,30 +87,31 @@ def covered_words(windows: Column, width: int = 8) -> Column:
     return total
 
 
-def _count(text: Column, leave_out: str) -> Column:
-    return F.length(F.regexp_replace(text, leave_out, "")).cast("bigint")
+def _rest(joined: Column) -> Column:
+    """What is left of a text's words without lower-case letters."""
+    return F.regexp_replace(joined, "\\p{Ll}+", "")
+
+
+def _classes(rest: str) -> list[Column]:
+    return [F.regexp_count(rest, F.lit(p)).cast("bigint").alias(f"c_{k}") for k, p in CLASSES.items()]
 
 
 def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, lang, words, wh (word hashes) and the base counts of each document."""
+    """doc_id, lang, wh (word hashes), the base counts, and how many word characters
+    each class and ``c_lower`` have.  Arrays are dropped as soon as they have been used:
+    operators with lambdas copy rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), text.alias("text"))
-    own = own.withColumn("words", words_of(F.col("text")))
-    own = own.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
-    own = own.withColumn("windows", window_hashes(F.col("wh"), limits.window))
-    lines = F.filter(F.split("text", "\n"), lambda s: F.length(F.translate(s, " \t\x0b\x0c\r", "")) > 0)
-    n_lines = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    joined = F.array_join("words", "")
+    lines = F.filter(F.split("text", "\n"), lambda s: F.rlike(s, F.lit("[^\\x20\\x09-\\x0D]")))
+    own = own.select("doc_id", "lang", words_of(F.col("text")).alias("words"), _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))
+    own = own.select("doc_id", "lang", "n_dup_lines", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", "").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("wh"))
+    windows = window_hashes(F.col("wh"), limits.window, F.col("n_words"))
+    own = own.select("doc_id", "lang", "n_dup_lines", "n_words", "wh", F.length("joined").cast("bigint").alias("word_chars"), _rest(F.col("joined")).alias("rest"), windows.alias("windows"))
     repeat = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("bigint")).otherwise(covered_words(F.col("windows"), limits.window))
-    own = own.select(
-        "doc_id", "lang", "words", "wh", joined.alias("joined"),
-        F.size("words").cast("bigint").alias("n_words"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        n_lines.cast("bigint").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"),
-    )
-    return own.withColumn("word_chars", F.length("joined").cast("bigint")).select(
-        "*", *[_count(F.col("joined"), p).alias(f"c_{k}") for k, p in CLASSES.items()]
+    return own.select(
+        "doc_id", "lang", "n_dup_lines", "n_words", "wh", "word_chars", repeat.alias("n_repeat_words"),
+        F.regexp_count("rest", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        *_classes("rest"), (F.col("word_chars") - F.length("rest")).alias("c_lower"),
     )
 
 
@@ -116,17 +124,19 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[dict, dict]:
     words, each with at least ``min_reference_words``) and one row of class counts each."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = own.select("lang", F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counts = persist(counts, "quality-words")
     # a language's candidates by partial top lists: hash parts first, then their winners
     part = Window.partitionBy("lang", "p").orderBy(F.desc("n"), "w")
     top = counts.withColumn("p", F.pmod(F.hash("w"), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= limits.n_common)
     sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     large = sums.where(F.col("total") >= limits.min_reference_words).orderBy(F.desc("total"), "lang").limit(limits.max_languages)
     langs = {r["lang"]: r["total"] for r in large.collect() if r["lang"] != ALL}
-    joined = F.regexp_replace("text", SPACE, "")
     wanted = F.when(F.col("lang").isin(list(langs)), F.col("lang")).otherwise(F.lit(ALL)) if langs else F.lit(ALL)
-    classes = own.select(wanted.alias("lang"), joined.alias("j")).select("lang", F.length("j").alias("all"), *[_count(F.col("j"), p).alias(k) for k, p in CLASSES.items()])
-    chars = {r["lang"]: [r["all"], *(r[k] for k in CLASSES)] for r in classes.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in CLASSES]).collect()}
-    chars[ALL] = [sum(c[i] for c in chars.values()) for i in range(1 + len(CLASSES))] if chars else [0] * (1 + len(CLASSES))
+    joined = F.array_join(words_of(F.col("text")), "")
+    classes = own.select(wanted.alias("lang"), joined.alias("j")).select("lang", F.length("j").alias("all"), _rest(F.col("j")).alias("rest")).select("lang", "all", *_classes("rest"), (F.col("all") - F.length("rest")).alias("c_lower"))
+    names = [*(f"c_{k}" for k in CLASSES), "c_lower"]
+    chars = {r["lang"]: [r["all"], *(r[k] for k in names)] for r in classes.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in names]).collect()}
+    chars[ALL] = [sum(c[i] for c in chars.values()) for i in range(2 + len(CLASSES))] if chars else [0] * (2 + len(CLASSES))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     named = top.where(F.col("lang").isin(list(langs))) if langs else top.where(F.lit(False))
     rows = named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limits.n_common).select("lang", F.xxhash64("w").alias("h"), "n").collect()
@@ -155,8 +165,12 @@ def _js(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) / 2, F.lit(0.0)))
 
 
-def _among(hashes: Column, wanted: list[int]) -> Column:
-    return F.filter(hashes, lambda h: h.isin(wanted))
+def _marks(hashes: Column, wanted: list[int]) -> Column:
+    """A character (from "0" on) for each wanted hash, by its place in the list; a class
+    is then counted by the length that its character leaves."""
+    places = F.array(*[F.lit(h) for h in wanted])
+    found = F.filter(hashes, lambda h: h.isin(wanted))
+    return F.array_join(F.transform(found, lambda h: F.char(F.array_position(places, h) + 47)), "")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -179,25 +193,20 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             out = F.when(F.col("ref") == name, F.array(*[F.lit(v) for v in values[name]]).cast(kind)).otherwise(out)
         return out
 
-    # the reference's word hashes, padded to k; a word becomes its place's character, and a
-    # class is counted by the length that its character leaves
-    table = by_ref({n: [h for h, _ in v] + [None] * (k - len(v)) for n, v in words.items()}, "array<bigint>", [None] * k)
     share = by_ref({n: [s for _, s in v] + [0.0] * (k - len(v)) for n, v in words.items()}, "array<double>", [0.0] * k)
-    q_chars = by_ref(chars, "array<double>", [0.0] * (1 + len(CLASSES)))
-    of = of.withColumn("q_words", share).withColumn("q_chars", q_chars)
-    common = F.lit(None)
+    q_chars = by_ref(chars, "array<double>", [0.0] * (2 + len(CLASSES)))
+    marks = F.lit(None).cast("string")
     for name in [*known, ALL]:
         own = [h for h, _ in words.get(name, [])]
-        hit = _among(F.col("wh"), own) if own else F.array().cast("array<bigint>")
-        common = F.when(F.col("ref") == name, hit).otherwise(common)
-    of = of.withColumn("common", common).withColumn("table", table)
-    of = of.withColumn("marks", F.array_join(F.transform("common", lambda h: F.char(F.array_position("table", h) + 47)), ""))
-    of = of.withColumn("n_common", F.length("marks"))
+        if own:
+            marks = F.when(F.col("ref") == name, _marks(F.col("wh"), own)).otherwise(marks)
+    of = of.withColumn("marks", F.coalesce(marks, F.lit(""))).drop("wh")
+    of = of.withColumns({"n_common": F.length("marks"), "q_words": share, "q_chars": q_chars})
     safe = F.greatest(F.col("n_common"), F.lit(1)).cast("double")
     p_words = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("n_common") - F.length(F.replace("marks", F.char(i + 48), F.lit("")))) / safe)
     word_js = _js(p_words, F.col("q_words"))
     letters = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    counted = [F.col(f"c_{c}") for c in CLASSES]
+    counted = [F.col(f"c_{c}") for c in (*CLASSES, "lower")]
     rest = F.col("word_chars")
     for c in counted:
         rest = rest - c
