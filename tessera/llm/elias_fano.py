@@ -44,6 +44,31 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     return head + lows.astype("<u8").tobytes() + highs.tobytes() + zeros.tobytes() + ones.tobytes()
 
 
+def _byte_table() -> np.ndarray:
+    """Place of the k-th set bit of a byte, at index k * 256 + byte (8 where there is none)."""
+    out = np.full(8 * 256, 8, dtype=np.int64)
+    for byte in range(256):
+        places = [i for i in range(8) if byte >> i & 1]
+        for k, place in enumerate(places):
+            out[k * 256 + byte] = place
+    return out
+
+
+_IN_BYTE = _byte_table()
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit of each word, by sums over its bytes."""
+    k = k.astype(np.uint64)
+    s = x - ((x >> _ONE) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    place = np.bitwise_count(((k * _ONES | _TOPS) - s) & _TOPS).astype(np.uint64) << np.uint64(3)
+    rank = k - (((s << np.uint64(8)) >> place) & np.uint64(255))
+    return place.astype(np.int64) + _IN_BYTE[((x >> place) & np.uint64(255) | rank << np.uint64(8)).astype(np.int64)]
+
+
 class EliasFano:
     def __init__(self, data, at: int = 0):
         """Reads the bytes that ``encode`` made, from ``at`` on; ``end`` is what follows."""
@@ -82,14 +107,7 @@ class EliasFano:
             now[todo] = self.highs[word[todo]] ^ flip
             count[todo] = np.bitwise_count(now[todo])
             todo = todo[count[todo] <= left[todo]]
-        at = np.zeros(len(k), dtype=np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = (now >> at.astype(np.uint64)) & np.uint64((1 << half) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
-            right = c <= left
-            left = left - np.where(right, c, 0)
-            at = at + np.where(right, half, 0)
-        return (word << 6) + at
+        return (word << 6) + _select_in_word(now, left)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -103,9 +121,22 @@ class EliasFano:
         if not self.n or not len(values):
             return np.full(len(values), -1, dtype=np.int64)
         high = (values >> np.uint64(self.low)).astype(np.int64)
-        # the bucket of a high part lies between two zeros
-        stop = self._select(high.copy(), 0) - high
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) - high + 1, 0)
+        # a bucket is the run of set bits after the zero that ends the one before
+        bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1, 0)
+        start = bit - high
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        rest = ~(self.highs[word] >> off)
+        run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        run = np.minimum(run, 64 - off.astype(np.int64))
+        todo = np.flatnonzero(run == 64 - off.astype(np.int64))
+        while len(todo):
+            word[todo] += 1
+            rest = ~self.highs[np.minimum(word[todo], len(self.highs) - 1)]
+            more = np.where(rest == 0, 64, np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64))
+            more[word[todo] >= len(self.highs)] = 0
+            run[todo] += more
+            todo = todo[more == 64]
+        stop = start + run
         want = values & np.uint64((1 << self.low) - 1)
         lo, hi = start.copy(), stop.copy()
         todo = np.flatnonzero(lo < hi)

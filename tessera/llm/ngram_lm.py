@@ -38,7 +38,7 @@ END = b"\n"  # the end token's key; no word holds white space
 DISCOUNT = 0.75
 #: 8-bit code q stands for 10 ** -(q / STEPS); 255 for nothing.
 STEPS = 40.0
-SHARD_ENTRIES = 2_000_000
+SHARD_ENTRIES = 500_000
 _BLOB = struct_of("blob binary")
 _MAPS: dict[str, mmap.mmap] = {}
 
@@ -113,34 +113,32 @@ class Vocabulary:
             counts = np.frombuffer(data, dtype="<u8", count=keys.n, offset=keys.end)
             self.shards[shard] = (at, keys, counts)
             at += keys.n
-        self.cache: dict[bytes, tuple[int, int]] = {}
+        self.cache: dict[bytes, int] = {}
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        ids = np.full(len(hashes), -1, dtype=np.int64)
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), dtype=np.int64)
         low = hashes & np.uint64((1 << (64 - self.bits)) - 1)
         for s in np.unique(shard):
             if int(s) in self.shards:
-                base, keys, all_counts = self.shards[int(s)]
+                base, keys, _ = self.shards[int(s)]
                 rows = np.flatnonzero(shard == s)
                 at = keys.find(low[rows])
-                ok = at >= 0
-                ids[rows[ok]] = at[ok] + base
-                counts[rows[ok]] = all_counts[at[ok]].astype(np.int64)
-        return ids, counts
+                ids[rows[at >= 0]] = at[at >= 0] + base
+        return ids
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts."""
         cache = self.cache
         fresh = [w for w in set(words) if w not in cache]
         if fresh:
-            if len(cache) + len(fresh) > 600_000:
+            if len(cache) + len(fresh) > 400_000:
                 cache.clear()
                 fresh = list(set(words))
-            ids, counts = self._find(np.fromiter(map(hash_of, fresh), dtype=np.uint64, count=len(fresh)))
-            cache.update(zip(fresh, zip(ids.tolist(), counts.tolist())))
-        both = np.array([cache[w] for w in words], dtype=np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+            ids = self._find(np.fromiter(map(hash_of, fresh), dtype=np.uint64, count=len(fresh)))
+            cache.update(zip(fresh, ids.tolist()))
+        ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
+        return ids, self.counts_of(ids)
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), dtype=np.int64)
@@ -308,11 +306,12 @@ def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
     schema = arrow_schema(out)
 
     def merged(held):
-        node, word, c = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((word, node))
-        node, word, c = node[order], word[order], c[order]
-        new = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (word[1:] != word[:-1]))))
-        return node[new], word[new], np.add.reduceat(c, new)
+        keys, c = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")  # merges sorted runs
+        keys, c = keys[order], c[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys = keys[new]
+        return batch(schema, [keys >> 32, keys & 0xFFFFFFFF, np.add.reduceat(c, new)])
 
     def run(batches):
         levels, held, size = opened(model), [], 0
@@ -328,13 +327,13 @@ def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
                 ok &= nodes[k - 2][at] >= 0
             at = at[ok]
             if len(at):
-                held.append(merged([(nodes[k - 2][at - 1], ids[at], np.ones(len(at), dtype=np.int64))]))
+                held.append(np.unique(nodes[k - 2][at - 1] << 32 | ids[at], return_counts=True))
                 size += len(held[-1][0])
             if size > 3_000_000:
-                yield batch(schema, list(merged(held)))
+                yield merged(held)
                 held, size = [], 0
         if held:
-            yield batch(schema, list(merged(held)))
+            yield merged(held)
 
     return train.mapInArrow(run, out).groupBy("node", "word").agg(F.sum("c").alias("c"))
 
@@ -380,6 +379,8 @@ def train_model(docs: DataFrame, order: int = 2, min_count: int = 2) -> Model:
     model = Model(n_tokens, n_words, (_publish(spark, path),), (bits,))
     n_nodes = n_words
     for k in range(2, order + 1):
+        if max(n_words, n_nodes) >= 1 << 31:
+            raise ValueError("numbers of words and nodes are kept in 31 bits")
         kept = persist(_ngrams(train, model, k).where(F.col("c") >= min_count), f"lm-counts{k}")
         n_kept = kept.count()
         path, width = _write_level(kept, model, k, n_nodes, n_kept)
@@ -400,11 +401,11 @@ def score_texts(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     first[starts] = True
     p = (counts + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1))
     base = np.log10(p)
-    node = ids
+    node, often = ids, np.where(counts > 1, ids, -1)  # a word seen once ends no kept n-gram
     for level in levels[1:]:
         before = np.concatenate(([-1], node[:-1]))
         before[first] = -1
-        node, share, left = level.lookup(before, ids)
+        node, share, left = level.lookup(before, often)
         p = share + left * p
     own = np.log10(p)
     own[first] = base[first] = 0.0
