@@ -159,7 +159,7 @@ class ArrayTable:
         return all(r.min <= c <= r.max for r, c in zip(self.region, coords))
 
     def at(self, *coords: int):
-        cond = reduce(lambda a, b: a & b, [F.col(d) == c for d, c in zip(self.dims, coords)])
+        cond = reduce(lambda a, b: a & b, [F.col(d) == c for d, c in zip(self.dims, coords)], F.lit(True))
         row = self.df.where(cond).select(*self.values).first()
         return row and (row[0] if len(row) == 1 else tuple(row))
 

@@ -119,11 +119,11 @@ class Func:
         if not self.values:
             if not pure:
                 raise TypeError("the first definition takes distinct variables")
-            self.args = [i.name for i in index]
-            self.values = [v if isinstance(v, Expr) else const(v) for v in values]
-            free = {n.name for v in self.values for n in v.nodes() if n.name} - set(self.args)
+            args, new = [i.name for i in index], [v if isinstance(v, Expr) else const(v) for v in values]
+            free = {n.name for v in new for n in v.nodes() if n.name} - set(args)
             if free:
                 raise NameError(f"undefined variables {sorted(free)}")
+            self.args, self.values = args, new
             return
         if self.frozen:
             raise RuntimeError(f"{self.name} has been used and cannot change")
