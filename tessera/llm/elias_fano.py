@@ -13,7 +13,10 @@ import struct
 import numpy as np
 
 _HEAD = struct.Struct("<QQQQ")  # n, low bits, words of lows, words of highs
-_SAMPLE = 64
+#: Words of a block, before each of which the clear bits so far are counted.
+_BLOCK = 4
+#: Values searched together, few enough for temporaries to stay in a core's cache.
+_AT_ONCE = 8192
 _ONE = np.uint64(1)
 
 
@@ -35,13 +38,14 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     low = max(0, (universe // max(1, n)).bit_length() - 1)
     lows = _pack(values & np.uint64((1 << low) - 1), low)
     n_bits = n + (universe >> low) + 2
-    bits = np.zeros((n_bits + 63) // 64 * 64, dtype=np.uint8)
+    if n_bits >= 1 << 32:
+        raise ValueError("a sequence has less than 2^32 bits of high parts")
+    bits = np.zeros(-(-n_bits // (64 * _BLOCK)) * 64 * _BLOCK, dtype=np.uint8)
     bits[((values >> np.uint64(low)).astype(np.int64) + np.arange(n))] = 1
     highs = np.packbits(bits, bitorder="little").view("<u8")
-    zeros = np.flatnonzero(bits == 0)[::_SAMPLE].astype("<u8")
-    ones = np.flatnonzero(bits)[::_SAMPLE].astype("<u8")
-    head = _HEAD.pack(n, low, len(lows), len(highs)) + struct.pack("<QQ", len(zeros), len(ones))
-    return head + lows.astype("<u8").tobytes() + highs.tobytes() + zeros.tobytes() + ones.tobytes()
+    clear = 64 * _BLOCK - bits.reshape(-1, 64 * _BLOCK).sum(axis=1, dtype=np.int64)
+    ranks = (np.cumsum(clear) - clear).astype("<u4")
+    return _HEAD.pack(n, low, len(lows), len(highs)) + lows.astype("<u8").tobytes() + highs.tobytes() + ranks.tobytes()
 
 
 def _byte_table() -> np.ndarray:
@@ -73,14 +77,16 @@ class EliasFano:
     def __init__(self, data, at: int = 0):
         """Reads the bytes that ``encode`` made, from ``at`` on; ``end`` is what follows."""
         self.n, self.low, n_low, n_high = _HEAD.unpack_from(data, at)
-        n_zero, n_one = struct.unpack_from("<QQ", data, at + _HEAD.size)
-        at += _HEAD.size + 16
-        views = []
-        for size in (n_low, n_high, n_zero, n_one):
-            views.append(np.frombuffer(data, dtype="<u8", count=size, offset=at))
-            at += 8 * size
-        self.lows, self.highs, self.zeros, self.ones = views
-        self.end = at
+        at += _HEAD.size
+        self.lows = np.frombuffer(data, dtype="<u8", count=n_low, offset=at)
+        at += self.lows.nbytes
+        self.highs = np.frombuffer(data, dtype="<u8", count=n_high, offset=at)
+        at += self.highs.nbytes
+        self.zeros = np.frombuffer(data, dtype="<u4", count=n_high // _BLOCK, offset=at)
+        self.end = at + self.zeros.nbytes
+        # clear or set bits before each block
+        self.before = (self.zeros.astype(np.int64), np.arange(len(self.zeros)) * (64 * _BLOCK) - self.zeros.astype(np.int64))
+        self.blocks = self.highs.reshape(-1, _BLOCK)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -93,21 +99,15 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Place of the k-th (from 0) set or clear bit."""
-        sample = self.ones if bit else self.zeros
-        start = sample[k // _SAMPLE].astype(np.int64)
-        left = k % _SAMPLE
-        word = start >> 6
-        flip = np.uint64(0) if bit else ~np.uint64(0)
-        now = (self.highs[word] ^ flip) & (~np.uint64(0) << (start & 63).astype(np.uint64))
-        count = np.bitwise_count(now).astype(np.int64)
-        todo = np.flatnonzero(count <= left)
-        while len(todo):
-            left[todo] -= count[todo]
-            word[todo] += 1
-            now[todo] = self.highs[word[todo]] ^ flip
-            count[todo] = np.bitwise_count(now[todo])
-            todo = todo[count[todo] <= left[todo]]
-        return (word << 6) + _select_in_word(now, left)
+        before = self.before[bit]
+        block = np.searchsorted(before, k, side="right") - 1
+        words = self.blocks[block] if bit else ~self.blocks[block]
+        left = k - before[block]
+        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (sums <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(k))
+        left = left - np.where(word > 0, sums[rows, word - 1], 0)
+        return ((block * _BLOCK + word) << 6) + _select_in_word(words[rows, word], left)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -120,6 +120,11 @@ class EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         if not self.n or not len(values):
             return np.full(len(values), -1, dtype=np.int64)
+        if len(values) <= _AT_ONCE:
+            return self._find(values)
+        return np.concatenate([self._find(values[i : i + _AT_ONCE]) for i in range(0, len(values), _AT_ONCE)])
+
+    def _find(self, values: np.ndarray) -> np.ndarray:
         high = (values >> np.uint64(self.low)).astype(np.int64)
         # a bucket is the run of set bits after the zero that ends the one before
         bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1, 0)
@@ -128,15 +133,10 @@ class EliasFano:
         rest = ~(self.highs[word] >> off)
         run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
         run = np.minimum(run, 64 - off.astype(np.int64))
-        todo = np.flatnonzero(run == 64 - off.astype(np.int64))
-        while len(todo):
-            word[todo] += 1
-            rest = ~self.highs[np.minimum(word[todo], len(self.highs) - 1)]
-            more = np.where(rest == 0, 64, np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64))
-            more[word[todo] >= len(self.highs)] = 0
-            run[todo] += more
-            todo = todo[more == 64]
         stop = start + run
+        long = np.flatnonzero(run == 64 - off.astype(np.int64))  # runs that leave their word
+        if len(long):
+            stop[long] = self._select(high[long], 0) - high[long]
         want = values & np.uint64((1 << self.low) - 1)
         lo, hi = start.copy(), stop.copy()
         todo = np.flatnonzero(lo < hi)

@@ -40,6 +40,8 @@ DISCOUNT = 0.75
 STEPS = 40.0
 SHARD_ENTRIES = 500_000
 _BLOB = struct_of("blob binary")
+#: Slots of each level's table of latest searches.
+_SLOTS, _MIX = 1 << 20, 0x9E3779B97F4A7C15 - (1 << 64)
 _MAPS: dict[str, mmap.mmap] = {}
 
 
@@ -129,15 +131,17 @@ class Vocabulary:
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts."""
-        cache = self.cache
-        fresh = [w for w in set(words) if w not in cache]
+        cache, seen = self.cache, Counter(words)
+        fresh = [w for w in seen if w not in cache]
         if fresh:
-            if len(cache) + len(fresh) > 400_000:
-                cache.clear()
-                fresh = list(set(words))
             ids = self._find(np.fromiter(map(hash_of, fresh), dtype=np.uint64, count=len(fresh)))
             cache.update(zip(fresh, ids.tolist()))
         ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in fresh:  # only words that come again in the same batch are worth keeping
+            if seen[w] == 1:
+                del cache[w]
+        if len(cache) > 400_000:
+            cache.clear()
         return ids, self.counts_of(ids)
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
@@ -154,31 +158,47 @@ class Level:
     def __init__(self, model: Model, k: int):
         self.width, self.v = model.widths[k - 1], model.n_words
         self.shards, at = {}, 0
+        shares, lefts = [], []
         for shard, data, offset in sorted((s, d, o) for uri in model.files[k - 1] for s, d, o in _blobs(uri)):
             values = EliasFano(data, offset)
             pointers = EliasFano(data, values.end)
             share = np.frombuffer(data, dtype=np.uint8, count=values.n, offset=pointers.end)
             left = np.frombuffer(data, dtype=np.uint8, count=pointers.n - 1, offset=pointers.end + values.n)
             counts = np.frombuffer(data, dtype="<u4", count=values.n, offset=pointers.end + values.n + len(left))
-            self.shards[shard] = (at, values, pointers, share, left, counts)
+            self.shards[shard] = (at, values, pointers, counts)
+            shares.append(share)
+            lefts.append(left)
             at += values.n
+        # a byte an n-gram and a node; and the latest searches, by slot
+        self.share = np.concatenate(shares) if shares else np.zeros(0, dtype=np.uint8)
+        self.left = np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.uint8)
+        self.keys, self.found = np.full(_SLOTS, -1, dtype=np.int64), np.full(_SLOTS, -1, dtype=np.int64)
 
     def lookup(self, nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each context node and word (-1: none): the n-gram's own node (-1: not
         kept), its discounted share, and what the context leaves to shorter ones."""
         node, share, left = np.full(len(nodes), -1, dtype=np.int64), np.zeros(len(nodes)), np.ones(len(nodes))
-        shard = np.where(nodes >= 0, nodes // self.width, -1)
-        for s, (base, values, _, share8, left8, _) in self.shards.items():
-            rows = np.flatnonzero(shard == s)
-            local = nodes[rows] - s * self.width
-            code = left8[local]
-            left[rows] = _UNQUANT[code]
-            rows, local = rows[code > 0], local[code > 0]  # a context without kept successors leaves all
-            rows, local = rows[words[rows] >= 0], local[words[rows] >= 0]
-            at = values.find(local.astype(np.uint64) * np.uint64(self.v) + words[rows].astype(np.uint64))
-            ok = at >= 0
-            node[rows[ok]] = at[ok] + base
-            share[rows[ok]] = _UNQUANT[share8[at[ok]]]
+        rows = np.flatnonzero(nodes >= 0)
+        code = self.left[nodes[rows]]
+        left[rows] = _UNQUANT[code]
+        rows = rows[(code > 0) & (words[rows] >= 0)]  # a context without kept successors leaves all
+        keys = nodes[rows] * np.int64(self.v) + words[rows]  # also the value in the shard, from the shard's first node on
+        slot = ((keys * np.int64(_MIX)) >> 44) & (_SLOTS - 1)
+        at = self.found[slot]
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        if len(miss):
+            some = keys[miss]
+            shard, got = nodes[rows[miss]] // self.width, np.full(len(miss), -1, dtype=np.int64)
+            for s, (base, values, *_) in self.shards.items():
+                own = np.flatnonzero(shard == s)
+                i = values.find((some[own] - s * self.width * self.v).astype(np.uint64))
+                got[own] = np.where(i >= 0, i + base, -1)
+            at[miss] = got
+            self.keys[slot[miss]] = some
+            self.found[slot[miss]] = got  # of two in one slot the later stays, in both arrays
+        rows, at = rows[at >= 0], at[at >= 0]
+        node[rows] = at
+        share[rows] = _UNQUANT[self.share[at]]
         return node, share, left
 
     def successors(self, node: int) -> np.ndarray:
@@ -190,7 +210,7 @@ class Level:
 
     def counts_of(self, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes), dtype=np.int64)
-        for base, values, *_, counts in self.shards.values():
+        for base, values, _, counts in self.shards.values():
             rows = np.flatnonzero((nodes >= base) & (nodes < base + values.n))
             out[rows] = counts[nodes[rows] - base]
         return out
