@@ -253,3 +253,19 @@ def test_pipeline(spark, tmp_path):
             assert docs.count() < before
     rows = docs.collect()
     assert sum(r.length for r in rows) == max(r.sequence_id * 2048 + r.offset + r.length for r in rows)
+
+
+def test_mix_sql(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op9_mixing"]).df()
+    got = queries.op9_mixing(spark, path).toPandas()
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns) and len(want) == len(got) > 500
+    assert (got[cols].sort_values(cols).reset_index(drop=True) == want[cols].sort_values(cols).reset_index(drop=True)).all().all()
+    assert got.dtypes.astype(str).to_dict() == {**got.dtypes.astype(str).to_dict(), **want.dtypes.astype(str).to_dict()}
