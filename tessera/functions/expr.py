@@ -454,11 +454,13 @@ def rounding_mul_shift_right(a, b, q) -> Expr:
 # -- floats -----------------------------------------------------------------------
 
 
-def _math(f: Callable[[Column], Column]) -> Callable[[Expr], Expr]:
+def _math(f: Callable[[Column], Column], name: str | None = None) -> Callable[[Expr], Expr]:
+    tag = f"math:{name or f.__name__}"
+
     def make(a) -> Expr:
         a = a if isinstance(a, Expr) else const(float(a))
         a = a if a.type.is_float else cast(F32, a)
-        return node(a.type, lambda x: f(x).cast(a.type.spark), a)
+        return node(a.type, lambda x: f(x).cast(a.type.spark), a, tag=tag if name or f.__name__.isalpha() else None)
 
     return make
 
@@ -492,7 +494,7 @@ sin, cos, tan = _math(F.sin), _math(F.cos), _math(F.tan)
 asin, acos, atan = _math(F.asin), _math(F.acos), _math(F.atan)
 sinh, cosh, tanh = _math(F.sinh), _math(F.cosh), _math(F.tanh)
 asinh, acosh, atanh = _math(F.asinh), _math(F.acosh), _math(F.atanh)
-sqrt, exp, log, erf = _math(F.sqrt), _math(F.exp), _math(_log), _math(_erf)
+sqrt, exp, log, erf = _math(F.sqrt), _math(F.exp), _math(_log, "log"), _math(_erf)
 fast_sin, fast_cos, fast_exp, fast_log = sin, cos, exp, log
 fast_inverse = _math(lambda x: _float_div(F.lit(1.0), x))
 fast_inverse_sqrt = _math(lambda x: _float_div(F.lit(1.0), F.sqrt(x)))
