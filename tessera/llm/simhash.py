@@ -241,6 +241,20 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
     return near.union(dealt.groupBy("key", "i", "j").applyInArrow(two_blocks, pair))
 
 
+def _labelled(docs: DataFrame, width: int, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (a written table), and them with component_id."""
+    prints = persist(fingerprints(docs, width, seed), "simhash-prints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = persist(distinct.withColumn("rep", F.coalesce("first", F.xxhash64("fp").bitwiseOR(F.lit(-(1 << 63))))), "simhash-distinct")
+    comps = connected_components(links(distinct, most))
+    # of single fingerprints too: the representative stands for its component
+    named = distinct.join(comps, distinct["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"), "first", "rep")
+    # null ids have negative stand-ins, which are smaller: a component's name is its least true id
+    names = named.groupBy("c").agg(F.min("first").alias("component_id"))
+    label = named.join(names, "c").select(F.col("fp").alias("_fp"), "component_id")
+    return prints, prints.join(label, prints["fp"] == label["_fp"]).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, text_key, component_id for every row: the smallest doc_id that links of at
     most ``most`` differing fingerprint bits reach.
@@ -250,15 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, seed: int =
     all its members' ids are null, which then have a null component_id; an empty
     table gives no rows; extra columns are ignored.
     """
-    prints = persist(fingerprints(docs, width, seed), "simhash-prints")
-    distinct = persist(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("rep", F.coalesce("first", F.xxhash64("fp").bitwiseOR(F.lit(-(1 << 63))))), "simhash-distinct")
-    comps = connected_components(links(distinct, most))
-    # of single fingerprints too: the representative stands for its component
-    named = distinct.join(comps, distinct["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"), "first", "rep")
-    # null ids have negative stand-ins, which are smaller: a component's name is its least true id
-    names = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    label = named.join(names, "c").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(label, prints["fp"] == label["_fp"]).drop("_fp")
+    return _labelled(docs, width, most, seed)[1]
 
 
 def hex_of(fp):
@@ -267,11 +273,14 @@ def hex_of(fp):
 
 
 def keep_one(docs: DataFrame, width: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
-    """The documents, one of each component: that of the smallest doc_id, and of rows
-    that share it one (the smallest text hash).  All columns stay."""
-    found = near_duplicates(docs, width, most, seed)
+    """The documents, one of each component: that of the smallest doc_id (null last), of
+    rows that share it the one of the smallest text hash, and of rows equal in both any
+    one.  All columns stay."""
+    prints, found = _labelled(docs, width, most, seed)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     one = found.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("_d"), F.col("p.text_key").alias("_k"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     kept = keyed.join(one, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).drop("_d", "_k")
+    if not prints.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():  # only then another shuffle of texts
+        kept = kept.dropDuplicates(["doc_id", "_key"])
     return kept.drop("_key")

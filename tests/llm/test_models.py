@@ -269,3 +269,24 @@ def test_mix_sql(spark):
     assert cols == sorted(got.columns) and len(want) == len(got) > 500
     assert (got[cols].sort_values(cols).reset_index(drop=True) == want[cols].sort_values(cols).reset_index(drop=True)).all().all()
     assert got.dtypes.astype(str).to_dict() == {**got.dtypes.astype(str).to_dict(), **want.dtypes.astype(str).to_dict()}
+
+
+@pytest.mark.parametrize("table", ["odd", "empty"])
+def test_pipeline_stages_on_odd_tables(table, request, spark, tmp_path):
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(table).withColumn("n_chars", F.col("n_chars").cast("bigint")).select(*corpus_pipeline.COLUMNS)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs.write.parquet(str(tmp_path / name))
+        docs = stage(spark, spark.read.schema(docs.schema).parquet(str(tmp_path / name)), "unused")
+        kept[name] = docs.collect()
+    if table == "empty":
+        assert not any(kept.values())
+        return
+    left = {r.doc_id for r in kept["language_id"]}
+    assert not left & {2, 3, 4} and {1, 5, 6, 7, 8, 9, 11} <= left
+    assert [r.doc_id for r in kept["near_duplicates"]].count(7) == 1
+    texts = {r.doc_id: r.text for r in kept["repeated_passages"]}
+    assert "of shared words" in texts[1] and len(texts[8]) < 400
+    assert {r.doc_id for r in kept["pack"]} == {r.doc_id for r in kept["source_mix"]}
