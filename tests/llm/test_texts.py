@@ -196,9 +196,12 @@ def test_simhash_hex_and_empty(spark, empty):
     assert row == ("f" * 16, "0" * 15 + "a")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [False, True])  # with few edges every node is joined as a hub, with many only the star's centre
+def test_components(spark, hub):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(150)] + [(5, 5), (None, 4)]
+    if hub:
+        edges += [(7000, 5000 + i) for i in range(4000)] + [(20000 + i, 30000 + i) for i in range(3000)] + [(7001, 20000)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
 
