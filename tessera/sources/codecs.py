@@ -1,4 +1,4 @@
-"""Array files: NPY, PNM (P2, P3, P5, P6) and raw dumps, one file a task record.
+"""Array files: NPY, PNG, TIFF, MAT, PNM (P2, P3, P5, P6) and raw dumps, one file a task record.
 
 Files are read through Spark's ``binaryFile`` source and decoded in Arrow batches, and
 written by tasks' results through the driver for single arrays.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.types import F32, F64, I8, I16, I32, I64, U8, U16, U32, ElementType
 from ..operators.table import ArrayTable
 from ..plans.region import Range
+from . import formats
 
 _TYPES = {"u1": U8, "u2": U16, "u4": U32, "i1": I8, "i2": I16, "i4": I32, "i8": I64, "f4": F32, "f8": F64}
 #: Type codes of the raw format's header (fixed, in this order).
@@ -32,6 +33,12 @@ def decode(name: str, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype="<" + _RAW[code], offset=20).reshape(shape[::-1]).T
     if re.search(r"\.p[gpn]m$", name):
         return _decode_pnm(data)
+    if name.endswith(".png"):
+        return formats.decode_png(data)
+    if name.endswith((".tif", ".tiff")):
+        return formats.decode_tiff(data)
+    if name.endswith(".mat"):
+        return formats.decode_mat(data)
     raise ValueError(f"no decoder for {name}")
 
 
@@ -64,6 +71,12 @@ def encode(name: str, a: np.ndarray) -> bytes:
         rows = a.T if a.ndim == 2 else a.transpose(1, 0, 2)
         head = f"{'P5' if a.ndim == 2 else 'P6'}\n{a.shape[0]} {a.shape[1]}\n{top}\n".encode()
         return head + np.ascontiguousarray(rows.astype(">u2" if top > 255 else "u1")).tobytes()
+    if name.endswith(".png"):
+        return formats.encode_png(a)
+    if name.endswith((".tif", ".tiff")):
+        return formats.encode_tiff(a)
+    if name.endswith(".mat"):
+        return formats.encode_mat(a)
     raise ValueError(f"no encoder for {name}")
 
 
