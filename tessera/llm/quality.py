@@ -22,13 +22,15 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 CLASSES = {"upper": "\\p{Lu}", "digit": "\\p{N}", "punct": "[.,;:!?'\"()-]", "letter": "[\\p{L}&&[^\\p{Lu}\\p{Ll}]]"}
 SYMBOLS = "[#*$%&|<>]"
 ALL = "*"
+NAMES = [*(f"c_{k}" for k in CLASSES), "c_lower"]
 
 
 @dataclass(frozen=True)
 class Limits:
     """min_words: fewer fail.  max_repeat_pct: words in repeated windows.  min_chars and
     min_common: guards, in word characters and common words, below which a histogram
-    is not judged.  max_char_js, max_word_js: largest distances."""
+    is not judged.  max_char_js, max_word_js: largest distances.  max_languages: so many
+    references are held by the driver; those of further languages stay a table."""
 
     min_words: int = 20
     max_repeat_pct: int = 30
@@ -115,44 +117,74 @@ def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[dict, dict]:
-    """Language references, counted over all documents: {lang: {class: share}} and
-    {lang: [(word hash, share)]} of the most common words.
+def _by_lang(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    Words are counted by (language, word) with partial sums; what reaches the driver
-    is ``n_common`` words for at most ``max_languages`` languages (those with most
-    words, each with at least ``min_reference_words``) and one row of class counts each."""
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def _class_sums(own: DataFrame) -> DataFrame:
+    """lang, all (word characters) and how many of them each class has."""
+    joined = F.array_join(words_of(F.col("text")), "")
+    classes = own.select("lang", joined.alias("j")).select("lang", F.length("j").alias("all"), _rest(F.col("j")).alias("rest")).select("lang", "all", *_classes("rest"), (F.col("all") - F.length("rest")).alias("c_lower"))
+    return classes.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in NAMES])
+
+
+def _top(counts: DataFrame, n_common: int) -> DataFrame:
+    """lang, w, n of each language's most common words, by partial top lists: hash parts
+    first, then their winners."""
+    part = Window.partitionBy("lang", "p").orderBy(F.desc("n"), "w")
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    top = counts.withColumn("p", F.pmod(F.hash("w"), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= n_common)
+    return top.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n_common).select("lang", "w", "n")
+
+
+def _references(docs: DataFrame, limits: Limits) -> tuple[dict, dict, DataFrame | None]:
+    """``references``, and a table (lang, q_chars, q_hashes, q_words) of the languages
+    beyond ``max_languages``, None where there are none."""
+    own = _by_lang(docs)
     counts = own.select("lang", F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     counts = persist(counts, "quality-words")
-    # a language's candidates by partial top lists: hash parts first, then their winners
-    part = Window.partitionBy("lang", "p").orderBy(F.desc("n"), "w")
-    top = counts.withColumn("p", F.pmod(F.hash("w"), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= limits.n_common)
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    large = sums.where(F.col("total") >= limits.min_reference_words).orderBy(F.desc("total"), "lang").limit(limits.max_languages)
-    langs = {r["lang"]: r["total"] for r in large.collect() if r["lang"] != ALL}
-    wanted = F.when(F.col("lang").isin(list(langs)), F.col("lang")).otherwise(F.lit(ALL)) if langs else F.lit(ALL)
-    joined = F.array_join(words_of(F.col("text")), "")
-    classes = own.select(wanted.alias("lang"), joined.alias("j")).select("lang", F.length("j").alias("all"), _rest(F.col("j")).alias("rest")).select("lang", "all", *_classes("rest"), (F.col("all") - F.length("rest")).alias("c_lower"))
-    names = [*(f"c_{k}" for k in CLASSES), "c_lower"]
-    chars = {r["lang"]: [r["all"], *(r[k] for k in names)] for r in classes.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in names]).collect()}
+    large = counts.where(F.col("lang") != ALL).groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= limits.min_reference_words)
+    first = [r["lang"] for r in large.orderBy(F.desc("total"), "lang").limit(limits.max_languages + 1).collect()]
+    langs, more = first[: limits.max_languages], len(first) > limits.max_languages
+    held = F.col("lang").isin(langs) if langs else F.lit(False)
+    chars = {r["lang"]: [r["all"], *(r[k] for k in NAMES)] for r in _class_sums(own.withColumn("lang", F.when(held, F.col("lang")).otherwise(F.lit(ALL)))).collect()}
     chars[ALL] = [sum(c[i] for c in chars.values()) for i in range(2 + len(CLASSES))] if chars else [0] * (2 + len(CLASSES))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    named = top.where(F.col("lang").isin(list(langs))) if langs else top.where(F.lit(False))
-    rows = named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limits.n_common).select("lang", F.xxhash64("w").alias("h"), "n").collect()
-    words: dict = {k: [] for k in langs}
+    hashed = ("lang", F.xxhash64("w").alias("h"), "n")
+    whole = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(limits.n_common)
+    rows = [*_top(counts.where(held), limits.n_common).select(*hashed).collect(), *whole.withColumn("lang", F.lit(ALL)).select(*hashed).collect()]
+    words: dict = {k: [] for k in [*langs, ALL]}
     for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], r["h"])):
         words[r["lang"]].append((r["h"], r["n"]))
-    pooled: dict = {}
-    for found in words.values():
-        for h, n in found:
-            pooled[h] = pooled.get(h, 0) + n
-    words[ALL] = sorted(pooled.items(), key=lambda x: (-x[1], x[0]))[: limits.n_common]
     shares = {}
     for k, (total, *rest) in chars.items():
         rest = [*rest, total - sum(rest)]
         shares[k] = [c / total if total else 0.0 for c in rest]
-    return shares, {k: [(h, n / max(1, sum(x[1] for x in v))) for h, n in v] for k, v in words.items()}
+    words = {k: [(h, n / max(1, sum(x[1] for x in v))) for h, n in v] for k, v in words.items()}
+    return shares, words, _further(own, counts, large.where(~held), limits) if more else None
+
+
+def _further(own: DataFrame, counts: DataFrame, large: DataFrame, limits: Limits) -> DataFrame:
+    large = large.select("lang")
+    of_words = _top(counts.join(large, "lang", "left_semi"), limits.n_common).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.xxhash64("w").alias("h")))).alias("top"), F.sum("n").alias("total"))
+    of_words = of_words.select("lang", F.transform("top", lambda t: t["h"]).alias("q_hashes"), F.transform("top", lambda t: -t["n"] / F.col("total")).alias("q_words"))
+    of_chars = _class_sums(own.join(large, "lang", "left_semi"))
+    left = F.col("all")
+    for k in NAMES:
+        left = left - F.col(k)
+    of_chars = of_chars.select("lang", F.array(*[c / F.col("all") for c in (*map(F.col, NAMES), left)]).alias("q_chars"))
+    zeros = F.array_repeat(F.lit(0.0), F.lit(limits.n_common) - F.size("q_words"))
+    return persist(of_words.join(of_chars, "lang").select("lang", "q_chars", "q_hashes", F.concat("q_words", zeros).alias("q_words")), "quality-languages")
+
+
+def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[dict, dict]:
+    """Language references, counted over all documents: {lang: {class: share}} and
+    {lang: [(word hash, share)]} of the most common words; "*" is all documents.
+
+    Words are counted by (language, word) with partial sums; what reaches the driver
+    is ``n_common`` words for at most ``max_languages`` languages (those with most
+    words, each with at least ``min_reference_words``) and for all documents, and one
+    row of class counts each."""
+    return _references(docs, limits)[:2]
 
 
 def _js(p: Column, q: Column) -> Column:
@@ -182,26 +214,47 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     fail; repeated rows are judged each; an empty table gives no rows; extra columns
     are ignored.
     """
-    chars, words = references(docs, limits)
+    chars, words, more = _references(docs, limits)
+    known = [k for k in words if k != ALL]
+    if more is None:
+        return _judged(_held(measures(docs, limits), chars, words, limits), limits)
+    held = F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).isin([*known, ALL])
+    further = measures(docs.where(~held), limits).join(more, "lang", "left")
+    parts = [_held(d, chars, words, limits) for d in (measures(docs.where(held), limits), further)]
+    return _judged(parts[0].unionByName(parts[1]), limits)
+
+
+def _held(of: DataFrame, chars: dict, words: dict, limits: Limits) -> DataFrame:
+    """``measures`` with marks, judged (whether the reference has words), q_words and
+    q_chars, by the references that the driver holds or by those of ``more`` joined to it."""
     known = [k for k in words if k != ALL]
-    of = measures(docs, limits).withColumn("ref", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL)) if known else F.lit(ALL))
+    of = of.withColumn("ref", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL)) if known else F.lit(ALL))
     k = limits.n_common
 
-    def by_ref(values: dict, kind: str, empty: list) -> Column:
-        out = F.array(*[F.lit(v) for v in values.get(ALL) or empty]).cast(kind)
+    def by_ref(values: dict, kind: str) -> Column:
+        out = F.array(*[F.lit(v) for v in values[ALL]]).cast(kind)
         for name in known:
             out = F.when(F.col("ref") == name, F.array(*[F.lit(v) for v in values[name]]).cast(kind)).otherwise(out)
         return out
 
-    share = by_ref({n: [s for _, s in v] + [0.0] * (k - len(v)) for n, v in words.items()}, "array<double>", [0.0] * k)
-    q_chars = by_ref(chars, "array<double>", [0.0] * (2 + len(CLASSES)))
+    share = by_ref({n: [s for _, s in v] + [0.0] * (k - len(v)) for n, v in words.items()}, "array<double>")
     marks = F.lit(None).cast("string")
     for name in [*known, ALL]:
-        own = [h for h, _ in words.get(name, [])]
+        own = [h for h, _ in words[name]]
         if own:
             marks = F.when(F.col("ref") == name, _marks(F.col("wh"), own)).otherwise(marks)
-    of = of.withColumn("marks", F.coalesce(marks, F.lit(""))).drop("wh")
-    of = of.withColumns({"n_common": F.length("marks"), "q_words": share, "q_chars": q_chars})
+    q_chars = by_ref(chars, "array<double>")
+    if "q_hashes" in of.columns:
+        own = F.transform(F.filter("wh", lambda h: F.array_contains("q_hashes", h)), lambda h: F.char(F.array_position("q_hashes", h) + 47))
+        marks = F.when(F.col("q_hashes").isNotNull(), F.array_join(own, "")).otherwise(marks)
+        share, q_chars = F.coalesce("q_words", share), F.coalesce("q_chars", q_chars)
+    of = of.withColumns({"marks": marks, "q_words": share, "q_chars": q_chars}).drop("wh")
+    return of.withColumns({"judged": F.col("marks").isNotNull(), "marks": F.coalesce("marks", F.lit(""))}).drop("ref", "q_hashes")
+
+
+def _judged(of: DataFrame, limits: Limits) -> DataFrame:
+    k = limits.n_common
+    of = of.withColumn("n_common", F.length("marks"))
     safe = F.greatest(F.col("n_common"), F.lit(1)).cast("double")
     p_words = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("n_common") - F.length(F.replace("marks", F.char(i + 48), F.lit("")))) / safe)
     word_js = _js(p_words, F.col("q_words"))
@@ -212,7 +265,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         rest = rest - c
     char_js = _js(F.array(*[c / letters for c in [*counted, rest]]), F.col("q_chars"))
     of = of.withColumn("char_js", F.when(F.col("word_chars") >= limits.min_chars, char_js))
-    of = of.withColumn("word_js", F.when((F.col("n_words") >= limits.min_judged_words) & (F.size("q_words") > 0), F.when(F.col("n_common") == 0, F.lit(1.0)).otherwise(word_js)))
+    of = of.withColumn("word_js", F.when((F.col("n_words") >= limits.min_judged_words) & F.col("judged"), F.when(F.col("n_common") == 0, F.lit(1.0)).otherwise(word_js)))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words"))
     far = F.coalesce(F.col("char_js") > limits.max_char_js, F.lit(False)) | F.coalesce(F.col("word_js") > limits.max_word_js, F.lit(False))
     return of.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_js", "word_js")

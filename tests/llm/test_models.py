@@ -71,6 +71,37 @@ def test_quality_empty(empty):
     assert quality.judge(empty).collect() == []
 
 
+def test_quality_reference_of_all(spark):
+    """Documents without a language are judged by the words of all documents."""
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    rows = [(i, " ".join(words[(i + j * j) % (5 + i % 20)] for j in range(80)), None if i % 3 else "xx") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = Counter(w for _, text, _ in rows for w in text.split())
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]
+    total = sum(n for _, n in top)
+    for limits in (quality.Limits(n_common=20), quality.Limits(n_common=20, min_reference_words=100)):
+        _, found = quality.references(docs, limits)
+        assert sorted(s for _, s in found["*"]) == sorted(n / total for _, n in top)
+        got = {r.doc_id: r.word_js for r in quality.judge(docs, limits).collect()}
+        for doc, text, lang in rows:
+            if lang is None:
+                own = Counter(text.split())
+                n = sum(own[w] for w, _ in top)
+                pairs = [(own[w] / n, c / total) for w, c in top]
+                want = math.sqrt(sum(x * math.log2(2 * x / (a + b)) for a, b in pairs for x in (a, b) if x) / 2)
+                assert abs(got[doc] - want) < 1e-6
+
+
+def test_quality_languages_beyond_the_bound(small):
+    docs = small.unionByName(small.where("doc_id < 20").withColumn("lang", F.lit("few")))
+    rows = [quality.judge(docs, quality.Limits(max_languages=n)).collect() for n in (64, 1, 0)]
+    key = lambda r: (r.doc_id, r.char_js or 0, r.word_js or 0)
+    for other in rows[1:]:
+        assert len(other) == len(rows[0])
+        for a, b in zip(sorted(rows[0], key=key), sorted(other, key=key)):
+            assert a[:8] == b[:8] and all((x is None) == (y is None) and abs((x or 0) - (y or 0)) < 1e-6 for x, y in zip(a[8:], b[8:]))
+
+
 def water_fill(nodes, budget):
     """Exact shares by the definition: {name: (cap, weight)}."""
     alloc, left, open_ = {}, min(budget, sum(c for c, _ in nodes.values())), dict(nodes)
