@@ -1,5 +1,6 @@
 """Semantics against plain Python: types, division, boundaries, programs, errors."""
 
+import math
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -263,6 +264,22 @@ def test_nl_means_keeps_flat_images(spark):
     assert out.count() and out.where(F.abs(F.col("v") - 9) > 1e-9).isEmpty()
 
 
+def test_nl_means_query_takes_the_whole_image(spark, tmp_path):
+    from tessera import queries
+
+    h, v = 26, lambda x, y: (x * 37 + y * 91 + x * y) % 256
+    rows = [(y * 100 + x, v(x, y) * 2.0) for y in range(h) for x in range(100)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.x, r.y): r.v for r in queries.queries()["nl_means"](spark, str(tmp_path)).collect()}
+    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    for y in range(2, h - 2):
+        for x in (2, 50, 97):
+            ds = [sum((v(x + p, y + q) - v(x + p + i, y + q + j)) ** 2 for p, q in near) for i, j in near]
+            w = [math.exp(-d / (30.0**2 * 9)) for d in ds]
+            want = sum(a * v(x + i, y + j) for a, (i, j) in zip(w, near)) / sum(w)
+            assert abs(got[x, y] - want) < 1e-6
+
+
 def test_moving_blocks(spark):
     a = generate(spark, ("k",), [300], F.pmod(F.col("k") * 7919, F.lit(101)), I64)
     got = {r.k: r.v for r in reduce.moving(a, "k", 5, 2, F.max, block=16).df.collect()}
