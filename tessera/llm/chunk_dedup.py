@@ -1,7 +1,9 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the bytes chooses cuts at word starts, so chunks depend
-on near context only and find their places again after an insertion.  A chunk is a
+A gear rolling hash over the bytes chooses cuts at word starts, by a bound and where
+it is least among the neighbouring words (repeated words or lines, which may never
+fall below the bound, are so cut once a period).  Chunks depend on near context only
+and find their places again after an insertion.  A chunk is a
 repeat if an equal chunk (by 96-bit digest) comes earlier, in order of doc_id and
 place.  Runs of repeats that together hold at least ``min_words`` words are removed;
 shorter ones (a common phrase, one short line) stay.
@@ -20,6 +22,8 @@ from ._shared import arrow_schema, batch, docs_view, struct_of, text_slices
 
 #: Bytes that the rolling hash sees, and the share of word starts that become cuts.
 GEAR_BYTES, WORDS_A_CUT = 16, 6
+#: A word start whose hash is least among so many before and after it is a cut too.
+NEAR_WORDS = 4
 MAX_CHUNK = 1024
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,12 +49,23 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """Whether each hash is the least, or one of the least, of those near it."""
+    wide = np.full(len(h) + 2 * NEAR_WORDS, 2**32 - 1, dtype=np.uint32)
+    wide[NEAR_WORDS : len(h) + NEAR_WORDS] = h
+    low = h
+    for i in range(2 * NEAR_WORDS + 1):
+        low = np.minimum(low, wide[i : i + len(h)])
+    return h == low
+
+
 def chunk_edges(data: np.ndarray) -> np.ndarray:
     """Edges of a text's chunks as byte places, 0 and the length included.
 
     A cut stands at a word's start where the hash of the bytes before it is in the
-    lowest 1/6 of its range; stretches of over 1,024 bytes without one are cut at
-    every 1,024th byte, moved back to the start of a UTF-8 character."""
+    lowest 1/6 of its range or least among the hashes of four word starts before and
+    after it; stretches of over 1,024 bytes without one are cut at every 1,024th byte,
+    moved back to the start of a UTF-8 character."""
     n = len(data)
     if n == 0:
         return np.zeros(1, dtype=np.int64)
@@ -58,7 +73,7 @@ def chunk_edges(data: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     starts = starts[starts >= GEAR_BYTES]
     h = rolling_hash(data)[starts - 1]
-    edges = np.concatenate(([0], starts[h < np.uint32((1 << 32) // WORDS_A_CUT)], [n]))
+    edges = np.concatenate(([0], starts[(h < np.uint32((1 << 32) // WORDS_A_CUT)) | _least(h)], [n]))
     gaps = np.diff(edges)
     if gaps.max() > MAX_CHUNK:
         extra = []
@@ -71,20 +86,20 @@ def chunk_edges(data: np.ndarray) -> np.ndarray:
     return edges
 
 
-_CHUNK = struct_of("hi bigint, lo int, salt bigint, doc_id bigint, text_key int, span bigint")
+_MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
+_CHUNK = struct_of("hi bigint, lo_key bigint, doc_id bigint, span bigint")
 #: A span is one long, so that few bytes are shuffled: start, then 12 bits of length, 11 of words, 1 of again.
 _LENGTH_AT, _WORDS_AT, _START_AT = 12, 1, 24
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """A row for each chunk that holds a word: 96 bits of its digest (hi and lo), doc_id,
-    text_key, span (bytes, words, and again: a repeat within the rows read together)
-    and salt.
-
-    Equal chunks of one batch meet here: only the first of them (salt 0) has to
-    meet those of other batches, so a digest brings at most one row a batch to its
-    group however common it is; the rest are repeats already and carry a salt of
-    their own, which deals them evenly."""
+    """A row for each chunk that holds a word: 96 bits of its digest (hi, and lo in the
+    upper half of lo_key), doc_id, text_key (the lower half) and span (bytes, words, and again: a repeat within the rows read together).
+
+    Equal chunks of one batch meet here: only the first of them has to meet those of
+    other batches, so a digest brings at most one row a batch to its group however
+    common it is; the rest are repeats already and carry a number of their own for
+    the digest, which deals them evenly."""
     schema = arrow_schema(_CHUNK)
 
     def run(batches):
@@ -119,9 +134,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             new = np.concatenate(([True], np.any(two[1:] != two[:-1], axis=1)))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             again = (ids != ids[lead]) | (keys != keys[lead]) | (span[0] != span[0][lead])
-            salt = np.where(again, two[:, 0] ^ (ids * 1_000_003 + span[0] * 2 + 1) | 1, 0)
+            with np.errstate(over="ignore"):
+                own = (ids * _MIX ^ keys) * _MIX + span[0] * 2 + 1
+                two[:, 0] = np.where(again, two[:, 0] ^ (own * _MIX), two[:, 0])
             packed = span[0] << _START_AT | (span[1] - span[0]) << _LENGTH_AT | n_words << _WORDS_AT | again
-            yield batch(schema, [two[:, 0], two[:, 1].astype(np.int32), salt, pa.array(ids, pa.int64(), mask=null), keys, packed])
+            lo_key = two[:, 1] << 32 | keys.astype(np.int64) & 0xFFFFFFFF
+            yield batch(schema, [two[:, 0], lo_key, pa.array(ids, pa.int64(), mask=null), packed])
 
     return _keyed(docs).mapInArrow(run, _CHUNK)
 
@@ -132,9 +150,11 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, stop, words of every chunk with an equal one before it."""
+    # dealt before lo_key is taken apart, so that no column made from others is shuffled
+    dealt = chunks(docs).repartition("hi").select("hi", F.shiftright("lo_key", 32).alias("lo"), "doc_id", F.shiftright(F.shiftleft("lo_key", 32), 32).cast("int").alias("text_key"), "span")
     start = F.shiftright("span", _START_AT)
-    first = Window.partitionBy("hi", "lo", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "text_key", start)
-    ranked = chunks(docs).withColumn("rank", F.rank().over(first)).where((F.col("rank") > 1) | (F.col("span") % 2 == 1))
+    first = Window.partitionBy("hi", "lo").orderBy(F.col("doc_id").asc_nulls_first(), "text_key", "span")
+    ranked = dealt.withColumn("rank", F.rank().over(first)).where((F.col("rank") > 1) | (F.col("span") % 2 == 1))
     stop = start + F.shiftright("span", _LENGTH_AT).bitwiseAND((1 << _START_AT - _LENGTH_AT) - 1)
     words = F.shiftright("span", _WORDS_AT).bitwiseAND((1 << _LENGTH_AT - _WORDS_AT) - 1)
     return ranked.select("doc_id", "text_key", start.alias("start"), stop.alias("stop"), words.alias("words"))

@@ -66,6 +66,19 @@ def test_chunks_resist_insertions():
     assert len(a & b) > 0.98 * len(a)
 
 
+@pytest.mark.parametrize("period", [1, 3, 10, 17, 51])
+def test_passages_over_fifty_words_are_found(spark, period):
+    """Ordinary (period 51) and repetitive passages of 51 words lose their second copy."""
+    rng = np.random.default_rng(period)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    rows = []
+    for i in range(60):
+        passage = (words(period) * 51)[:51]
+        rows += [(2 * i, " ".join(words(30) + passage + words(30))), (2 * i + 1, " ".join(words(40) + passage + words(20)))]
+    got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.removed_bytes for r in got if r.doc_id % 2)
+
+
 def test_prefix_hash():
     rng = np.random.default_rng(0)
     for _ in range(30):
