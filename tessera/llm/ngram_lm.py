@@ -36,7 +36,8 @@ from .elias_fano import EliasFano
 
 END = b"\n"  # the end token's key; no word holds white space
 DISCOUNT = 0.75
-#: 8-bit code q stands for 10 ** -(q / STEPS); 255 for nothing.
+#: 8-bit code q stands for 10 ** -(q / steps); 255 for nothing.  A level has STEPS steps a
+#: decade, or as many as its smallest share leaves.
 STEPS = 40.0
 SHARD_ENTRIES = 500_000
 _BLOB = struct_of("blob binary")
@@ -54,11 +55,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, 254).astype(np.uint8)
+def _steps(most: int) -> float:
+    """Steps a decade of a level whose contexts are counted at most ``most`` times: code
+    254 reaches DISCOUNT / most, below which no share and no rest lies."""
+    return min(STEPS, 254 / float(np.log10(max(most, 2) / DISCOUNT)))
 
 
-_UNQUANT = np.concatenate((10 ** (-np.arange(255) / STEPS), [0.0]))
+def _quantise(log10: np.ndarray, steps: float) -> np.ndarray:
+    return np.clip(np.rint(-log10 * steps), 0, 254).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -69,6 +73,7 @@ class Model:
     n_words: int
     files: tuple[tuple[str, ...], ...]
     widths: tuple[int, ...]  # nodes a shard; at level 1 the bits that a shard's hashes share
+    steps: tuple[float, ...] = (STEPS,)  # of each level's codes; level 1 has none
 
 
 def _map(uri: str) -> mmap.mmap:
@@ -157,6 +162,7 @@ class Level:
 
     def __init__(self, model: Model, k: int):
         self.width, self.v = model.widths[k - 1], model.n_words
+        self.value = np.concatenate((10 ** (-np.arange(255) / model.steps[k - 1]), [0.0]))
         self.shards, at = {}, 0
         shares, lefts = [], []
         for shard, data, offset in sorted((s, d, o) for uri in model.files[k - 1] for s, d, o in _blobs(uri)):
@@ -180,7 +186,7 @@ class Level:
         node, share, left = np.full(len(nodes), -1, dtype=np.int64), np.zeros(len(nodes)), np.ones(len(nodes))
         rows = np.flatnonzero(nodes >= 0)
         code = self.left[nodes[rows]]
-        left[rows] = _UNQUANT[code]
+        left[rows] = self.value[code]
         rows = rows[(code > 0) & (words[rows] >= 0)]  # a context without kept successors leaves all
         keys = nodes[rows] * np.int64(self.v) + words[rows]  # also the value in the shard, from the shard's first node on
         slot = ((keys * np.int64(_MIX)) >> 44) & (_SLOTS - 1)
@@ -198,7 +204,7 @@ class Level:
             self.found[slot[miss]] = got  # of two in one slot the later stays, in both arrays
         rows, at = rows[at >= 0], at[at >= 0]
         node[rows] = at
-        share[rows] = _UNQUANT[self.share[at]]
+        share[rows] = self.value[self.share[at]]
         return node, share, left
 
     def successors(self, node: int) -> np.ndarray:
@@ -358,10 +364,10 @@ def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
     return train.mapInArrow(run, out).groupBy("node", "word").agg(F.sum("c").alias("c"))
 
 
-def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: int) -> tuple[str, int]:
+def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: int, most: int) -> tuple[str, int]:
     n_shards = max(1, -(-n_kept // SHARD_ENTRIES))
     width = max(1, -(-n_nodes // n_shards))
-    v = model.n_words
+    v, steps, least = model.n_words, _steps(most), DISCOUNT / max(most, 2)
     schema = arrow_schema(_BLOB)
 
     def run(batches):
@@ -375,10 +381,10 @@ def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: in
             taken = np.bincount(local, weights=share, minlength=size)
             degree = np.bincount(local, minlength=size)
             # at least code 1 where there are successors: 0 says that there are none
-            left = np.where(degree > 0, np.maximum(_quantise(np.log10(np.maximum(1 - taken, 1e-6))), 1), 0).astype(np.uint8)
+            left = np.where(degree > 0, np.maximum(_quantise(np.log10(np.maximum(1 - taken, least)), steps), 1), 0).astype(np.uint8)
             ends = np.concatenate(([0], np.cumsum(degree)))
             values = local.astype(np.uint64) * np.uint64(v) + word.astype(np.uint64)
-            payload = elias_fano.encode(values, size * v) + elias_fano.encode(ends, len(node) + 1) + _quantise(np.log10(share)).tobytes() + left.tobytes() + np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
+            payload = elias_fano.encode(values, size * v) + elias_fano.encode(ends, len(node) + 1) + _quantise(np.log10(share), steps).tobytes() + left.tobytes() + np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
             yield batch(schema, [[_blob(shard, payload)]])
 
     path = fresh_path(kept.sparkSession, f"lm-level{k}")
@@ -394,7 +400,7 @@ def train_model(docs: DataFrame, order: int = 2, min_count: int = 2) -> Model:
         raise ValueError("n-grams seen once are left out")
     spark, train = docs.sparkSession, docs_view(docs, "text")
     words = persist(_unigrams(train).where("c > 0"), "lm-words")
-    n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    n_words, n_tokens, most = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
     path, bits = _write_vocabulary(words, n_words)
     model = Model(n_tokens, n_words, (_publish(spark, path),), (bits,))
     n_nodes = n_words
@@ -402,10 +408,10 @@ def train_model(docs: DataFrame, order: int = 2, min_count: int = 2) -> Model:
         if max(n_words, n_nodes) >= 1 << 31:
             raise ValueError("numbers of words and nodes are kept in 31 bits")
         kept = persist(_ngrams(train, model, k).where(F.col("c") >= min_count), f"lm-counts{k}")
-        n_kept = kept.count()
-        path, width = _write_level(kept, model, k, n_nodes, n_kept)
-        model = Model(n_tokens, n_words, (*model.files, _publish(spark, path)), (*model.widths, width))
-        n_nodes = n_kept
+        n_kept, most_kept = kept.agg(F.count("*"), F.coalesce(F.max("c"), F.lit(0))).first()
+        path, width = _write_level(kept, model, k, n_nodes, n_kept, most)
+        model = Model(n_tokens, n_words, (*model.files, _publish(spark, path)), (*model.widths, width), (*model.steps, _steps(most)))
+        n_nodes, most = n_kept, most_kept
     return model
 
 

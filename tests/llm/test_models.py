@@ -257,6 +257,18 @@ def test_language_model_empty(empty, odd):
     assert len(got) == odd.count() and all(r.n_known == 0 for r in got)
 
 
+def test_shares_of_frequent_contexts(spark, monkeypatch):
+    """A context counted 2e8 times: shares and what is left keep their size."""
+    counted = ngram_lm._unigrams
+    often = F.col("h") == int(np.uint64(ngram_lm.hash_of(b"the")).view(np.int64))
+    monkeypatch.setattr(ngram_lm, "_unigrams", lambda train: counted(train).withColumn("c", F.when(often, F.lit(200_000_000)).otherwise(F.col("c")).cast("bigint")))
+    docs = spark.createDataFrame([("the cat the cat the dog the dog the dog",)], "text string")
+    vocab, level = ngram_lm.opened(ngram_lm.train_model(docs))
+    (the, *next_words), _ = vocab.lookup([b"the", b"cat", b"dog"])
+    _, share, left = level.lookup(np.array([the, the]), np.array(next_words))
+    assert np.abs(share / (np.array([1.25, 2.25]) / 2e8) - 1).max() < 0.05 and (left > 0.9).all()
+
+
 def test_trie_successors(small):
     model = ngram_lm.train_model(small.limit(100), order=2)
     vocab, level = ngram_lm.opened(model)
