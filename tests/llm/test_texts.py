@@ -1,6 +1,7 @@
 """Chunk dedup, fingerprints, language ID and SimHash against brute force."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -14,44 +15,78 @@ def order(d):
     return (d is not None, d or 0)
 
 
-def brute_chunks(docs, min_words, key):
-    """doc -> kept text, by one dictionary of digests in order."""
-    import re
-
-    seen, out = {}, {}
-    rows = {(d.doc_id, d.text or "") for d in docs}
-    for doc, text in sorted(rows, key=lambda r: (order(r[0]), key(r[1]))):
-        raw = text.encode()
-        e = chunk_dedup.chunk_edges(np.frombuffer(raw, dtype=np.uint8)).tolist()
-        spans = []
-        for a, b in zip(e, e[1:]):
-            words = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if a <= m.start() < b]
-            if words:
-                if raw[a:b] in seen:
-                    spans.append((a, b, len(words)))
-                seen.setdefault(raw[a:b], doc)
-        gone = chunk_dedup._runs(spans, min_words)
-        kept, last = b"", 0
-        for a, b in gone:
-            kept += raw[last:a]
-            last = b
-        out[doc, text] = (kept + raw[last:]).decode()
-    return out
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("table", ["odd", "small"])
-def test_chunk_dedup(table, request):
-    docs = request.getfixturevalue(table)
-    docs = docs if table == "odd" else docs.where("doc_id < 260")
-    hashes = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("h")).collect()}
-    want = brute_chunks(docs.collect(), 16, hashes.get)
-    old = docs.groupBy("doc_id", "text").count().count()
-    got = chunk_dedup.dedup_substrings(docs.withColumn("old", F.col("text"))).collect()
-    assert len(got) == docs.count() and old == len(want)
+def windows(raw, n):
+    """Byte ranges of all windows of n words."""
+    at = [m.span() for m in WORD.finditer(raw)]
+    return [(a[0], b[1]) for a, b in zip(at, at[n - 1 :])]
+
+
+def test_chunk_dedup(small):
+    """Held against windows of words, without the operator's chunks: what goes is said
+    before, word for word; what shares nothing stays; no long passage is left twice."""
+    docs = small.where("doc_id < 400")
+    got = chunk_dedup.dedup_substrings(docs.withColumn("old", F.col("text"))).orderBy("doc_id").collect()
+    assert len(got) == docs.count() and any(r.removed_bytes for r in got) and any(not r.removed_bytes for r in got)
+    before, left = b"", {}
+    seen: set[bytes] = set()
     for r in got:
-        assert (r.text or "") == want[r.doc_id, r.old or ""]
-        assert (r.text is None) == (r.old is None)
-    assert any(r.removed_bytes for r in got)
+        raw, kept, last = (r.old or "").encode(), [], 0
+        for s in r.removed_spans:
+            kept.append(raw[last : s.start])
+            last = s.stop
+            gone = raw[s.start : s.stop]  # may begin or end inside a long word
+            said = [(a, b) for a, b in windows(gone, 16) if gone[a:b] in before or raw.find(gone[a:b]) < s.start + a]
+            for m in WORD.finditer(gone):
+                assert any(a <= m.start() and m.end() <= b for a, b in said) or gone in before
+        assert b"".join([*kept, raw[last:]]).decode() == (r.text or "")
+        own = [b" ".join(WORD.findall(raw[a:b])) for a, b in windows(raw, 16)]
+        if len(set(own)) == len(own) and not seen & set(own):
+            assert r.removed_bytes == 0
+        seen |= set(own)
+        before += b"\n" + raw
+        new = (r.text or "").encode()
+        for w in {b" ".join(WORD.findall(new[a:b])) for a, b in windows(new, 51)}:
+            assert left.setdefault(w, r.doc_id) == r.doc_id
+
+
+def test_chunk_dedup_odd(odd):
+    got = chunk_dedup.dedup_substrings(odd.withColumn("old", F.col("text"))).collect()
+    assert len(got) == odd.count()
+    assert all((r.text is None) == (r.old is None) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].text == by[1].old and by[5].text == by[5].old and len(by[6].text) < 100
+    assert "passage10 of shared words" not in by[8].text and by[8].text.endswith("and after it")
+    assert len({(r.doc_id, r.text) for r in got}) == len({(r.doc_id, r.old) for r in got})
+
+
+def test_rows_of_one_hash_keep_their_bytes(spark):
+    """Two rows without an id whose texts have one 32-bit hash: the repeats of one are
+    not cut from the other, which repeats nothing."""
+    words = F.concat_ws(" ", *[F.concat(F.lit("é" * (i % 5 + 1)), (F.col("id") * 31 + i).cast("string")) for i in range(40)])
+    lines = spark.range(150_000).select("id", words.alias("text")).withColumn("h", F.hash("text"))
+    pair = lines.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").first().t[:2]
+    for i in (0, 1):
+        rows = [(-5, pair[i]), (7, pair[0]), (7, pair[1]), (None, "x " + pair[i]), (None, pair[1 - i] + " y")]
+        got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+        texts = [r.text for r in got]
+        assert "x " + pair[i] in texts and pair[1 - i] + " y" in texts
+        rows = [(-5, pair[i]), (7, pair[0]), (7, pair[1])]
+        got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+        assert sorted(len(r.text) for r in got if r.doc_id == 7) == [0, len(pair[1 - i])]
+
+
+@pytest.mark.parametrize("alphabet", ["あいうえおかきくけこさしすせそたちつてと", "abcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_texts_without_spaces(spark, alphabet):
+    rng = np.random.default_rng(3)
+    make = lambda n: "".join(rng.choice(list(alphabet), n))
+    shared = make(1500)
+    rows = [(1, make(900) + shared + make(300)), (2, make(77) + shared + make(1300)), (3, make(2500))]
+    got = {r.doc_id: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].removed_bytes == got[3].removed_bytes == 0
+    assert 0.8 * len(shared.encode()) < got[2].removed_bytes <= len(shared.encode())
 
 
 def test_chunk_dedup_empty(empty):
