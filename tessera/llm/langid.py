@@ -13,15 +13,16 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import arrow_schema, batch, docs_view, struct_of, text_slices
 
 DIM = 4096
-#: The classifier is fitted on about this many documents a language, and in all.
-SAMPLE_PER_LANG, SAMPLE_TOTAL = 400, 6000
+#: The classifier is fitted on so many different texts a language, in all (but for many
+#: languages), and at least.
+SAMPLE_PER_LANG, SAMPLE_TOTAL, LEAST_PER_LANG = 400, 6000, 8
 _LETTER: list[np.ndarray] = []
 
 
@@ -118,7 +119,8 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> LanguageModel:
     names = sorted(set(langs))
     if not names:
         return LanguageModel()
-    y = np.array([names.index(k) for k in langs])
+    number = {k: i for i, k in enumerate(names)}
+    y = np.array([number[k] for k in langs])
     means = np.stack([x[y == i].mean(axis=0) for i in range(len(names))])
     groups = learn_families(means - means.mean(axis=0), max(1, round(len(names) ** 0.5)))
     family = np.zeros(len(names), dtype=int)
@@ -137,34 +139,43 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> LanguageModel:
 def fit(train: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TOTAL) -> LanguageModel:
     """Learns from ``text`` and non-null ``lang``.
 
-    Languages are counted over all rows; the classifier is fitted on rows whose hash
-    falls below a bound that leaves about ``per_lang`` a language and ``total`` in
-    all.  Only their vectors reach the driver."""
-    rows = train.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(total).collect()}
+    The classifier is fitted on the texts of each language whose hashes are least:
+    ``per_lang`` of them, or as many as ``total`` leaves a language, and never fewer than
+    ``LEAST_PER_LANG``.  Texts without letters are left out, copies of a text count once,
+    and every language that has a text with a letter is learned, however rare it is.
+    Languages are counted over all rows; what reaches the driver is a row a language, as
+    in the model itself, and the sample's vectors."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = train.select(text.alias("text"), lang.alias("lang")).where("lang is not null").where(F.rlike("text", F.lit("\\p{L}")))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return LanguageModel()
-    want = max(20, min(per_lang, total // len(counts)))
-    share = {k: min(1.0, want / n) for k, n in counts.items()}
-    bound = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])[F.col("lang")]
-    few = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < bound * (1 << 30))
-    out = struct_of("lang string, x binary")
+    want = max(LEAST_PER_LANG, min(per_lang, total // len(counts)))
+    spark = train.sparkSession
+    # rows that can be among the least: eight times as many texts as wanted fall below the bound
+    bounds = spark.createDataFrame([(k, int(min(1.0, 8 * want / n) * (1 << 62))) for k, n in counts.items()], "lang string, bound bigint")
+    low = rows.join(F.broadcast(bounds), "lang").where(F.shiftrightunsigned("h", 2) <= F.col("bound"))
+    least = low.groupBy("lang", "h").count().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 2), "h")))
+    chosen = least.where(F.col("r") <= want).select("lang", "h").collect()
+    # at most ``want`` texts a language, which bounds the broadcast; a text comes once a task and is then met with its copies
+    picked = rows.join(F.broadcast(spark.createDataFrame([(r["lang"], r["h"]) for r in chosen], "lang string, h bigint")), ["lang", "h"]).select("lang", "h", "text")
+    out = struct_of("lang string, h bigint, x binary")
     schema = arrow_schema(out)
 
     def run(batches):
+        done = set()
         for b, texts in text_slices(batches):
-            found = [(k, f.astype(np.float16).tobytes()) for k, t in zip(b.column(1).to_pylist(), texts) if (f := features(t)) is not None]
-            yield batch(schema, [[k for k, _ in found], [f for _, f in found]])
-
-    got = sorted((r["lang"], bytes(r["x"])) for r in few.mapInArrow(run, out).collect())
-    # copies of one hot text hash alike and could all fall below the bound
-    rng, by = np.random.default_rng(5), {}
-    for k, f in got:
-        by.setdefault(k, []).append(f)
-    kept = [(k, v[i]) for k, v in by.items() for i in sorted(rng.permutation(len(v))[: 2 * want])]
+            fresh = {(k, h): t for k, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts) if (k, h) not in done}
+            done |= fresh.keys()
+            found = [(k, h, f.astype(np.float16).tobytes()) for (k, h), t in fresh.items() if (f := features(t)) is not None]
+            yield batch(schema, [list(c) for c in zip(*found)] if found else [[], [], []])
+
+    vectors = picked.mapInArrow(run, out).groupBy("lang", "h").agg(F.min("x").alias("x"))
+    kept = sorted((r["lang"], r["h"], bytes(r["x"])) for r in vectors.collect())
     if not kept:
         return LanguageModel()
-    return fit_arrays(np.stack([np.frombuffer(f, dtype=np.float16) for _, f in kept]).astype(np.float32), [k for k, _ in kept])
+    return fit_arrays(np.stack([np.frombuffer(f, dtype=np.float16) for _, _, f in kept]).astype(np.float32), [k for k, _, _ in kept])
 
 
 _PRED = "lang_pred string, score double"
