@@ -127,11 +127,9 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs_view(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")).mapInArrow(run, _PRINTS)
 
 
-def _stars(fps: np.ndarray, reps: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None, most: int) -> list[tuple[int, int]]:
-    """Links (a, b), b the smallest representative linked to a inside the given sets;
+def _stars(fps: np.ndarray, reps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links (a, b), b the smallest representative linked to a inside the given set;
     as many as there are fingerprints at most."""
-    if other is not None:
-        fps, reps = np.concatenate((fps, other[0])), np.concatenate((reps, other[1]))
     n = len(fps)
     label = np.arange(n)
     order = np.argsort(reps, kind="stable")
@@ -155,16 +153,16 @@ def _stars(fps: np.ndarray, reps: np.ndarray, other: tuple[np.ndarray, np.ndarra
     return [(int(reps[i]), int(reps[label[i]])) for i in np.flatnonzero(label != np.arange(n))]
 
 
-_EDGE = struct_of("a bigint, b bigint, key bigint, fp bigint, rep bigint, block bigint, n_blocks bigint")
+_EDGE = struct_of("a bigint, b bigint, key bigint, fp bigint, rep bigint, block bigint")
 
 
 def links(prints: DataFrame, most: int = 4) -> DataFrame:
     """a, b: spanning links between the fingerprints of ``prints`` (fp, rep: distinct
     fingerprints with a representative each) that differ in at most ``most`` (0 to 4) bits.
 
-    Keys are made and grouped in one shuffle.  A bucket of over ``BLOCK``
-    fingerprints is not compared there: its rows are dealt again, a task for each
-    pair of its blocks, so no bucket is too large for a task.
+    Keys are made and grouped in one shuffle.  A bucket that reaches ``BLOCK``
+    fingerprints is not compared there: its rows leave in blocks as they come and are
+    dealt again, a task for each pair of blocks, so no bucket is too large for a task.
     """
     if not 0 <= most <= 4:
         raise ValueError("segments are cut for at most four differing bits")
@@ -180,49 +178,58 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
                 yield batch(key_schema, [keys.view(np.int64), fps[rows], reps[rows]])
 
     def compare(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(keys, fps, reps):
+        """Links inside whole buckets of a batch; a bucket that fills a block leaves as
+        numbered blocks, one at a time, so a task never holds more than one of it."""
+        now, held, size, block = None, [], 0, 0  # the last bucket: key, rows not sent yet, blocks that went before
+
+        def rows_of(links=(), late=None):
+            links, cols = list(set(links)), late or [np.zeros(0, dtype=np.int64)] * 4
+            none, gap = [None] * len(cols[0]), [None] * len(links)
+            ends = [[*(e[k] for e in links), *none] for k in (0, 1)]
+            return batch(edge_schema, [*ends, *[pa.array([*gap, *c.tolist()], pa.int64()) for c in cols]])
+
+        def finish():
+            keys, fps, reps = (np.concatenate(c) for c in zip(*held))
+            if block:
+                return rows_of(late=[keys, fps, reps, np.full(len(keys), block)])
+            return rows_of(_stars(fps.view(np.uint64), reps, most))
+
+        def inside(keys, fps, reps):
             new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.concatenate((new, [len(keys)])))
             edges: list[tuple[int, int]] = []
-            late: list[tuple[np.ndarray, ...]] = []
             pair = new[sizes == 2]
             close = pair[np.bitwise_count(fps[pair].view(np.uint64) ^ fps[pair + 1].view(np.uint64)) <= most]
             edges += zip(np.maximum(reps[close], reps[close + 1]).tolist(), np.minimum(reps[close], reps[close + 1]).tolist())
             for i, n in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if n > BLOCK:
-                    blocks = np.arange(n) // BLOCK
-                    late.append((keys[i : i + n], fps[i : i + n], reps[i : i + n], blocks, np.full(n, blocks[-1] + 1)))
-                else:
-                    edges += _stars(fps[i : i + n].view(np.uint64), reps[i : i + n], None, most)
-            edges = list(set(edges))
-            nulls = [None] * len(edges)
-            yield batch(edge_schema, [[e[0] for e in edges], [e[1] for e in edges], nulls, nulls, nulls, nulls, nulls])
-            for cols in late:
-                none = [None] * len(cols[0])
-                yield batch(edge_schema, [none, none, *cols])
+                edges += _stars(fps[i : i + n].view(np.uint64), reps[i : i + n], most)
+            return rows_of(edges)
 
         for b in batches:
-            cols = tuple(np.asarray(b.column(i)) for i in range(3))
-            if not len(cols[0]):
-                continue
-            last = cols[0][-1]
-            cut = int(np.searchsorted(cols[0] == last, True)) if cols[0][0] != last else 0
-            if held and (cut or held[-1][0][-1] != cols[0][0]):
-                cut_held = cut if cut else 0
-                whole = [np.concatenate(x) for x in zip(*held, tuple(c[:cut_held] for c in cols))]
-                yield from flush(*whole)
-                held = []
-                cols = tuple(c[cut_held:] for c in cols)
-            elif cut:
-                yield from flush(*(c[:cut] for c in cols))
-                cols = tuple(c[cut:] for c in cols)
-            held.append(cols)
-        if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held)))
-
-    rows = prints.select("fp", "rep").mapInArrow(spread, keyed)
+            for at in range(0, b.num_rows, BLOCK):
+                cols = [np.asarray(b.column(i).slice(at, BLOCK)) for i in range(3)]
+                keys, start = cols[0], 0
+                ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+                last = int(ends[-1]) if len(ends) else 0
+                if keys[0] == now:
+                    start = int(ends[0]) if len(ends) else len(keys)
+                    held.append([c[:start] for c in cols])
+                    size += start
+                if keys[-1] != now:
+                    if now is not None:
+                        yield finish()
+                    if last > start:
+                        yield inside(*[c[start:last] for c in cols])
+                    now, held, size, block = keys[-1], [[c[last:] for c in cols]], len(keys) - last, 0
+                if size >= BLOCK:
+                    whole = [np.concatenate(c) for c in zip(*held)]
+                    yield rows_of(late=[*[c[:BLOCK] for c in whole], np.full(BLOCK, block)])
+                    held, size, block = [[c[BLOCK:] for c in whole]], size - BLOCK, block + 1
+        if now is not None:
+            yield finish()
+
+    # keys are many to a fingerprint: they are made by all tasks
+    rows = prints.select("fp", "rep").repartition("fp").mapInArrow(spread, keyed)
     found = persist(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, _EDGE), "simhash-links")
     near = found.where(F.col("a").isNotNull()).select("a", "b")
     late = found.where(F.col("a").isNull())
@@ -230,12 +237,13 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
         return near
     pair = struct_of("a bigint, b bigint")
     pair_schema = arrow_schema(pair)
-    dealt = late.select("key", "fp", "rep", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("with"))
+    blocks = late.groupBy("key").agg(F.max("block").alias("last"))
+    dealt = late.join(blocks, "key").select("key", "fp", "rep", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("with"))
     dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fp", "rep")
 
-    def two_blocks(key, table: pa.Table) -> pa.Table:
+    def two_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         fps, reps = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("rep"))
-        edges = _stars(fps, reps, None, most)
+        edges = _stars(fps, reps, most)
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}, schema=pair_schema)
 
     return near.union(dealt.groupBy("key", "i", "j").applyInArrow(two_blocks, pair))
