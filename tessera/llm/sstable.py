@@ -11,8 +11,9 @@ row end), which the offsets count.
   entry shares nothing;
 * index: for each block ``first key (varint length, bytes), varint offset, length,
   documents, tokens``;
-* footer: struct ``<4sHHQQQQQQ``: magic, version, id bytes, index offset, index
-  length, Bloom offset, Bloom length, documents, tokens.
+* footer: struct ``<4sHHQQQQQQQ``: magic, version, id bytes, index offset, index
+  length, Bloom offset, Bloom length, documents, tokens, the shard's number.  Shards
+  stand in the order of their numbers, whatever their files are called.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_schema, batch, crc_u32, docs_view, fresh_path, struct_of, text_slices, write_blobs
+from ._shared import arrow_schema, batch, crc_u32, docs_view, fresh_path, persist, struct_of, text_slices, write_blobs
 from .tokens import WordEncoder
 
-MAGIC, VERSION = b"TSST", 1
-FOOTER = struct.Struct("<4sHHQQQQQQ")
+MAGIC, VERSION = b"TSST", 2
+FOOTER = struct.Struct("<4sHHQQQQQQQ")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Beyond so many shards they grow instead, so that their ranges and bases stay small.
+MOST_SHARDS = 100_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -74,8 +78,8 @@ def _bloom_bits(hashes: np.ndarray, n_bits: int) -> np.ndarray:
 class ShardWriter:
     """Turns entries in key order into the sections of one shard, as they fill."""
 
-    def __init__(self, id_bytes: int, block_bytes: int = 1 << 16):
-        self.id_bytes, self.block_bytes = id_bytes, block_bytes
+    def __init__(self, id_bytes: int, block_bytes: int = 1 << 16, number: int = 0):
+        self.id_bytes, self.block_bytes, self.number = id_bytes, block_bytes, number
         self.index: list[bytes] = []
         self.hashes: list[int] = []
         self.at = self.docs = self.tokens = 0
@@ -118,7 +122,7 @@ class ShardWriter:
             bits[_bloom_bits(np.array(self.hashes, dtype=np.uint64), n_bits).ravel().astype(np.int64)] = 1
         bloom = np.packbits(bits, bitorder="little").tobytes()
         at = self.at
-        foot = FOOTER.pack(MAGIC, VERSION, self.id_bytes, at, len(index), at + len(index) + 1, len(bloom), self.docs, self.tokens)
+        foot = FOOTER.pack(MAGIC, VERSION, self.id_bytes, at, len(index), at + len(index) + 1, len(bloom), self.docs, self.tokens, self.number)
         return [*out, index, bloom, foot]
 
 
@@ -131,7 +135,7 @@ class Shard:
         fields = FOOTER.unpack(self.data[end - FOOTER.size : end])
         if fields[0] != MAGIC or fields[1] != VERSION:
             raise ValueError("not a shard of this format")
-        self.id_bytes, self.index_at, self.index_len, self.bloom_at, self.bloom_len, self.docs, self.tokens = fields[2:]
+        self.id_bytes, self.index_at, self.index_len, self.bloom_at, self.bloom_len, self.docs, self.tokens, self.number = fields[2:]
         self._blocks: list[tuple[bytes, int, int, int, int]] | None = None
 
     @property
@@ -186,14 +190,18 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes: int = 32 << 20, path: str | None = None) -> str:
     """Encode whole texts (null: empty), add ``end_id``, and write shards in
     ascending order of doc_id (null first); shard i holds smaller keys than shard
-    i + 1.  Rows of one doc_id stay as they are, ordered by their text.  The number
-    of shards follows the table's bytes, so a shard's size does not grow with it.
-    Returns the folder."""
+    i + 1.  Rows of one doc_id stay as they are, ordered by their text; where very many
+    rows are equal in both (or have neither), they are dealt over several shards by their
+    place.  The number of shards follows the table's bytes up to ``MOST_SHARDS``, so a
+    shard's size does not grow before.  A very long text is one entry, in a block of its
+    own size.  An empty table gives one empty shard; extra columns are ignored, whatever
+    their names.  Returns the folder."""
     path = path or fresh_path(docs.sparkSession, "sstable")
     rows = docs_view(docs, "doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // shard_bytes))
-    placed = rows.repartitionByRange(int(n), F.col("doc_id").asc(), F.xxhash64("text").asc())
+    n = max(1, min(-(-size // shard_bytes), MOST_SHARDS))
+    # Spark draws at most a million rows' keys for the ranges, whatever n is
+    placed = rows.repartitionByRange(int(n), F.col("doc_id").asc(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc())
     placed = placed.sortWithinPartitions(F.col("doc_id").asc(), F.xxhash64("text").asc(), F.col("text").asc())
     out = struct_of("blob binary")
     schema = arrow_schema(out)
@@ -201,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes:
     def run(batches):
         enc = WordEncoder.open(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        writer = ShardWriter(enc.dtype.itemsize)
+        writer = ShardWriter(enc.dtype.itemsize, number=TaskContext.get().partitionId())
         for part, texts in text_slices(batches, 4 << 20):
             ids = enc.encode_batch(texts)
             blocks = [writer.add(key_of(k), x.tobytes() + end) for k, x in zip(part.column(0).to_pylist(), ids)]
@@ -219,44 +227,45 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and,
-    ``with_ids``, the ids, from the files alone.  Starts come from the shards'
-    footers, summed in file order (one small row a shard), and each document's
-    place in its shard."""
-    foot = struct_of("path string, docs bigint, tokens bigint")
-    foot_schema = arrow_schema(foot)
+    ``with_ids``, the ids, from the files alone.
 
-    def footers(batches):
-        for b in batches:
-            shards = [Shard(c.as_buffer()) for c in b.column(1)]
-            yield batch(foot_schema, [b.column(0), [s.docs for s in shards], [s.tokens for s in shards]])
-
-    out = struct_of("path string, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    Every file is read once; its rows carry the number in its footer.  Starts come from
+    the shards' totals, summed in the order of their numbers (one small row a shard, of
+    which there are ``MOST_SHARDS`` at most), and each document's place in its shard.
+    Repeated ids give a row each; empty shards give none."""
+    out = struct_of("shard bigint, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
     schema = arrow_schema(out)
 
     def documents(batches):
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                shard, at = Shard(content.as_buffer()), 0
+            for content in b.column(0):
+                shard, at, n = Shard(content.as_buffer()), 0, 0
                 for i in range(len(shard.blocks)):
                     cols: list[list] = [[] for _ in schema]
                     for key, value in shard.entries(i):
                         ids = np.frombuffer(value, dtype=f"<u{shard.id_bytes}")
-                        for c, v in zip(cols, (name, id_of(key), at, len(ids), crc_u32(ids), value)):
+                        for c, v in zip(cols, (shard.number, id_of(key), at, len(ids), crc_u32(ids), value)):
                             c.append(v)
                         at += len(ids)
+                    n += len(cols[0])
                     yield batch(schema, cols)
-
-    files = _files(spark, path)
-    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.mapInArrow(footers, foot).select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
-    joined = files.mapInArrow(documents, out).join(F.broadcast(bases), "path")
+                if (n, at) != (shard.docs, shard.tokens):
+                    raise ValueError("a shard does not hold what its footer says")
+
+    rows = persist(_files(spark, path).select("content").mapInArrow(documents, out), "sstable-rows")
+    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
+    bases = totals.select("shard", F.coalesce(F.sum("t").over(order), F.lit(0)).alias("base"))
+    if totals.count() <= MOST_SHARDS:
+        bases = F.broadcast(bases)
+    joined = rows.join(bases, "shard")
     cols = ["doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"]
     return joined.select(*cols, *(["ids"] if with_ids else []))
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id, ids of the asked documents; a shard whose Bloom filter knows none of
-    them is not decoded."""
+    """doc_id, ids of the asked documents (every one of a repeated id; none for an id that
+    is not there); a shard whose Bloom filter knows none of them is not decoded."""
     out = struct_of("doc_id bigint, ids binary")
     schema = arrow_schema(out)
 

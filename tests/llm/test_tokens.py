@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,6 +79,29 @@ def test_shards(table, request, spark, tokenizer, ids_of):
     assert {r.doc_id for r in found} == {some[0]}
 
 
+def test_shards_stand_in_the_order_of_their_numbers(small, spark, tokenizer):
+    """part-100000 sorts before part-99999; starts follow the footers all the same."""
+    path = sstable.write_shards(small, tokenizer, shard_bytes=200_000)
+    want = {r.doc_id: r.start for r in sstable.read_shards(spark, path).collect()}
+    folder = Path(path.removeprefix("file:").replace("//", "/"))
+    for crc_file in folder.glob(".*.crc"):
+        crc_file.unlink()
+    for i, file in enumerate(sorted(folder.glob("part-*"))):
+        file.rename(folder / f"part-{99_998 + i:05d}-renamed.txt")
+    names = [f.name for f in folder.glob("part-*")]
+    assert len(names) > 3 and sorted(names) != sorted(names, key=lambda n: int(n.split("-")[1]))
+    assert {r.doc_id: r.start for r in sstable.read_shards(spark, path).collect()} == want
+
+
+def test_rows_without_ids_fill_several_shards(spark, tokenizer):
+    docs = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'the same words' as text")
+    path = sstable.write_shards(docs, tokenizer, shard_bytes=200_000)
+    got = sstable.read_shards(spark, path).selectExpr("count(*) n", "count(distinct start) s", "max(start) m", "max(n_tokens) t", "min(n_tokens) u").first()
+    assert got.n == got.s == 100_000 and got.t == got.u and got.m == got.t * 99_999
+    sizes = [r.n for r in spark.read.format("binaryFile").load(path).selectExpr("length as n").collect()]
+    assert len(sizes) > 5 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
 def test_shards_empty(empty, spark, tokenizer):
     assert sstable.read_shards(spark, sstable.write_shards(empty, tokenizer)).collect() == []
 
