@@ -14,8 +14,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_schema, batch, docs_view, struct_of
@@ -151,49 +152,71 @@ _OUT = struct_of(
 )
 
 
-def _followers(docs: DataFrame, group_bytes: int = 24 << 20) -> DataFrame:
-    """Each document together with the next in descending doc_id order: rows of
-    bucket, ord, doc_id, tie, packed text; a bucket holds neighbouring documents
-    and, last, a copy of the next bucket's first.
+#: Buckets follow the table's bytes up to this many, which bounds what the driver and each
+#: task know of them (a place and a number each); beyond, buckets grow, and tasks read them as streams.
+MOST_BUCKETS = 16_384
+_PLACE = np.dtype([("none", "<i8"), ("down", "<i8"), ("tie", "<i8")])
 
-    Buckets are ranges of doc_id between percentiles, so one shuffle of compressed
-    texts does it; only a bucket's first document travels twice."""
+
+def _places(ids: np.ndarray, null: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Places in the order, smaller first: null ids last, larger ids first, then the tie."""
+    out = np.zeros(len(ids), dtype=_PLACE)
+    out["none"], out["down"], out["tie"] = null, np.where(null, 0, ~ids), ties
+    return out
+
+
+def _cuts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Places of rows that begin buckets, the first row of all among them.
+
+    They are drawn from rows whose hash falls below a bound that leaves about 16 a bucket;
+    each is a row's own place, so a bucket's first row is known before any is moved."""
+    named = rows.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    n = rows.count()
+    bound = min(1.0, 16 * buckets / max(1, n)) * (1 << 30)
+    drawn = named.where(F.pmod(F.xxhash64("tie", "id", F.lit(3)), F.lit(1 << 30)) < int(bound)).distinct() if buckets > 1 else named.limit(0)
+    top = named.orderBy("none", F.desc("id"), "tie").limit(1)
+    got = [(r["none"], r["id"], r["tie"]) for r in drawn.union(top).collect()]
+    none, ids, ties = (np.array(c, dtype=k) for c, k in zip(zip(*got), (bool, np.int64, np.int64))) if got else (np.zeros(0, dtype=k) for k in (bool, np.int64, np.int64))
+    places = np.unique(_places(ids, none, ties))
+    at = np.unique(np.linspace(0, len(places), buckets, endpoint=False).astype(np.int64)) if len(places) else []
+    return places[at]
+
+
+def _followers(docs: DataFrame, group_bytes: int = 8 << 20) -> DataFrame:
+    """Each document together with the next in descending doc_id order: rows of b, role,
+    doc_id, text (packed), n; a bucket b holds neighbouring documents and, last, a copy of
+    the next bucket's first (role 1).
+
+    Buckets are ranges of (doc_id, hash of the text), so ids that many rows share, or that
+    are null, do not meet in one task.  Rows equal in both are counted (n) before they are
+    moved, batch by batch.  One shuffle of compressed texts does it; only a bucket's first
+    document travels twice."""
     rows = docs_view(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
-    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    buckets = max(1, min(int((size or 0) // group_bytes), n))
-    spark = docs.sparkSession
-    cuts: list[int] = []
-    if buckets > 1:
-        marks = [i / buckets for i in range(1, buckets)]
-        cuts = sorted({int(c) for c in rows.agg(F.percentile_approx("doc_id", marks, 100 * buckets)).first()[0] or ()}, reverse=True)
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # bucket 0 has the largest ids; a null id comes after all others, in the last bucket
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda c: c > F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket.cast("bigint"))
-    # place in the order, smaller first: null last, larger ids first, then the text's hash
-    place = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("tie").alias("tie"))
-    firsts = rows.groupBy("bucket").agg(F.min(place).alias("first"))
-    ahead = F.lag("bucket").over(Window.orderBy("bucket"))
-    firsts = firsts.withColumn("to", F.coalesce(ahead, F.max("bucket").over(Window.partitionBy())))
-    firsts = firsts.select(F.col("bucket").alias("fb"), "first", "to")
-    marked = rows.join(F.broadcast(firsts), F.col("bucket") == F.col("fb"))  # a row a bucket, of which there are 24 MB each
-    goes = F.when(
-        (F.col("first") == place),
-        F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("role")), F.struct(F.col("to").alias("b"), F.lit(1).alias("role"))),
-    ).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("role"))))
-    packed = struct_of("doc_id bigint, text binary, tie bigint, goes array<struct<b: bigint, role: int>>")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = _cuts(rows.select("doc_id", "tie"), max(1, min(int(size // group_bytes), MOST_BUCKETS)))
+    packed = struct_of("b bigint, role int, doc_id bigint, tie bigint, text binary, n bigint")
     schema = arrow_schema(packed)
 
     def shrink(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield batch(schema, [b.column(0), pa.array([z.compress(t.as_buffer()) if len(t.as_buffer()) else b"" for t in b.column(1)], pa.binary()), b.column(2), b.column(3)])
-
-    small = marked.select("doc_id", "text", "tie", goes.alias("goes")).mapInArrow(shrink, packed)
-    dealt = small.select("doc_id", "text", "tie", F.inline("goes"))
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 100_000))
+            if not b.num_rows:
+                continue
+            null, ties = np.asarray(pa.compute.is_null(b.column(0))), np.asarray(b.column(2))
+            places = _places(np.asarray(pa.compute.fill_null(b.column(0), 0)), null, ties)
+            _, first, n = np.unique(places, return_index=True, return_counts=True)
+            bucket = np.searchsorted(cuts, places[first], side="right") - 1
+            texts = [t.as_buffer() for t in b.column(1).take(pa.array(first))]
+            texts = [z.compress(t) if len(t) else b"" for t in texts]
+            ahead = np.flatnonzero(cuts[bucket] == places[first])  # these begin a bucket: the one before reads them too
+            rows = np.concatenate((np.arange(len(first)), ahead))
+            to = np.concatenate((bucket, (bucket[ahead] - 1) % len(cuts)))
+            role = np.concatenate((np.zeros(len(first)), np.ones(len(ahead)))).astype(np.int32)
+            yield batch(schema, [to, role, b.column(0).take(pa.array(first[rows])), ties[first][rows], pa.array([texts[i] for i in rows.tolist()], pa.binary()), np.where(role == 1, 1, n[rows])])
+
+    small = rows.mapInArrow(shrink, packed)
     order = [F.col("b"), F.col("role"), F.col("doc_id").desc_nulls_last(), F.col("tie").asc()]
-    return dealt.repartition(n_parts, "b").sortWithinPartitions(*order).select("b", "role", "doc_id", "text")
+    return small.repartitionById(max(1, len(cuts)), F.col("b").cast("int")).sortWithinPartitions(*order).select("b", "role", "doc_id", "text", "n")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -203,33 +226,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next is that of the next smaller doc_id (ties by the text's hash; null ids
     come last); after the last comes the first.  A table's only document follows
     itself; an empty table gives no rows; repeated rows follow each other; extra
-    columns are ignored.  common_prefix_* are longest common prefixes in characters,
-    found by binary search over the prefix arrays.
+    columns are ignored; a very long text is held whole, one at a time with the one
+    before.  common_prefix_* are longest common prefixes in characters, found by binary
+    search over the prefix arrays.
     """
-    schema = arrow_schema(_OUT)
+    counted = struct_of(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _OUT.fields) + ", n bigint")
+    schema = arrow_schema(counted)
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
-        held = None  # bucket, doc_id, text, its prefix hash and print
+        held = None  # bucket, doc_id, text, its prefix hash and print, rows like it
+
+        def row(prev, text, own, mark, n):
+            _, doc, old, prefix, old_mark, _ = prev
+            half = prefix.n // 2
+            edited = old[: prefix.n - half] + text[:half]
+            e = PrefixHash.of(edited)
+            e_mark = fingerprint(e, sketch(e.windows()))
+            return (doc, prefix.n, hashlib.sha256(edited.encode()).hexdigest(), old_mark, e_mark, likeness(old_mark, e_mark), likeness(old_mark, mark), prefix.extension(0, e, 0), prefix.extension(0, own, 0), n)
+
         for b in batches:
             cols: list[list] = [[] for _ in schema]
-            for bucket, role, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for bucket, role, doc, raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
                 raw = raw.as_buffer()
                 text = z.decompress(raw).decode() if len(raw) else ""
                 own = PrefixHash.of(text)
                 mark = fingerprint(own, sketch(own.windows()))
+                found = []
                 if held and held[0] == bucket:
-                    _, prev_doc, prev_text, prev, prev_mark = held
-                    half = prev.n // 2
-                    edited = prev_text[: prev.n - half] + text[:half]
-                    e = PrefixHash.of(edited)
-                    e_mark = fingerprint(e, sketch(e.windows()))
-                    row = (prev_doc, prev.n, hashlib.sha256(edited.encode()).hexdigest(), prev_mark, e_mark, likeness(prev_mark, e_mark), likeness(prev_mark, mark), prev.extension(0, e, 0), prev.extension(0, own, 0))
-                    for c, v in zip(cols, row):
+                    found.append(row(held, text, own, mark, 1))
+                if n > 1 and not role:  # all but the last of equal rows follow themselves
+                    found.append(row((bucket, doc, text, own, mark, n), text, own, mark, n - 1))
+                for r in found:
+                    for c, v in zip(cols, r):
                         c.append(v)
-                held = None if role else (bucket, doc, text, own, mark)
+                held = None if role else (bucket, doc, text, own, mark, n)
             yield batch(schema, cols)
 
-    return _followers(docs).mapInArrow(run, _OUT)
-
-
+    found = _followers(docs).mapInArrow(run, counted)
+    # n is at most a batch's rows
+    return found.select(*_OUT.names, F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_")).drop("_")
