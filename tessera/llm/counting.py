@@ -15,8 +15,16 @@ from ._shared import arrow_schema, batch, docs_view, struct_of, text_slices
 from .tokens import WordEncoder
 
 
+#: A leaf takes up to so many blocks before leaves are made anew.
+LEAF_GROWTH = 4
+
+
 class TokenTree:
-    """Token counts of a text under edits.  ``leaf_chars``: a leaf's usual length."""
+    """Token counts of a text under edits.  ``leaf_chars``: a leaf's usual length.
+
+    Leaves keep their number while an edit leaves at most ``LEAF_GROWTH`` blocks to each
+    that it touches (one that lost its text is empty); the tree is made again, from counts
+    that are known, only after an insertion of more than that."""
 
     def __init__(self, text: str, encoder: WordEncoder, leaf_chars: int = 512):
         self.encoder, self.leaf_chars = encoder, leaf_chars
@@ -98,14 +106,15 @@ class TokenTree:
         while joined and joined[-1] not in " \n" and hi + 1 < len(self.blocks):
             hi += 1
             joined += self.blocks[hi]
-        fresh = self._split(joined)
-        counts = [self._count(b) for b in fresh]
-        if len(fresh) == hi - lo + 1:
-            for i, (b, c) in enumerate(zip(fresh, counts)):
-                self._set(lo + i, b, c)
-        else:
+        fresh, room = self._split(joined), hi - lo + 1
+        share = -(-len(fresh) // room)
+        if share <= LEAF_GROWTH:  # the touched leaves take the new blocks between them; sums change on their paths alone
+            for i in range(room):
+                mine = fresh[i * share : (i + 1) * share]
+                self._set(lo + i, "".join(mine), sum(map(self._count, mine)))
+        else:  # much new text: new leaves, whose counts join those of the others
             self.blocks[lo : hi + 1] = fresh
-            self.counts[lo : hi + 1] = counts
+            self.counts[lo : hi + 1] = map(self._count, fresh)
             self._build()
         return self.total
 
@@ -146,7 +155,8 @@ def count_edits(docs: DataFrame, tokenizer: str, edits=edits_of, leaf_chars: int
     after ``edits(text)``, reencoded_chars that the edits cost, n_leaves.
 
     Null texts count as empty; an empty table gives no rows; repeated rows give a
-    row each; a text without spaces is one leaf."""
+    row each; a text without spaces is one leaf, and a very long one a tree of many;
+    extra columns are ignored, whatever their names."""
     schema = arrow_schema(_COUNTS)
 
     def run(batches):
