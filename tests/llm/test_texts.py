@@ -172,6 +172,77 @@ def test_language_id(small, odd, empty):
     assert {r.lang_pred for r in langid.predict(small, langid.fit(empty), "doc_id").collect()} == {"und"}
 
 
+def plain_features(text):
+    """Counts of hashed 1- to 3-grams, one by one."""
+    m = (1 << 32) - 1
+    spaced, last = [32], False
+    for c in text.lower():
+        if c.isalpha() or not last:
+            spaced.append(ord(c) if c.isalpha() else 32)
+        last = not c.isalpha()
+    if not any(c.isalpha() for c in text):
+        return None
+    codes = [*spaced, 32]
+    if not text[:1].lower().isalpha():  # the text's own first space is kept beside the one put before
+        assert codes[:2] == [32, 32]
+    x = [0.0] * langid.DIM
+
+    def count(h):
+        x[(((h ^ h >> 15) * 0x2C1B3C6D) & m) >> 20] += 1
+
+    for i, c in enumerate(codes):
+        count(c * 0x9E3779B1 & m)
+        if i >= 1:
+            two = ((codes[i - 1] * 0x9E3779B1 & m ^ 0x85EBCA77) * 0xC2B2AE3D + c * 0x27D4EB2F) & m
+            count(two)
+        if i >= 2:
+            two = ((codes[i - 2] * 0x9E3779B1 & m ^ 0x85EBCA77) * 0xC2B2AE3D + codes[i - 1] * 0x27D4EB2F) & m
+            count(((two ^ 0x165667B1) * 0x9E3779B1 + c * 0x85EBCA6B) & m)
+    logs = [np.log1p(v) for v in x]
+    norm = sum(v * v for v in logs) ** 0.5
+    return [v / norm for v in logs]
+
+
+def test_language_id_against_a_plain_vote(small):
+    """The sample, the features and the vote, made again without the operator's."""
+    train = small.where("doc_id % 3 = 0")
+    model = langid.fit(train, per_lang=30)
+    rows = {(r.lang, r.h): r.text for r in train.withColumn("h", F.xxhash64("text", F.lit(11))).collect() if r.lang and r.text and any(c.isalpha() for c in r.text)}
+    sample = []
+    for lang in sorted({k for k, _ in rows}):
+        least = sorted((h % (1 << 64), h) for k, h in rows if k == lang)[:30]
+        sample += sorted((lang, h) for _, h in least)
+    x = np.array([plain_features(rows[k]) for k in sample]).astype(np.float16).astype(np.float32)
+    again = langid.fit_arrays(x, [k for k, _ in sample])
+    assert again.families == model.families and again.pairs.keys() == model.pairs.keys()
+    for r in langid.predict(small.where("doc_id % 5 = 1"), model, "doc_id", "text").collect():
+        v = plain_features(r.text or "")
+        if v is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        margins = [float(np.dot(w[:-1], v) + w[-1]) for w in model.family_w]
+        langs = model.families[int(np.argmax(margins))]
+        votes = dict.fromkeys(langs, 0)
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                votes[a if np.dot(w[:-1], v) + w[-1] >= 0 else b] += 1
+        assert votes[r.lang_pred] == max(votes.values())
+
+
+def test_rare_and_many_languages(spark):
+    """A language of many copies of one text, one of a single row, labels on texts without
+    letters, and more languages than the sample has room for."""
+    rows = [(i, "zq " + "xo wu " * 20, "xx") for i in range(300)] + [(300, "Ünïqüe ßtränge ŵörds", "rare"), (301, "1234", "digits"), (302, None, "none")]
+    rows += [(400 + i, f"the words of this text are plain number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, per_lang=20)
+    assert sorted(sum(model.families, [])) == ["en", "rare", "xx"]
+    got = {r.lang: r.lang_pred for r in langid.predict(docs.where("doc_id in (5, 300, 450)"), model, "lang").collect()}
+    assert got == {"xx": "xx", "rare": "rare", "en": "en"}
+    many = spark.createDataFrame([(i, f"{chr(0x4E00 + i % 40)}{chr(0x5E00 + i % 40)} {'ab'[i % 2]}", f"l{i % 40:02d}") for i in range(400)], "doc_id long, text string, lang string")
+    assert len(sum(langid.fit(many, total=20).families, [])) == 40
+
+
 def test_golay_neighbours_share_a_codeword():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 300).astype(np.uint32)
