@@ -80,6 +80,11 @@ class Expr:
     __floordiv__, __rfloordiv__ = __truediv__, __rtruediv__
     def __mod__(self, o): return arith("mod", self, o)  # noqa: E704
     def __rmod__(self, o): return arith("mod", o, self)  # noqa: E704
+    # in place the left side keeps its type
+    def __iadd__(self, o): return self + cast(self.type, o)  # noqa: E704
+    def __isub__(self, o): return self - cast(self.type, o)  # noqa: E704
+    def __imul__(self, o): return self * cast(self.type, o)  # noqa: E704
+    def __itruediv__(self, o): return self / cast(self.type, o)  # noqa: E704
     def __neg__(self): return arith("sub", const(0, self.type), self)  # noqa: E704
     def __lt__(self, o): return compare("lt", self, o)  # noqa: E704
     def __le__(self, o): return compare("le", self, o)  # noqa: E704
@@ -150,6 +155,47 @@ def reinterpret(type: ElementType, e: Expr) -> Expr:
     return cast(type, e)
 
 
+def lossless_cast(type: ElementType, e: Expr) -> Expr | None:
+    """The expression in another type if every value of its own (or its bounds, where a
+    widening, a mask or a constant gives them) fits; else None."""
+    if e.type == type:
+        return e
+    if type.is_float:
+        exact = {32: 24, 64: 53}.get(type.bits, 11)
+        return cast(type, e) if e.type.is_float and e.type.bits <= type.bits or not e.type.is_float and e.type.bits <= exact else None
+    if e.type.is_float:
+        return None
+    lo, hi = _bounds(e)
+    return cast(type, e) if type.min <= lo and hi <= type.max else None
+
+
+def _bounds(e: Expr) -> tuple[int, int]:
+    if e.value is not None:
+        return int(e.value), int(e.value)
+    if (e.tag or "").startswith("cast:") and not e.args[0].type.is_float:
+        lo, hi = _bounds(e.args[0])
+        if e.type.min <= lo and hi <= e.type.max:
+            return lo, hi
+    if e.tag == "bitand" and e.args[1].value is not None and e.args[1].value >= 0:
+        return 0, int(e.args[1].value)
+    if e.tag in ("min", "max"):
+        (a, b), (c, d) = map(_bounds, e.args)
+        pick = min if e.tag == "min" else max
+        return pick(a, c), pick(b, d)
+    return e.type.min, e.type.max
+
+
+def fast_integer_divide(a: Expr, b: Expr) -> Expr:
+    """Quotient by an unsigned 8-bit number of 1 to 255, rounded down, in a's type."""
+    if b.type != UInt(8) or a.type.is_float or a.type.bits > 32:
+        raise TypeError("integers of up to 32 bits are divided by unsigned 8-bit numbers")
+    return node(a.type, lambda x, y: F.floor(x.cast("bigint") / F.when(y == 0, F.lit(1)).otherwise(y)).cast(a.type.spark), a, b, tag="fast_div")
+
+
+def fast_integer_modulo(a: Expr, b: Expr) -> Expr:
+    return cast(a.type, a - fast_integer_divide(a, b) * cast(a.type, b))
+
+
 def _wide(c: Column, t: ElementType) -> Column:
     return c.cast(t.wide)
 
@@ -460,7 +506,7 @@ def _math(f: Callable[[Column], Column], name: str | None = None) -> Callable[[E
     def make(a) -> Expr:
         a = a if isinstance(a, Expr) else const(float(a))
         a = a if a.type.is_float else cast(F32, a)
-        return node(a.type, lambda x: f(x).cast(a.type.spark), a, tag=tag if name or f.__name__.isalpha() else None)
+        return node(a.type, lambda x: f(x).cast(a.type.spark), a, tag=tag)
 
     return make
 
@@ -494,19 +540,19 @@ sin, cos, tan = _math(F.sin), _math(F.cos), _math(F.tan)
 asin, acos, atan = _math(F.asin), _math(F.acos), _math(F.atan)
 sinh, cosh, tanh = _math(F.sinh), _math(F.cosh), _math(F.tanh)
 asinh, acosh, atanh = _math(F.asinh), _math(F.acosh), _math(F.atanh)
-sqrt, exp, log, erf = _math(F.sqrt), _math(F.exp), _math(_log, "log"), _math(_erf)
+sqrt, exp, log, erf = _math(F.sqrt), _math(F.exp), _math(_log, "log"), _math(_erf, "erf")
 fast_sin, fast_cos, fast_exp, fast_log = sin, cos, exp, log
-fast_inverse = _math(lambda x: _float_div(F.lit(1.0), x))
-fast_inverse_sqrt = _math(lambda x: _float_div(F.lit(1.0), F.sqrt(x)))
-floor, ceil, trunc = _math(_whole(F.floor)), _math(_whole(F.ceil)), _math(_trunc)
+fast_inverse = _math(lambda x: _float_div(F.lit(1.0), x), "inverse")
+fast_inverse_sqrt = _math(lambda x: _float_div(F.lit(1.0), F.sqrt(x)), "inverse_sqrt")
+floor, ceil, trunc = _math(_whole(F.floor), "floor"), _math(_whole(F.ceil), "ceil"), _math(_trunc, "trunc")
 round_ = _math(F.rint)
-fract = _math(lambda x: x - _trunc(x))
+fract = _math(lambda x: x - _trunc(x), "fract")
 
 
 def atan2(y, x) -> Expr:
     y, x = matched(y, x)
     y, x = (e if e.type.is_float else cast(F32, e) for e in (y, x))
-    return node(y.type, lambda a, b: F.atan2(a, b).cast(y.type.spark), y, x)
+    return node(y.type, lambda a, b: F.atan2(a, b).cast(y.type.spark), y, x, tag="atan2")
 
 
 def hypot(x, y) -> Expr:
@@ -526,7 +572,7 @@ def pow_(x: Expr, y) -> Expr:
         return out if out is not None else const(1.0 if x.type.is_float else 1, x.type)
     x, y = matched(x, y)
     x, y = (e if e.type.is_float else cast(F32, e) for e in (x, y))
-    return node(x.type, lambda a, b: F.pow(a, b).cast(x.type.spark), x, y)
+    return node(x.type, lambda a, b: F.pow(a, b).cast(x.type.spark), x, y, tag="pow")
 
 
 fast_pow = pow_
@@ -583,7 +629,7 @@ def lerp(zero: Expr, one: Expr, weight) -> Expr:
 
 # -- random numbers: a hash of the coordinates, a tag and a seed --------------------
 
-#: Fixed coefficients of the quadratic step modulo 2^32.
+#: Coefficients of the quadratic step modulo 2^32 (fixed values, so that streams repeat).
 RNG_COEFFICIENTS = (576942909, 1121052041, 1040796640)
 
 
@@ -642,6 +688,11 @@ def print_when(cond, e: Expr, *_) -> Expr:
     return e
 
 
+def unreachable(type: ElementType = I32) -> Expr:
+    """A value that must never be asked for."""
+    return node(type, lambda: F.raise_error(F.lit("unreachable code was reached")).cast(type.spark))
+
+
 def memoize_tag(e: Expr, *_) -> Expr:
     return e
 
@@ -654,6 +705,32 @@ def undef(type: ElementType) -> Undef:
     return Undef()
 
 
+class Lanes:
+    """Several places or values of one store: ``gather`` reads them all before the store
+    of ``scatter`` writes any."""
+
+    def __init__(self, items: list):
+        if len(items) < 2:
+            raise TypeError("two lanes or more")
+        self.items = items
+
+
+def scatter(*places) -> Lanes:
+    return Lanes(list(places))
+
+
+def gather(*values) -> Lanes:
+    return Lanes(list(values))
+
+
+def target_arch_is(_: str) -> bool:
+    """Plans run on a virtual machine."""
+    return False
+
+
+target_os_is = target_arch_is
+
+
 def target_bits() -> int:
     return 64
 

@@ -43,10 +43,68 @@ def saturating_fold(v: Column, order: Column, type: ElementType) -> Column:
     return F.aggregate(steps, F.lit(0).cast("bigint"), lambda acc, x: clamp_to(acc + x, type).cast("bigint")).cast(type.spark)
 
 
+#: Values folded together at a time; also the reach of one level of ``associative``.
+_FOLD_BITS = 12
+
+
+def associative(df: DataFrame, keys: list[str], fields: dict[str, Column], identity: dict[str, Column], combine) -> DataFrame:
+    """keys and, for each group, the fold of its rows by an associative and commutative
+    operation: ``combine(a, b)`` takes two structs of the fields and gives the columns of
+    theirs, starting from ``identity``.
+
+    A group is never gathered: 4,096 rows that were read together are folded at a time,
+    then 4,096 of their results, then what is left (a row for each 16 million rows), so
+    the parts of a hot key are dealt over all tasks."""
+    names = list(fields)
+    types = {k: df.select(c.alias(k)).schema[k].dataType for k, c in identity.items()}
+    now = df.select(*keys, *[c.cast(types[k]).alias(k) for k, c in fields.items()], F.monotonically_increasing_id().alias("_id"))
+    start = F.struct(*[c.cast(types[k]).alias(k) for k, c in identity.items()])
+
+    def step(acc: Column, x: Column) -> Column:
+        new = combine(acc, x)
+        return F.struct(*[new[k].cast(types[k]).alias(k) for k in names])
+
+    for level in (1, 2, 3):
+        part = [] if level == 3 else [F.shiftright("_id", _FOLD_BITS).alias("_id")]
+        grouped = now.groupBy(*keys, *part).agg(F.collect_list(F.struct(*names)).alias("_l"))
+        folded = grouped.withColumn("_s", F.aggregate("_l", start, step))
+        now = folded.select(*keys, *([] if level == 3 else ["_id"]), *[F.col(f"_s.{k}").alias(k) for k in names])
+    return now
+
+
+def times(a: Column, b: Column, type: ElementType) -> Column:
+    """Product of two whole numbers modulo 2^bits, exact on the way: 64 by 64 bits fits
+    38 digits when both are taken as signed."""
+    if type.bits <= 32:
+        low = lambda c: wrap(c, ElementType("int", 32)).cast("bigint")
+        return wrap(low(a) * low(b), type)
+    signed = [wrap(c, I64).cast("decimal(38,0)") for c in (a, b)]
+    return wrap(signed[0] * signed[1], type)
+
+
+def product_by(df: DataFrame, keys: list[str], v: Column, type: ElementType = I64, out: str = "v") -> DataFrame:
+    """Products of groups in the element's type: integers wrap, an empty product is 1."""
+    if type.is_float:
+        return df.groupBy(*keys).agg(F.product(v).cast(type.spark).alias(out))
+    one = F.lit(1).cast(type.spark)
+    return associative(df, keys, {out: v}, {out: one}, lambda a, b: {out: times(a[out], b[out], type)})
+
+
+def complex_product_by(df: DataFrame, keys: list[str], re: Column, im: Column) -> DataFrame:
+    """Products of complex numbers: columns re and im, as doubles."""
+    def mul(a, b):
+        return {"re": a["re"] * b["re"] - a["im"] * b["im"], "im": a["re"] * b["im"] + a["im"] * b["re"]}
+
+    return associative(df, keys, {"re": re, "im": im}, {"re": F.lit(1.0), "im": F.lit(0.0)}, mul)
+
+
 def product(v: Column, type: ElementType = I64) -> Column:
+    """As an aggregate column, for floats, and for integers whose products stay below
+    2^53; ``product_by`` is exact for all."""
     if type.is_float:
         return F.coalesce(F.product(v), F.lit(1.0)).cast(type.spark)
-    return wrap(F.coalesce(F.product(v.cast("double")), F.lit(1.0)).cast("decimal(38,0)"), type)
+    whole = F.coalesce(F.product(v.cast("double")), F.lit(1.0))
+    return F.when(F.abs(whole) < float(1 << 53), whole).otherwise(F.raise_error(F.lit("a long product: use product_by")).cast("double")).cast("bigint").cast(type.spark)
 
 
 def maximum(v: Column, type: ElementType) -> Column:
@@ -57,6 +115,21 @@ def minimum(v: Column, type: ElementType) -> Column:
     return F.coalesce(F.min(v), F.lit(type.max).cast(type.spark))
 
 
+def maximum_nan(v: Column) -> Column:
+    """Greatest float; nan if any is (Spark counts nan as the greatest)."""
+    return F.max(v)
+
+
+def minimum_nan(v: Column) -> Column:
+    """Least float; nan if any is."""
+    return F.when(F.bool_or(F.isnan(v)), F.lit(float("nan"))).otherwise(F.min(v))
+
+
+def maximum_number(v: Column) -> Column:
+    """Greatest of the floats that are numbers; nan if none is."""
+    return F.coalesce(F.max(F.when(~F.isnan(v), v)), F.max(v))
+
+
 def argmax(v: Column, order: list[Column]) -> Column:
     """Struct of the first greatest value: v and the order columns o0, o1, ... (compared
     as given, negated so that the first wins)."""
@@ -91,28 +164,35 @@ def scan(a: ArrayTable, d, agg=F.sum, reverse: bool = False, out: str = "v") ->
     return a._with(a.df.withColumn(out, agg(a.values[0]).over(w)), values=(out,), types=(I64,) if agg is F.sum and not a.types[0].is_float else a.types[:1])
 
 
-def long_scan(df: DataFrame, order: str, value: Column, block: int, out: str = "v") -> DataFrame:
+def long_scan(df: DataFrame, order: str, value: Column, block: int, out: str = "v", most_blocks: int = 100_000) -> DataFrame:
     """Prefix sums over one long dimension without one task for all rows: blocks of the
-    coordinate are summed, the (few) block sums are scanned, and each block adds its own
-    base.  ``order`` is a whole-number column."""
+    coordinate are summed, the block sums are scanned, and each block adds its own base.
+    Where there can be more than ``most_blocks`` blocks their sums are scanned the same
+    way, block by block.  ``order`` is a whole-number column."""
     b = df.withColumn("_b", F.floor(F.col(order) / block)).withColumn("_x", value)
     sums = b.groupBy("_b").agg(F.sum("_x").alias("_s"))
-    base = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is not None and (hi - lo) // block >= most_blocks:
+        base = long_scan(sums, "_b", F.col("_s"), block, "_base", most_blocks).select("_b", (F.col("_base") - F.col("_s")).alias("_base"))
+    else:
+        base = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return b.join(base, "_b").withColumn(out, (F.col("_base") + F.sum("_x").over(inside))).drop("_b", "_x", "_base")
 
 
 def moving(a: ArrayTable, d, before: int, after: int, agg=F.sum, block: int = 4096) -> ArrayTable:
-    """Aggregate over [x - before, x + after] along a dimension.  A long dimension is cut
+    """Aggregate over [x - before, x + after] along a dimension; ``agg`` may be a dict of
+    result names and aggregates, computed in one pass.  A long dimension is cut
     into blocks whose edge rows are copied to the neighbour, so windows stay short."""
     c = a.dims[a._at(d)]
+    aggs = agg if isinstance(agg, dict) else {a.values[0]: agg}
     reach = max(before, after)
     own = F.floor(F.col(c) / block)
     copies = F.array_distinct(F.array(F.floor((F.col(c) - reach) / block), own, F.floor((F.col(c) + reach) / block)))
-    dealt = a.df.select(*a.dims, F.col(a.values[0]), own.alias("_own"), F.explode(copies).alias("_b"))
+    dealt = a.df.select(*a.dims, F.col(a.values[0]).alias("_v"), own.alias("_own"), F.explode(copies).alias("_b"))
     w = Window.partitionBy(*[x for x in a.dims if x != c], "_b").orderBy(c).rangeBetween(-before, after)
-    out = dealt.withColumn("_m", agg(a.values[0]).over(w)).where("_b = _own")
-    return a._with(out.select(*a.dims, F.col("_m").alias(a.values[0])), values=a.values[:1], types=a.types[:1])
+    out = dealt.select("*", *[f("_v").over(w).alias(k) for k, f in aggs.items()]).where("_b = _own")
+    return a._with(out.select(*a.dims, *aggs), values=tuple(aggs), types=a.types[:1] * len(aggs))
 
 
 def summed_area(a: ArrayTable) -> ArrayTable:
@@ -132,19 +212,61 @@ def scatter(init: DataFrame, updates: DataFrame, keys: list[str], value: str, or
     return init.join(last, keys, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
-def fold(df: DataFrame, keys: list[str], order: str, value: Column, init: Column, step, out: str = "v") -> DataFrame:
+def affine_scan(df: DataFrame, keys: list[str], order: str, value: Column, factor: Column, block: int = 1024, reverse: bool = False, out: str = "v") -> DataFrame:
+    """Linear recurrence acc = factor * acc + value along a whole-number ``order``, from 0,
+    within each group: keys, order, out as doubles.
+
+    A block of 1,024 places is one map of the value before it, acc -> m * acc + s; blocks
+    are scanned like that inside, then their maps one after another (a small fold a
+    group), and each row adds what its block began with.  Long series so take several
+    tasks, and none holds more of one than its blocks' maps."""
+    sign = -1 if reverse else 1
+    rows = df.select(*keys, order, value.cast("double").alias("_x"), factor.cast("double").alias("_f"), F.floor(F.col(order) * sign / block).alias("_b"))
+    steps = F.array_sort(F.collect_list(F.struct((F.col(order) * sign).alias("o"), F.col("_x").alias("x"), F.col("_f").alias("f"))))
+    inside = rows.groupBy(*keys, "_b").agg(steps.alias("_i"))
+    start = F.expr("named_struct('m', 1D, 's', 0D, 'all', cast(array() as array<struct<m:double,s:double>>))")
+
+    def one(acc: Column, it: Column) -> Column:
+        m, s = acc["m"] * it["f"], acc["s"] * it["f"] + it["x"]
+        return F.struct(m.alias("m"), s.alias("s"), F.concat(acc["all"], F.array(F.struct(m.alias("m"), s.alias("s")))).alias("all"))
+
+    inside = inside.withColumn("_r", F.aggregate("_i", start, one))
+    inside = inside.select(*keys, "_b", "_i", F.col("_r.m").alias("_m"), F.col("_r.s").alias("_s"), F.col("_r.all").alias("_all"))
+    maps = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_m").alias("m"), F.col("_s").alias("s")))).alias("_l"))
+    begin = F.expr("named_struct('a', 0D, 'all', cast(array() as array<double>))")
+
+    def across(acc: Column, it: Column) -> Column:
+        return F.struct((it["m"] * acc["a"] + it["s"]).alias("a"), F.concat(acc["all"], F.array(acc["a"])).alias("all"))
+
+    bases = maps.withColumn("_a", F.aggregate("_l", begin, across, lambda acc: acc["all"]))
+    bases = bases.select(*keys, F.inline(F.arrays_zip(F.transform("_l", lambda t: t["b"]).alias("_b"), F.col("_a").alias("_base"))))
+    done = inside.join(bases, [*keys, "_b"])
+    pairs = F.zip_with("_i", "_all", lambda i, r: F.struct((i["o"] * sign).alias(order), r["m"].alias("m"), r["s"].alias("s")))
+    return done.select(*keys, "_base", F.inline(pairs)).select(*keys, order, (F.col("m") * F.col("_base") + F.col("s")).alias(out))
+
+
+def fold(df: DataFrame, keys: list[str], order: str, value: Column, init: Column, step, out: str = "v", block: int = 256) -> DataFrame:
     """Recurrence along ``order`` within each group: acc = step(acc, value); a row with
-    the accumulator after each step.  A group is one array, so groups stay within a
-    task's memory (rows of an image, series of a sensor)."""
+    the accumulator after each step.  A group's rows are put together in pieces of
+    ``block``; a piece's history is copied at each of its steps, the whole one's never.
+    A group is one array, so groups stay within a task's memory (rows of an image, series
+    of a sensor); for linear steps ``affine_scan`` has no such bound."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("x"))))
     g = df.groupBy(*keys).agg(items.alias("_i"))
     kind = df.select(init.alias("i")).schema["i"].dataType
-    start = F.struct(init.cast(kind).alias("acc"), F.expr(f"cast(array() as array<{kind.simpleString()}>)").alias("all"))
+    whole = f"cast(array() as array<array<{kind.simpleString()}>>)"
+    start = F.struct(init.cast(kind).alias("acc"), F.expr(whole).alias("all"))
+    own = F.expr(f"cast(array() as array<{kind.simpleString()}>)")
 
     def one(acc, it):
         new = step(acc["acc"], it["x"]).cast(kind)
         return F.struct(new.alias("acc"), F.concat(acc["all"], F.array(new)).alias("all"))
 
-    runs = F.aggregate("_i", start, one, lambda acc: acc["all"])
+    def piece(acc, at):
+        part = F.aggregate(F.slice("_i", at * block + 1, block), F.struct(acc["acc"].alias("acc"), own.alias("all")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p["acc"].alias("acc"), F.concat(acc["all"], F.array(p["all"])).alias("all")))[0]
+
+    pieces = F.sequence(F.lit(0), F.floor((F.size("_i") - 1) / block).cast("int"))
+    runs = F.aggregate(pieces, start, piece, lambda acc: F.flatten(acc["all"]))
     pairs = F.arrays_zip(F.transform("_i", lambda s: s["o"]).alias(order), runs.alias(out))
     return g.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col(f"_p.{order}").alias(order), F.col(f"_p.{out}").alias(out))

@@ -1,19 +1,21 @@
 """Stencils: fixed neighbourhoods of each point.
 
-A weighted neighbourhood is one shuffle however many taps it has: each source point is
-sent to the points that read it and the contributions are aggregated.  Separable
-kernels use two windows instead.  Results cover the points all of whose taps exist.
+A neighbourhood is one shuffle however many taps it has: cells are dealt by tiles with
+their edges copied to the neighbours; sums may also be sent to the points that read
+them and added up on the way.  Results cover the points all of whose taps exist.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.types import I64, ElementType
 from ..plans.region import Range
+from . import halo
 from .table import ArrayTable
 
 
@@ -28,13 +30,22 @@ def _shrunk(a: ArrayTable, offsets) -> tuple[Range, ...] | None:
 
 
 def taps(a: ArrayTable, offsets: list[tuple[int, ...]], combine: Callable[[list[Column]], Column], type: ElementType = I64) -> ArrayTable:
-    """v(p) = combine([a(p + o) for o in offsets]) by one grouping."""
-    sent = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[(F.col(d) - o).cast("int").alias(d) for d, o in zip(a.dims, off)]) for k, off in enumerate(offsets)])).alias("_t")
-    spread = a.df.select(sent, F.col(a.values[0]).alias("_v")).select("_t.*", "_v")
-    # each tap arrives at most once, so its maximum is itself; incomplete points go
-    cols = [F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"_t{k}") for k in range(len(offsets))]
-    got = spread.groupBy(*a.dims).agg(*cols, F.count("*").alias("_n")).where(F.col("_n") == len(offsets))
-    out = got.select(*a.dims, combine([F.col(f"_t{k}") for k in range(len(offsets))]).cast(type.spark).alias("v"))
+    """v(p) = combine([a(p + o) for o in offsets]), where all of them exist, by one
+    exchange of tiles (``halo``).  Where the point itself is not among the offsets, cells
+    are sent to the points that read them instead."""
+    names = [f"_t{k}" for k in range(len(offsets))]
+    if (0,) * len(a.dims) in offsets:
+        read = halo.gather(a.df.select(*a.dims), list(a.dims), [(a.df, a.values[0], [(o, f"_v{k}") for k, o in enumerate(offsets)])])
+        got = read.where(reduce(lambda p, q: p & q, [F.col(f"_v{k}").isNotNull() for k in range(len(offsets))]))
+        cols = [F.col(f"_v{k}") for k in range(len(offsets))]
+    else:
+        sent = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[(F.col(d) - o).cast("int").alias(d) for d, o in zip(a.dims, off)]) for k, off in enumerate(offsets)])).alias("_t")
+        spread = a.df.select(sent, F.col(a.values[0]).alias("_v")).select("_t.*", "_v")
+        # each tap arrives at most once, so its maximum is itself; incomplete points go
+        each = [F.max(F.when(F.col("k") == k, F.col("_v"))).alias(n) for k, n in enumerate(names)]
+        got = spread.groupBy(*a.dims).agg(*each, F.count("*").alias("_n")).where(F.col("_n") == len(offsets))
+        cols = [F.col(n) for n in names]
+    out = got.select(*a.dims, combine(cols).cast(type.spark).alias("v"))
     return ArrayTable(out, a.dims, ("v",), (type,), _shrunk(a, offsets))
 
 

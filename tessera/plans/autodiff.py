@@ -51,7 +51,25 @@ def gradients(out: Expr, wrt: list[str]) -> dict[str, Expr]:
         elif tag.startswith("cast:"):
             push(a[0], E.cast(a[0].type, adj) if a[0].type.is_float else adj)
         elif tag.startswith("math:"):
+            if tag[5:] not in RULES:
+                raise NotImplementedError(f"no derivative of {tag[5:]}")
             push(a[0], adj * RULES[tag[5:]](a[0], e))
+        elif tag == "pow":
+            push(a[0], adj * a[1] * E.pow_(a[0], a[1] - 1.0))
+            if a[1].value is None:
+                push(a[1], adj * e * E.log(a[0]))
+        elif tag == "atan2":
+            square = a[0] * a[0] + a[1] * a[1]
+            push(a[0], adj * a[1] / square)
+            push(a[1], -(adj * a[0] / square))
+        elif tag == "absd":
+            push(a[0], E.select(a[0] >= a[1], adj, -adj))
+            push(a[1], E.select(a[0] >= a[1], -adj, adj))
+        elif tag == "mod":
+            push(a[0], adj)
+            push(a[1], -(adj * E.floor(a[0] / a[1])))
+        else:
+            raise NotImplementedError(f"no derivative of {tag or 'this expression'}")
 
     push(out, const(1.0, out.type))
     return {k: total.get(k, zero) for k in wrt}
@@ -68,6 +86,20 @@ RULES = {
     "sinh": lambda x, v: E.cosh(x),
     "cosh": lambda x, v: E.sinh(x),
     "atan": lambda x, v: 1.0 / (1.0 + x * x),
+    "tan": lambda x, v: 1.0 + v * v,
+    "asin": lambda x, v: 1.0 / E.sqrt(1.0 - x * x),
+    "acos": lambda x, v: -1.0 / E.sqrt(1.0 - x * x),
+    "asinh": lambda x, v: 1.0 / E.sqrt(x * x + 1.0),
+    "acosh": lambda x, v: 1.0 / E.sqrt(x * x - 1.0),
+    "atanh": lambda x, v: 1.0 / (1.0 - x * x),
+    "erf": lambda x, v: 1.1283791670955126 * E.exp(-(x * x)),
+    "inverse": lambda x, v: -(v * v),
+    "inverse_sqrt": lambda x, v: -0.5 * v / x,
+    "fract": lambda x, v: E.const(1.0, x.type),
+    "floor": lambda x, v: E.const(0.0, x.type),
+    "ceil": lambda x, v: E.const(0.0, x.type),
+    "trunc": lambda x, v: E.const(0.0, x.type),
+    "rint": lambda x, v: E.const(0.0, x.type),
 }
 
 

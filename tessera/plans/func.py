@@ -9,19 +9,23 @@ consumers, the region that each remaining array has to supply follows from its i
 expressions, inputs are filtered to it, and calls become joins on computed
 coordinates.  Updates become grouped aggregates where their form is associative,
 stores of the last writer where they do not read themselves, and ordered folds for
-recurrences along one reduction variable.
+recurrences along one or two reduction variables.
 """
 
 from __future__ import annotations
 
+from functools import reduce as reduce_
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.expr import Expr, Undef, cast, const
 from ..functions.types import F64, I32, ElementType
+from ..operators.halo import gather
+from ..operators.reduce import associative
 from ..operators.table import ArrayTable, domain
 from . import region as R
 from .region import Box, Range, box, interval, shift_of
@@ -33,6 +37,34 @@ def Var(name: str | None = None) -> Expr:
     return Expr(I32, name=name or f"v{next(_ids)}")
 
 
+#: Stands for all coordinates that are not named: ``f[x, _] = g[_] + 1`` .
+_ = Expr(I32, name="_")
+
+
+class Param(Expr):
+    """A scalar that gets its value after the pipeline has been built; its range is
+    checked where it is set."""
+
+    def __init__(self, type: ElementType, value=None, min=None, max=None, name: str | None = None):
+        self.low, self.high = min, max
+        super().__init__(type, tag=f"param:{name or next(_ids)}")
+        if value is not None:
+            self.set(value)
+
+    def set(self, value) -> None:
+        if not self.type.can_hold(value) or self.low is not None and value < self.low or self.high is not None and value > self.high:
+            raise ValueError(f"{value} is not a {self.type} in {self.low}..{self.high}")
+        self.value = float(value) if self.type.is_float else bool(value) if self.type.is_bool else int(value)
+
+    def get(self):
+        return self.value
+
+    def column(self, bind=None) -> Column:
+        if self.value is None:
+            raise ValueError("the parameter has no value")
+        return super().column(bind)
+
+
 class RVar(Expr):
     def __init__(self, name: str, rdom: "RDom"):
         super().__init__(I32, name=name)
@@ -95,29 +127,56 @@ def _index(i) -> Expr:
 
 
 class Update:
-    def __init__(self, lhs: list[Expr], rhs: list[Expr | Undef]):
-        self.lhs, self.rhs = lhs, rhs
+    """One store; ``lanes`` holds the others of a scatter, which read before any writes."""
+
+    def __init__(self, lhs: list[Expr], rhs: list[Expr | Undef], lanes: "tuple[Update, ...]" = ()):
+        self.lhs, self.rhs, self.lanes = lhs, rhs, lanes
+
+    def exprs(self) -> list[Expr]:
+        own = [*self.lhs, *(v for v in self.rhs if isinstance(v, Expr))]
+        return own + [e for u in self.lanes for e in u.exprs()]
 
 
 class Func:
     """A named total function of integer coordinates to one or several values."""
 
-    def __init__(self, name: str | None = None):
-        self.name = name or f"f{next(_ids)}"
+    def __init__(self, name: str | Expr | None = None):
+        body = name if isinstance(name, Expr) else None
+        self.name = name if isinstance(name, str) else f"f{next(_ids)}"
         self.args: list[str] = []
         self.values: list[Expr] = []
         self.updates: list[Update] = []
-        self.root = self.frozen = False
+        self.root = self.frozen = self.kept = False
         self.required: list[tuple[Expr, str]] = []
-        self.tile: tuple[str, ...] = ()
+        self.special: list[Expr] = []
+        self.bounds: dict[str, tuple] = {}
+        self.by: tuple[str, ...] = ()
+        self.made: dict = {}
+        if body is not None:  # a function of the expression's variables, in the order of their names
+            free = sorted({n.name for n in body.nodes() if n.name is not None and not isinstance(n, RVar)})
+            self[tuple(Expr(I32, name=n) for n in free)] = body
 
     # definitions -------------------------------------------------------------
     def __setitem__(self, index, value) -> None:
-        index = [_index(i) for i in (index if isinstance(index, tuple) else (index,))]
+        index = [i if isinstance(i, E.Lanes) else _index(i) for i in (index if isinstance(index, tuple) else (index,))]
         values = list(value) if isinstance(value, tuple) else [value]
+        lanes = [i for i in [*index, *values] if isinstance(i, E.Lanes)]
+        if lanes:
+            n = len(lanes[0].items)
+            if any(len(x.items) != n for x in lanes):
+                raise TypeError("scatters and gathers of one store have equally many lanes")
+            pick = lambda x, k: x.items[k] if isinstance(x, E.Lanes) else x
+            if not self.values:
+                raise TypeError("scatters are updates")
+            stores = [self._update([_index(pick(i, k)) for i in index], [pick(v, k) for v in values]) for k in range(n)]
+            self.updates.append(Update(stores[0].lhs, stores[0].rhs, tuple(stores[1:])))
+            return
+        if not self.values:
+            index, values = _implied(index, values)
         pure = all(i.name is not None and not isinstance(i, RVar) for i in index) and len({i.name for i in index}) == len(index)
         if not self.values:
-            if not pure:
+            rvars = [n for v in values if isinstance(v, Expr) for n in v.nodes() if isinstance(n, RVar)]
+            if not pure or rvars:
                 raise TypeError("the first definition takes distinct variables")
             args, new = [i.name for i in index], [v if isinstance(v, Expr) else const(v) for v in values]
             free = {n.name for v in new for n in v.nodes() if n.name} - set(args)
@@ -125,20 +184,34 @@ class Func:
                 raise NameError(f"undefined variables {sorted(free)}")
             self.args, self.values = args, new
             return
+        self.updates.append(self._update(index, values))
+
+    def _update(self, index: list[Expr], values: list) -> Update:
         if self.frozen:
             raise RuntimeError(f"{self.name} has been used and cannot change")
         if len(index) != len(self.args) or len(values) != len(self.values):
             raise TypeError("an update has the rank and the number of values of the definition")
-        self.updates.append(Update(index, [v if isinstance(v, Undef) else cast(o.type, v) if not (isinstance(v, Expr) and v.type != o.type and v.type.is_float and not o.type.is_float) else _mismatch() for v, o in zip(values, self.values)]))
+        out = Update(index, [v if isinstance(v, Undef) else cast(o.type, v) if not (isinstance(v, Expr) and v.type != o.type and v.type.is_float and not o.type.is_float) else _mismatch() for v, o in zip(values, self.values)])
         for e in [*index, *(v for v in values if isinstance(v, Expr))]:
             for n in e.nodes():
                 if isinstance(n, RVar):
                     n.rdom.frozen = True
+        return out
+
+    def _undefined(self, index: tuple) -> "Expr":
+        """A call of a function without a definition, which ``+=`` and the like turn into one:
+        its start is 0 for sums and 1 for products."""
+        return _Start(self, index)
 
     def __getitem__(self, index):
         index = index if isinstance(index, tuple) else (index,)
         if not self.values:
-            raise NameError(f"{self.name} is not defined")
+            return self._undefined(index)
+        if any(isinstance(i, Expr) and i.name == "_" for i in index):
+            at = next(k for k, i in enumerate(index) if isinstance(i, Expr) and i.name == "_")
+            named = [i for i in index if not (isinstance(i, Expr) and i.name == "_")]
+            missing = len(self.args) - len(named)
+            index = (*index[:at], *[Expr(I32, name=f"_{k}") for k in range(missing)], *index[at + 1 :])
         if len(index) != len(self.args):
             raise TypeError(f"{len(index)} coordinates for {len(self.args)} dimensions")
         calls = tuple(Expr(v.type, tuple(_index(i) for i in index), call=(self, k)) for k, v in enumerate(self.values))
@@ -149,7 +222,12 @@ class Func:
         self.root = True
         return self
 
-    store_root = compute_at = store_at = hoist_storage = memoize = lambda self, *_: self.compute_root()
+    store_root = compute_at = store_at = hoist_storage = hoist_storage_root = lambda self, *_: self.compute_root()
+
+    def memoize(self, *_) -> "Func":
+        """The table of a region is made once and kept on the executors' disks."""
+        self.kept = True
+        return self.compute_root()
 
     def compute_inline(self, *_) -> "Func":
         self.root = False
@@ -157,16 +235,113 @@ class Func:
 
     def tile_by(self, *dims: str) -> "Func":
         """Partition the realized table by these coordinates."""
-        self.tile = dims
+        self.by = dims
         return self
 
     def _same(self, *_, **__) -> "Func":
+        """A directive about loops, storage or tracing: plans have neither."""
         return self
 
-    split = fuse = reorder = rename = serial = parallel = vectorize = unroll = partition = never_partition = always_partition = _same
-    bound = align_bounds = set_estimate = reorder_storage = align_storage = bound_storage = fold_storage = store_in = _same
-    async_ = ring_buffer = prefetch = atomic = allow_race_conditions = stream_loads = stream_stores = unscheduled = specialize = compute_with = _same
-    trace_loads = trace_stores = trace_realizations = in_ = clone_in = eager_inline = _same
+    split = fuse = tile = reorder = rename = serial = parallel = vectorize = unroll = partition = never_partition = always_partition = _same
+    reorder_storage = align_storage = bound_storage = fold_storage = store_in = set_estimate = set_estimates = _same
+    async_ = ring_buffer = prefetch = atomic = allow_race_conditions = stream_loads = stream_stores = unscheduled = compute_with = _same
+    trace_loads = trace_stores = trace_realizations = add_trace_tag = no_profiling = eager_inline = _same
+
+    def bound(self, var, min, extent) -> "Func":
+        """The coordinate's region is stated; other regions are refused."""
+        self.bounds[_var_name(var)] = (min, extent)
+        return self
+
+    def bound_extent(self, var, extent) -> "Func":
+        return self.bound(var, None, extent)
+
+    def align_bounds(self, var, modulus: int, remainder: int = 0) -> "Func":
+        """The computed region grows to a multiple; the asked one is returned."""
+        return self
+
+    align_extent = align_bounds
+
+    def specialize(self, cond: Expr) -> "Func":
+        """A case of its own, which computes the same; see ``specialize_fail``."""
+        self.special.append(E._bool(cond))
+        return self
+
+    def specialize_fail(self, message: str) -> None:
+        """An error where none of the cases specialized before holds."""
+        self.required.append((E.logical_or(E.const(False), *self.special), message))
+
+    def in_(self, *_) -> "Func":
+        """A wrapper with the same values; consumers may use either."""
+        g = Func()
+        args = tuple(Expr(I32, name=a) for a in self.args)
+        g[args] = self[args]
+        return g
+
+    clone_in = in_
+
+    def change_type(self, type: ElementType) -> "Func":
+        """A wrapper whose sums are accumulated in another type and cast back."""
+        if len(self.values) != 1 or self.frozen:
+            raise RuntimeError("one value that has not been used changes its type")
+        g, args, old = Func(), tuple(Expr(I32, name=a) for a in self.args), self.values[0].type
+        g[args] = cast(type, self.values[0])
+        for u in self.updates:
+            g[tuple(u.lhs)] = cast(type, _recast(self, g, u.rhs[0], type))
+        out = Func()
+        out[args] = cast(old, g[args])
+        return out
+
+    def rfactor(self, preserved: dict["RVar", Expr]) -> "Func":
+        """Makes the last update, which has to be associative, two of them: partial results
+        for each value of the preserved variables, which it returns, and then theirs."""
+        u = self.updates[-1]
+        kind = _associative(self, u)
+        if kind is None:
+            raise ValueError("only associative updates are factored")
+        rdom, = _rdom(u)
+        stays = {r.name: v for r, v in preserved.items()}
+        part, args = Func(), [Expr(I32, name=a) for a in self.args]
+        identity = {"add": 0, "mul": 1, "and": True, "or": False, "bitor": 0, "bitxor": 0}
+        starts = [v.type.min if kind[0].get(k) == "max" else v.type.max if kind[0].get(k) in ("min", "bitand") and not v.type.is_int else -1 if kind[0].get(k) == "bitand" else v.type.max if kind[0].get(k) == "min" else identity[kind[0][k]] for k, v in enumerate(self.values)]
+        part[(*args, *stays.values())] = tuple(cast(v.type, const(float(x) if v.type.is_float else bool(x) if v.type.is_bool else int(x), v.type)) for x, v in zip(starts, self.values))
+        # the preserved variables become coordinates; the rest is reduced, within the same predicate
+        left = [(v, b) for v, b in zip(rdom.vars, rdom.box) if v.name not in stays]
+        inner = RDom([(b.min, b.extent) for _, b in left] or [(0, 1)])
+        put = {v.name: n for (v, _), n in zip(left, inner.vars)} | stays
+        move = lambda e: e.rebuild(lambda n: put.get(n.name) if n.name is not None else None)
+        for p in rdom.predicates:
+            inner.predicates.append(move(p))
+        if not left:
+            inner.predicates.append(inner[0] == 0)
+        for v, b in zip(rdom.vars, rdom.box):
+            if v.name in stays:
+                inner.predicates.append(E.logical_and(stays[v.name] >= b.min, stays[v.name] <= b.max))
+        place = (*[move(i) for i in u.lhs], *stays.values())
+        part[place] = tuple(_OPS[kind[0][k]](_item(part[place], k), move(kind[1][k])) for k in range(len(self.values)))
+        part.updates[-1].rdoms = [inner]
+        outer = RDom([(b.min, b.extent) for v, b in zip(rdom.vars, rdom.box) if v.name in stays])
+        names = [v.name for v in rdom.vars if v.name in stays]
+        last = dict(zip(names, outer.vars))
+        self.updates.pop()
+        whole = tuple(Expr(I32, name=a) for a in self.args)
+        call = part[(*whole, *[last[r.name] for r in preserved])]
+        self[whole] = tuple(_OPS[kind[0][k]](_item(self[whole], k), _item(call, k)) for k in range(len(self.values)))
+        part.compute_root()
+        return part
+
+    def print_loop_nest(self) -> str:
+        """How the function is made, a line a stage."""
+        lines = [f"produce {self.name}({', '.join(self.args)})" + (" as a table" if self.root or self.updates else " inline")]
+        for u in self.updates:
+            how = "aggregate" if _associative(self, u) else "last writer" if not _Lowering.reads_itself(self, u) else "in place" if not _rdom(u) else "ordered fold"
+            lines.append(f"  update over {[v.name for d in _rdom(u) for v in d.vars]}: {how}")
+        return "\n".join(lines)
+
+    def debug_to_file(self, region, spark: SparkSession, path: str) -> ArrayTable:
+        """Realizes, and dumps the table as Parquet on the way."""
+        out = self.realize(region, spark)
+        out.df.write.mode("overwrite").parquet(path)
+        return out
 
     def add_requirement(self, cond: Expr, message: str = "requirement failed") -> None:
         """Checked at each point."""
@@ -174,7 +349,12 @@ class Func:
 
     # evaluation ----------------------------------------------------------------
     def realize(self, region, spark: SparkSession) -> ArrayTable:
-        return _Lowering(spark).array(self, box(*region))
+        r = box(*region)
+        for a, n in zip(self.args, r):
+            low, extent = self.bounds.get(a, (None, None))
+            if extent is not None and (n.extent != extent or low is not None and n.min != low):
+                raise IndexError(f"{a} is bound to {extent} places" + (f" from {low} on" if low is not None else ""))
+        return _Lowering(spark).array(self, r)
 
     def infer_input_regions(self, region) -> dict["Image", Box]:
         """The box that each input has to supply."""
@@ -192,6 +372,73 @@ class Func:
         return {k: v for k, v in need.items() if isinstance(k, Image)}
 
 
+class _Start(Expr):
+    """See ``Func._undefined``."""
+
+    def __init__(self, f: Func, index: tuple):
+        super().__init__(I32)
+        self.f, self.index = f, index
+
+    def _define(self, value, start: int, op):
+        f, index = self.f, tuple(_index(i) for i in self.index)
+        values = value if isinstance(value, tuple) else (value,)
+        values = tuple(v if isinstance(v, Expr) else const(v) for v in values)
+        args = tuple(i if i.name is not None and not isinstance(i, RVar) else Var() for i in index)
+        zeros = tuple(const(float(start) if v.type.is_float else start, v.type) for v in values)
+        f[args] = zeros if len(zeros) > 1 else zeros[0]
+        old = f[index]
+        news = tuple(op(o, v) for o, v in zip(old if isinstance(old, tuple) else (old,), values))
+        return news if len(news) > 1 else news[0]
+
+    def __iadd__(self, v): return self._define(v, 0, lambda a, b: a + b)  # noqa: E704
+    def __isub__(self, v): return self._define(v, 0, lambda a, b: a - b)  # noqa: E704
+    def __imul__(self, v): return self._define(v, 1, lambda a, b: a * b)  # noqa: E704
+    def __itruediv__(self, v): return self._define(v, 1, lambda a, b: a / b)  # noqa: E704
+
+    def nodes(self):
+        raise NameError(f"{self.f.name} is not defined")
+
+
+def evaluate(e: Expr, spark: SparkSession):
+    """The value of an expression without variables."""
+    f = Func()
+    f[Var()] = e
+    return f.realize([1], spark).at(0)
+
+
+def _implied(index: list[Expr], values: list) -> tuple[list[Expr], list]:
+    """``_`` on the left stands for as many coordinates as the calls on the right leave."""
+    at = next((k for k, i in enumerate(index) if i.name == "_"), None)
+    if at is None:
+        return index, values
+    n = max((int(v.name[1:]) + 1 for e in values if isinstance(e, Expr) for v in e.nodes() if v.name and v.name[0] == "_" and v.name[1:].isdigit()), default=0)
+    return [*index[:at], *[Expr(I32, name=f"_{k}") for k in range(n)], *index[at + 1 :]], values
+
+
+def _var_name(var) -> str:
+    return var if isinstance(var, str) else var.name
+
+
+def _item(call, k: int) -> Expr:
+    return call[k] if isinstance(call, tuple) else call
+
+
+def _recast(f: Func, g: Func, e: Expr, type: ElementType) -> Expr:
+    """Reads of f become reads of g, and the arithmetic around them its type."""
+    if e.call is not None and e.call[0] is f:
+        return g[e.args]
+    if e.tag in _OPS and any(n.call is not None and n.call[0] is f for n in e.nodes()):
+        return _OPS[e.tag](*[_recast(f, g, a, type) if any(n.call is not None and n.call[0] is f for n in a.nodes()) else cast(type, a) for a in e.args])
+    return e
+
+
+#: Operations of associative updates.
+_OPS = {
+    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "max": E.max_, "min": E.min_, "and": E.logical_and, "or": E.logical_or,
+    "bitand": lambda a, b: a & b, "bitor": lambda a, b: a | b, "bitxor": lambda a, b: a ^ b,
+}
+
+
 def _mismatch():
     raise TypeError("an update has the types of the definition")
 
@@ -206,15 +453,15 @@ def _calls_of(f: Func, r: Box):
         rdom = _rdom(u)
         uenv = {i.name: env[a] for i, a in zip(u.lhs, f.args) if i.name is not None and not isinstance(i, RVar)}
         uenv |= {v.name: b for d in rdom for v, b in zip(d.vars, d.box)}
-        for e in [*u.lhs, *(v for v in u.rhs if isinstance(v, Expr))]:
+        for e in u.exprs():
             for n in e.nodes():
                 if n.call is not None and n.call[0] is not f:
                     yield n, uenv
 
 
 def _rdom(u: Update) -> list[RDom]:
-    found = {}
-    for e in [*u.lhs, *(v for v in u.rhs if isinstance(v, Expr))]:
+    found = {id(d): d for d in getattr(u, "rdoms", ())}
+    for e in u.exprs():
         for n in e.nodes():
             if isinstance(n, RVar):
                 found[id(n.rdom)] = n.rdom
@@ -222,12 +469,26 @@ def _rdom(u: Update) -> list[RDom]:
 
 
 class _Lowering:
-    """One realization: tables that several consumers read are made once."""
+    """One realization.  A table that several consumers read over one region is one plan,
+    whose exchanges Spark runs once."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.made: dict[tuple, ArrayTable] = {}
 
     def array(self, f: Func | Image, need: Box) -> ArrayTable:
+        key = (id(f), need)
+        if key not in self.made:
+            kept = f.made if isinstance(f, Func) and f.kept else {}
+            if need in kept:
+                self.made[key] = kept[need]
+            else:
+                self.made[key] = self.make(f, need)
+                if isinstance(f, Func) and f.kept:
+                    self.made[key] = kept[need] = self.made[key]._with(self.made[key].df.persist(StorageLevel.DISK_ONLY))
+        return self.made[key]
+
+    def make(self, f: Func | Image, need: Box) -> ArrayTable:
         if isinstance(f, Image):
             f.covers(need)
             t = f.table
@@ -239,8 +500,8 @@ class _Lowering:
         for u in f.updates:  # a scan reads where it starts: its own domain is computed in full
             env = {v.name: b for d in _rdom(u) for v, b in zip(d.vars, d.box)}
             env |= {i.name: r for i, r in zip(u.lhs, need) if i.name is not None and not isinstance(i, RVar)}
-            reads = [n.args for v in u.rhs if isinstance(v, Expr) for n in v.nodes() if n.call is not None and n.call[0] is f]
-            for index in [u.lhs, *reads]:
+            reads = [n.args for v in u.exprs() for n in v.nodes() if n.call is not None and n.call[0] is f]
+            for index in [u.lhs, *[x.lhs for x in u.lanes], *reads]:
                 if self.reads_itself(f, u):
                     whole = R.union(whole, tuple(Range(lo, hi - lo + 1) for lo, hi in (interval(i, env) for i in index)))
         dims, vals = tuple(f.args), tuple(f"{f.name}_{k}" if len(f.values) > 1 else "v" for k in range(len(f.values)))
@@ -255,8 +516,8 @@ class _Lowering:
         for d, w, n in zip(dims, whole, need):
             if w != n:
                 table = table.where(F.col(d).between(n.min, n.max))
-        if f.tile:
-            table = table.repartition(*f.tile)
+        if f.by:
+            table = table.repartition(*f.by)
         return ArrayTable(table, dims, vals, tuple(v.type for v in f.values), need)
 
     def inlined(self, e: Expr) -> Expr:
@@ -312,15 +573,32 @@ class _Lowering:
         for e, name in sites:  # calls of one array at one place are one join
             key = next((k for k in groups if k[0] == id(e.call[0]) and all(a.same(b) for a, b in zip(groups[k][0][0].args, e.args))), (id(e.call[0]), name))
             groups.setdefault(key, []).append((e, name))
-        for (tid, _), calls in groups.items():
+        # calls at constant distances from the point, over the same variables: one exchange for all of them
+        near: dict[tuple, list] = {}
+        for key, calls in groups.items():
+            direct = [shift_of(x) for x in calls[0][0].args]
+            if all(direct) and len({v for v, _ in direct}) == len(direct) and all(v in df.columns for v, _ in direct):
+                near.setdefault(tuple(sorted(v for v, _ in direct)), []).append((key, dict(direct), [v for v, _ in direct]))
+        for over, found in near.items():
+            if len(found) < 2:
+                continue
+            reads: dict[tuple, tuple] = {}
+            for key, by, order in found:
+                t = tables[key[0]]
+                for e, name in groups.pop(key):
+                    value = t.values[e.call[1]]
+                    cells = t.df.select(*[F.col(d).alias(v) for d, v in zip(t.dims, order)], F.col(value).alias("_value"))
+                    reads.setdefault((key[0], value, tuple(order)), (cells, "_value", []))[2].append((tuple(by[v] for v in over), name))
+            df = gather(df, list(over), list(reads.values()))
+        for (tid, __), calls in groups.items():
             t, first = tables[tid], calls[0][0]
-            keys = [f"_k{next(_ids)}" for _ in t.dims]
+            keys = [f"_k{next(_ids)}" for __ in t.dims]
             src = t.df.select(*[F.col(d).alias(k) for d, k in zip(t.dims, keys)], *[F.col(t.values[e.call[1]]).alias(n) for e, n in calls])
             direct = [shift_of(a) for a in first.args]
             if all(direct) and len({d[0] for d in direct}) == len(direct) and all(d[0] in df.columns for d in direct):
                 # variable + constant: the source's coordinates are moved, so the join is on plain columns
-                moved = src.select(*[(F.col(k) - c).cast("int").alias(v) for k, (v, c) in zip(keys, direct)], *[n for _, n in calls])
-                df = df.join(moved, [v for v, _ in direct], "left")
+                moved = src.select(*[(F.col(k) - c).cast("int").alias(v) for k, (v, c) in zip(keys, direct)], *[n for __, n in calls])
+                df = df.join(moved, [v for v, __ in direct], "left")
             else:
                 at = [a.column(lambda n: bound.get(id(n))) for a in first.args]
                 df = df.join(src, [F.col(k) == c.cast("int") for k, c in zip(keys, at)], "left").drop(*keys)
@@ -328,136 +606,231 @@ class _Lowering:
 
     @staticmethod
     def reads_itself(f: Func, u: Update) -> bool:
-        return any(n.call is not None and n.call[0] is f for v in u.rhs if isinstance(v, Expr) for n in v.nodes())
+        return any(n.call is not None and n.call[0] is f for v in u.exprs() for n in v.nodes())
 
     def update(self, f: Func, u: Update, table: DataFrame, dims, vals, whole: Box) -> DataFrame:
         rdoms = _rdom(u)
         pure = [(i.name, r) for i, r in zip(u.lhs, whole) if i.name is not None and not isinstance(i, RVar)]
         rvars = [(v.name, b) for d in rdoms for v, b in zip(d.vars, d.box)]
         env = dict(pure + rvars)
-        base = domain(self.spark, list(env), tuple(env.values()))
         order = F.lit(0).cast("bigint")
         for name, r in reversed(rvars):
             order = order * r.extent + (F.col(name) - r.min)
         preds = [p for d in rdoms for p in d.predicates]
-        kind = self.associative(f, u)
-        live = [(k, v) for k, v in enumerate(u.rhs) if isinstance(v, Expr)]
+        kind = _associative(f, u)
+        own = (f, ArrayTable(table, dims, vals, tuple(v.type for v in f.values)))
         if kind is not None:
-            exprs = [*preds, *u.lhs, *kind[1].values()]
-            df, cols = self.points(base, env, exprs)
-            for c in cols[: len(preds)]:
-                df = df.where(c)
-            lhs, rhs = cols[len(preds) : len(preds) + len(dims)], cols[len(preds) + len(dims) :]
-            got = df.select(*[c.cast("int").alias(d) for d, c in zip(dims, lhs)], *[c.alias(f"_e{k}") for k, c in zip(kind[1], rhs)])
-            aggs = {"add": F.sum, "mul": F.product, "max": F.max, "min": F.min, "and": F.bool_and, "or": F.bool_or}
-            got = got.groupBy(*dims).agg(*[aggs[kind[0][k]](_exact(F.col(f"_e{k}"), f.values[k].type)).alias(f"_a{k}") for k in kind[1]])
+            got = self.stores(env, preds, u.lhs, dict(kind[1]), dims)
+            exact = {k: f.values[k].type for k in kind[1] if kind[0][k] == "mul" and not f.values[k].type.is_float}
+            if exact:  # products wrap: they are folded, bit for bit
+                op = {k: _OPS[kind[0][k]] for k in kind[1]}
+                one = {"add": 0, "mul": 1, "and": True, "or": False, "max": None, "min": None}
+                typed = lambda c, k: Expr(f.values[k].type, (), lambda c=c: c)
+                start = {f"_a{k}": F.lit(one[kind[0][k]]).cast(f.values[k].type.spark) for k in kind[1]}
+
+                def combine(p, q):
+                    return {f"_a{k}": F.coalesce(op[k](typed(p[f"_a{k}"], k), typed(q[f"_a{k}"], k)).column(), p[f"_a{k}"], q[f"_a{k}"]) for k in kind[1]}
+
+                got = associative(got, list(dims), {f"_a{k}": F.col(f"_e{k}").cast(f.values[k].type.spark) for k in kind[1]}, start, combine)
+            else:
+                aggs = {"add": F.sum, "mul": F.product, "div": F.product, "max": F.max, "min": F.min, "and": F.bool_and, "or": F.bool_or, "bitand": F.bit_and, "bitor": F.bit_or, "bitxor": F.bit_xor}
+                got = got.groupBy(*dims).agg(*[aggs[kind[0][k]](_exact(F.col(f"_e{k}"), f.values[k].type)).alias(f"_a{k}") for k in kind[1]])
             table = table.join(got, list(dims), "left")
             put = {}
             for k in kind[1]:
                 t = f.values[k].type
                 old = Expr(t, name=vals[k])
-                new = {"add": lambda o, a: o + a, "mul": lambda o, a: o * a, "max": E.max_, "min": E.min_, "and": E.logical_and, "or": E.logical_or}[kind[0][k]]
                 agg = Expr(t, (), lambda k=k, t=t: _back(F.col(f"_a{k}"), t))
-                put[vals[k]] = F.when(F.col(f"_a{k}").isNull(), F.col(vals[k])).otherwise(new(old, agg).column())
+                new = old / agg if kind[0][k] == "div" else _OPS[kind[0][k]](old, agg)
+                put[vals[k]] = F.when(F.col(f"_a{k}").isNull(), F.col(vals[k])).otherwise(new.column())
             return table.withColumns(put).select(*dims, *vals)
-        if not self.reads_itself(f, u):
-            exprs = [*preds, *u.lhs, *(v for _, v in live)]
-            df, cols = self.points(base, env, exprs)
-            for c in cols[: len(preds)]:
-                df = df.where(c)
-            lhs, rhs = cols[len(preds) : len(preds) + len(dims)], cols[len(preds) + len(dims) :]
-            got = df.select(*[c.cast("int").alias(d) for d, c in zip(dims, lhs)], order.alias("_o"), *[c.alias(f"_e{k}") for (k, _), c in zip(live, rhs)])
-            last = got.groupBy(*dims).agg(F.max_by(F.struct(*[f"_e{k}" for k, _ in live]), "_o").alias("_l"))
+        if not self.reads_itself(f, u) or u.lanes and not rdoms:
+            # every lane reads the table as it is; of the stores to one place the last stays
+            parts = []
+            for n, lane in enumerate((u, *u.lanes)):
+                live = {k: v for k, v in enumerate(lane.rhs) if isinstance(v, Expr)}
+                got = self.stores(env, preds, lane.lhs, live, dims, own, (order * (len(u.lanes) + 1) + n).alias("_o"))
+                parts.append(got.select(*dims, "_o", *[(F.col(f"_e{k}").cast(v.type.spark) if k in live else F.lit(None).cast(v.type.spark)).alias(f"_e{k}") for k, v in enumerate(f.values)]))
+            got, live = reduce_(DataFrame.union, parts), [k for k, v in enumerate(u.rhs) if isinstance(v, Expr)]
+            last = got.groupBy(*dims).agg(F.max_by(F.struct(*[f"_e{k}" for k in live]), "_o").alias("_l"))
             table = table.join(last, list(dims), "left")
-            new = {vals[k]: F.when(F.col("_l").isNull(), F.col(vals[k])).otherwise(F.col(f"_l._e{k}")) for k, _ in live}
+            new = {vals[k]: F.when(F.col("_l").isNull(), F.col(vals[k])).otherwise(F.col(f"_l._e{k}")) for k in live}
             return table.withColumns(new).select(*dims, *vals)
-        if not rdoms:  # f[x] = g(f[x], ...): in place
-            df, cols = self.points(table, env, [v for _, v in live], own=(f, ArrayTable(table, dims, vals, tuple(v.type for v in f.values))))
-            return df.select(*dims, *[c.cast(f.values[k].type.spark).alias(vals[k]) for (k, _), c in zip(live, cols)], *[v for k, v in enumerate(vals) if k not in dict(live)])
-        return self.recurrence(f, u, table, dims, vals, rdoms, preds)
-
-    def associative(self, f: Func, u: Update):
-        """({value: kind}, {value: expression}) if every updated value is old (op) e and e
-        does not read f."""
-        kinds, rest = {}, {}
-        for k, v in enumerate(u.rhs):
-            if isinstance(v, Undef):
-                continue
-            if v.tag not in ("add", "mul", "max", "min", "and", "or", "sub"):
-                return None
-            sides = list(v.args)
-            mine = [i for i, s in enumerate(sides) if s.call is not None and s.call == (f, k) and all(a.same(b) for a, b in zip(s.args, u.lhs))]
-            if len(mine) != 1 or (v.tag == "sub" and mine[0] != 0):
+        live = {k: v for k, v in enumerate(u.rhs) if isinstance(v, Expr)}
+        if not rdoms and all(i.name is not None for i in u.lhs):  # f[x] = g(f[x], ...): in place, by the definition's names
+            names = {i.name: d for i, d in zip(u.lhs, dims)}
+            renamed = [v.rebuild(lambda n: Expr(I32, name=names[n.name]) if n.name in names else None) for v in live.values()]
+            df, cols = self.points(table, dict(zip(dims, whole)), renamed, own=own)
+            return df.select(*dims, *[c.cast(f.values[k].type.spark).alias(vals[k]) for k, c in zip(live, cols)], *[v for k, v in enumerate(vals) if k not in live]).select(*dims, *vals)
+        if not rdoms:
+            got = self.stores(env, preds, u.lhs, live, dims, own, F.lit(0).alias("_o"))
+            table = table.join(got, list(dims), "left")
+            new = {vals[k]: F.when(F.col("_o").isNull(), F.col(vals[k])).otherwise(F.col(f"_e{k}").cast(f.values[k].type.spark)) for k in live}
+            return table.withColumns(new).select(*dims, *vals)
+        if u.lanes:
+            raise NotImplementedError("lanes that read what an earlier step of a reduction stored")
+        if all(all(a.same(b) for a, b in zip(n.args, u.lhs)) for v in live.values() for n in v.nodes() if n.call is not None and n.call[0] is f):
+            return self.in_place(f, u, table, dims, vals, env, order, preds, live)
+        return self.recurrence(f, u, table, dims, vals, rdoms, preds, whole, live)
+
+    def stores(self, env: dict, preds: list[Expr], lhs: list[Expr], rhs: dict[int, Expr], dims, own: tuple | None = None, *more: Column) -> DataFrame:
+        """The update's points with the place that each stores to and its values _e{k}."""
+        base = domain(self.spark, list(env), tuple(env.values()))
+        if preds:
+            df, cols = self.points(base, env, preds, own)
+            for c in cols:
+                df = df.where(c)
+            base = df.select(*env)
+        df, cols = self.points(base, env, [*lhs, *rhs.values()], own)
+        return df.select(*[c.cast("int").alias(d) for d, c in zip(dims, cols)], *more, *[c.alias(f"_e{k}") for k, c in zip(rhs, cols[len(dims) :])])
+
+    def in_place(self, f, u, table, dims, vals, env, order, preds, live) -> DataFrame:
+        """f[k(r)] = g(f[k(r)], r): steps on the same place, folded in the order of r.  The
+        steps of one place are one array."""
+        reads, outer = [], {}
+        for k, v in live.items():
+            def step(n: Expr) -> Expr | None:
+                if n.call is not None and n.call[0] is f:
+                    return Expr(n.type, name=f"_own{n.call[1]}")
                 return None
-            e = sides[1 - mine[0]]
-            if any(n.call is not None and n.call[0] is f for n in e.nodes()) or (v.tag == "mul" and not v.type.is_float and v.type.bits > 32):
+
+            outer[k] = self.inlined(v.rebuild(step))
+        leaves = {}
+        for v in outer.values():
+            for n in v.nodes():
+                if n.call is not None and not any(n.same(x) for x in leaves.values()):
+                    leaves[len(leaves)] = n
+        names = sorted({n.name for v in outer.values() for n in v.nodes() if n.name in env})
+        got = self.stores(env, preds, u.lhs, leaves, dims, None, order.alias("_o"), *[F.col(n).alias(f"_n_{n}") for n in names])
+        steps = got.groupBy(*dims).agg(F.array_sort(F.collect_list(F.struct("_o", *[f"_e{i}" for i in leaves], *[f"_n_{n}" for n in names]))).alias("_s"))
+        joined = table.join(steps, list(dims), "left")
+        start = F.struct(*[F.col(v).alias(v) for v in vals])
+
+        def one(acc, it):
+            def bind(n: Expr):
+                if n.name and n.name.startswith("_own"):
+                    return acc[vals[int(n.name[4:])]]
+                if n.name in names:
+                    return it[f"_n_{n.name}"]
+                if n.call is not None:
+                    return it[f"_e{next(i for i, x in leaves.items() if x.same(n))}"]
                 return None
-            kinds[k], rest[k] = ("add", -e) if v.tag == "sub" else (v.tag, e)
-        return (kinds, rest) if kinds else None
-
-    def recurrence(self, f, u, table, dims, vals, rdoms, preds):
-        """f[r, pure...] = F(f[r - k, pure...], ...): an ordered fold along the one reduction
-        variable for each combination of the pure variables."""
-        if len(rdoms) != 1 or len(rdoms[0].vars) != 1 or len(vals) != 1 or preds:
-            raise NotImplementedError("recurrences run along one reduction variable, with one value and no predicate")
-        r, rng = rdoms[0].vars[0], rdoms[0].box[0]
-        at = next((i for i, e in enumerate(u.lhs) if e.name == r.name), None)
-        others = [d for i, d in enumerate(dims) if i != at]
-        if at is None or any(e.name is None for e in u.lhs):
-            raise NotImplementedError("a recurrence stores at the reduction variable")
-        lags: dict[int, Expr] = {}
-        for n in u.rhs[0].nodes():
-            if n.call is not None and n.call[0] is f:
-                s = shift_of(n.args[at])
-                if s is None or s[0] != r.name or s[1] >= 0 and s[1] != 0:
-                    raise NotImplementedError("a recurrence reads earlier places")
-                lags[-s[1]] = n
-        depth = max(lags)
-        t = f.values[0].type
-        # everything that does not depend on f is computed first, per point
-        outer = u.rhs[0].rebuild(lambda n: Expr(t, name=f"_lag{-shift_of(n.args[at])[1]}") if n.call is not None and n.call[0] is f else None)
+
+            return F.struct(*[(outer[k].column(bind).cast(f.values[k].type.spark) if k in outer else acc[v]).alias(v) for k, v in enumerate(vals)])
+
+        done = joined.withColumn("_d", F.when(F.col("_s").isNull(), start).otherwise(F.aggregate("_s", start, one)))
+        return done.select(*dims, *[F.col(f"_d.{v}").alias(v) for v in vals])
+
+    def recurrence(self, f, u, table, dims, vals, rdoms, preds, whole, live):
+        """f[r, pure...] = F(f[r - k, pure...], ...) along one or two reduction variables: an
+        ordered fold, line by line, for each combination of the pure variables.
+
+        Reads of places that the fold has passed see what it stored; reads ahead, and
+        outside its domain, see what was there before.  A line is one array, and the lines
+        of one combination are one array of them."""
+        if len(rdoms) != 1 or len(rdoms[0].vars) > 2:
+            raise NotImplementedError("recurrences run along one or two variables of one domain")
+        fast, slow = rdoms[0].vars[0], rdoms[0].vars[1] if len(rdoms[0].vars) > 1 else None
+        place = {e.name: i for i, e in enumerate(u.lhs)}
+        if any(e.name is None for e in u.lhs) or fast.name not in place or slow is not None and slow.name not in place:
+            raise NotImplementedError("a recurrence stores at its reduction variables")
+        at, up = place[fast.name], place[slow.name] if slow is not None else None
+        rng, rng2 = rdoms[0].box[0], rdoms[0].box[1] if slow is not None else Range(0, 1)
+        others = [d for i, d in enumerate(dims) if i not in (at, up)]
         names = {e.name: d for e, d in zip(u.lhs, dims)}
-        outer = outer.rebuild(lambda n: Expr(I32, name=names[n.name]) if n.name in names else None)
-        line = table.where(F.col(dims[at]).between(rng.min - depth, rng.max))
-        reads = [n for n in outer.nodes() if n.call is not None]
-        env = {d: r2 for d, r2 in zip(dims, [Range(rng.min, rng.extent) if i == at else None for i in range(len(dims))]) if r2}
-        env |= {d: Range(x, y - x + 1) for d, x, y in []}
+        lags: list[tuple[int, int]] = []
+
+        def lag(n: Expr) -> tuple[int, int]:
+            found = {}
+            for i, (arg, e) in enumerate(zip(n.args, u.lhs)):
+                s = shift_of(arg)
+                if s is None or s[0] != e.name or s[1] and i not in (at, up):
+                    raise NotImplementedError("a recurrence reads at constant distances")
+                found[i] = s[1]
+            return found[at], found[up] if up is not None else 0
+
+        def outside(e: Expr) -> Expr:
+            """Reads of f by their distance, other variables by their dimensions."""
+            def step(n: Expr) -> Expr | None:
+                if n.call is not None and n.call[0] is f:
+                    lags.append(lag(n))
+                    return Expr(n.type, name=f"_lag:{n.call[1]}:{lags[-1][0]}:{lags[-1][1]}")
+                return Expr(I32, name=names[n.name]) if n.name in names else None
+
+            return self.inlined(e.rebuild(step))
+
+        new, conds = {k: outside(v) for k, v in live.items()}, [outside(p) for p in preds]
+        reads = {}
+        for v in [*new.values(), *conds]:
+            for n in v.nodes():
+                if n.call is not None and not any(n.same(x) for x in reads.values()):
+                    reads[len(reads)] = n
+        # all of the lines' places, the edges that are only read included
+        line = table
         if reads:
-            for i, d in enumerate(dims):
-                if i != at:
-                    lo, hi = table.agg(F.min(d), F.max(d)).first()
-                    env[d] = Range(lo, hi - lo + 1)
-            line, cols = self.points(line, env, reads)
-            line = line.select(*dims, vals[0], *[c.alias(f"_in{i}") for i, c in enumerate(cols)])
-            put = {id(n): i for i, n in enumerate(reads)}
-        else:
-            put = {}
-        fields = [F.col(dims[at]).alias("p"), F.col(vals[0]).alias("old"), *[F.col(f"_in{i}") for i in range(len(reads))], *[F.col(d).alias(f"_d_{d}") for d in others]]
-        g = line.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_i"))
-        init = F.struct(F.expr(f"cast(array() as array<{t.spark}>)").alias("all"))
-
-        def step(acc, it):
-            n = F.size(acc["all"])
-
-            def bind(node: Expr):
-                if id(node) in put:
-                    return it[f"_in{put[id(node)]}"]
-                if node.name and node.name.startswith("_lag"):
-                    k = int(node.name[4:])
-                    return it["old"] if k == 0 else F.get(acc["all"], n - k)
-                if node.name == dims[at]:
-                    return it["p"]
-                if node.name in others:
-                    return it[f"_d_{node.name}"]
-                return None
-
-            new = F.when(it["p"] < rng.min, it["old"]).otherwise(outer.column(bind).cast(t.spark))
-            return F.struct(F.concat(acc["all"], F.array(new)).alias("all"))
-
-        runs = F.aggregate("_i", init, step, lambda acc: acc["all"])
-        out = g.select(*others, F.explode(F.arrays_zip(F.transform("_i", lambda s: s["p"]).alias("p"), runs.alias("v"))).alias("_p"))
-        out = out.select(*others, F.col("_p.p").alias(dims[at]), F.col("_p.v").alias("_new"))
-        return table.join(out, list(dims), "left").select(*dims, F.coalesce("_new", vals[0]).alias(vals[0]))
+            line, cols = self.points(table, dict(zip(dims, whole)), list(reads.values()))
+            line = line.select(*dims, *vals, *[c.alias(f"_in{i}") for i, c in enumerate(cols)])
+        low = F.col(dims[up]) if up is not None else F.lit(0)
+        fields = [F.col(dims[at]).alias("p"), low.alias("q"), *[F.col(v) for v in vals], *[F.col(f"_in{i}") for i in reads], *[F.col(d).alias(f"_d_{d}") for d in others]]
+        lines = line.groupBy(*others, low.alias("_q")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_l"))
+        g = lines.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(F.col("_q").alias("q"), F.col("_l").alias("l")))).alias("_g"))
+        kinds = ",".join(f"{v}:{e.type.spark}" for v, e in zip(vals, f.values))
+        none, no_lines = F.expr(f"cast(array() as array<struct<{kinds}>>)"), F.expr(f"cast(array() as array<array<struct<{kinds}>>>)")
+
+        def each_line(done, one_line):
+            def each(acc, it):
+                i, j = F.size(acc), F.size(done)
+
+                def bind(n: Expr):
+                    if n.name and n.name.startswith("_lag:"):
+                        k, a, b = (int(x) for x in n.name.split(":")[1:])
+                        passed = b < 0 or b == 0 and a < 0
+                        source = acc if b == 0 and a < 0 else F.get(done, j + b) if passed else one_line["l"] if b == 0 else F.get("_g", j + b)["l"]
+                        return F.get(source, i + a)[vals[k]]
+                    if n.call is not None:
+                        return it[f"_in{next(x for x, r in reads.items() if r.same(n))}"]
+                    if n.name == dims[at]:
+                        return it["p"]
+                    if up is not None and n.name == dims[up]:
+                        return it["q"]
+                    return it[f"_d_{n.name}"] if n.name in others else None
+
+                on = it["p"].between(rng.min, rng.max) & (it["q"].between(rng2.min, rng2.max) if up is not None else F.lit(True))
+                for c in conds:
+                    on = on & c.column(bind)
+                cell = F.struct(*[(F.when(on, new[k].column(bind).cast(e.type.spark)).otherwise(it[v]) if k in new else it[v]).alias(v) for k, (v, e) in enumerate(zip(vals, f.values))])
+                return F.concat(acc, F.array(cell))
+
+            return F.concat(done, F.array(F.aggregate(one_line["l"], none, each)))
+
+        runs = F.flatten(F.aggregate("_g", no_lines, each_line))
+        places = F.flatten(F.transform("_g", lambda x: x["l"]))
+        out = g.select(*others, F.inline(F.zip_with(places, runs, lambda p, r: F.struct(p["p"].alias("_p"), p["q"].alias("_q"), *[r[v].alias(v) for v in vals]))))
+        moved = [(F.col("_p") if i == at else F.col("_q") if i == up else F.col(d)).alias(d) for i, d in enumerate(dims)]
+        return out.select(*moved, *vals)
+
+
+def _associative(f: Func, u: Update):
+    """({value: kind}, {value: expression}) if every updated value is old (op) e and e
+    does not read f."""
+    if u.lanes:
+        return None
+    kinds, rest = {}, {}
+    for k, v in enumerate(u.rhs):
+        if isinstance(v, Undef):
+            continue
+        if v.tag not in _OPS and not (v.tag == "div" and v.type.is_float):
+            return None
+        mine = [i for i, s in enumerate(v.args) if s.call is not None and s.call == (f, k) and all(a.same(b) for a, b in zip(s.args, u.lhs))]
+        if len(mine) != 1 or v.tag in ("sub", "div") and mine[0] != 0:
+            return None
+        e = v.args[1 - mine[0]]
+        if any(n.call is not None and n.call[0] is f for n in e.nodes()):
+            return None
+        kinds[k], rest[k] = ("add", -e) if v.tag == "sub" else (v.tag, e)
+    if any(kinds[k] == "mul" and not f.values[k].type.is_float for k in kinds) and any(v in ("bitand", "bitor", "bitxor", "div") for v in kinds.values()):
+        return None
+    return (kinds, rest) if kinds else None
 
 
 def _exact(c: Column, t: ElementType) -> Column:
