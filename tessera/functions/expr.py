@@ -315,7 +315,7 @@ def absd(a, b) -> Expr:
 def select(*args):
     """select(c0, v0, c1, v1, ..., default): the first true condition's value.  Tuples of
     values give tuples."""
-    if any(isinstance(a, tuple) for a in args[1::2] + args[-1:]):
+    if any(isinstance(a, tuple) for a in args):
         n = next(len(a) for a in args if isinstance(a, tuple))
         return tuple(select(*[a[i] if isinstance(a, tuple) else a for a in args]) for i in range(n))
     if len(args) == 1:
@@ -327,7 +327,7 @@ def select(*args):
 
 
 def mux(i: Expr, values: list):
-    """The i-th value; the last for an index out of range."""
+    """The i-th value (or tuple); the last for an index out of range."""
     return select(*[x for k, v in enumerate(values[:-1]) for x in (i == k, v)], values[-1])
 
 
@@ -672,11 +672,18 @@ def likely(e: Expr) -> Expr:
     return e
 
 
-likely_if_innermost = strict_float = promise_clamped = likely
+likely_if_innermost = strict_float = likely  # float operations are never reordered in a plan
 
 
 def unsafe_promise_clamped(e: Expr, lo, hi) -> Expr:
-    return e
+    """The value, of which the planner believes that it lies between the bounds."""
+    return node(e.type, lambda x, *_: x, e, cast(e.type, lo), cast(e.type, hi), tag="promise")
+
+
+def promise_clamped(e: Expr, lo, hi) -> Expr:
+    """As ``unsafe_promise_clamped``, but checked at each point."""
+    message = F.lit("a promise was broken")
+    return node(e.type, lambda x, a, b: F.when((x >= a) & (x <= b), x).otherwise(F.raise_error(message).cast(e.type.spark)), e, cast(e.type, lo), cast(e.type, hi), tag="promise")
 
 
 def print_(e: Expr, *_) -> Expr:

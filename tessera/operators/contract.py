@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pixels import requantize
+
 
 def matmul(a: DataFrame, b: DataFrame, block: int | None = None) -> DataFrame:
     """(i, j, v) from a (i, k, v) and b (k, j, v): join on k, sum by (i, j).
@@ -62,33 +64,96 @@ def scal(x: DataFrame, alpha) -> DataFrame:
     return x.withColumn("v", F.col("v") * alpha)
 
 
+#: Weights and biases of a layer are broadcast up to so many rows, else joined by channel.
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def conv2d(data: DataFrame, weights: DataFrame, bias: DataFrame, relu: bool = True, stride: int = 1, groups: bool = False) -> DataFrame:
     """(n, y, x, co, v) from data (n, y, x, ci, v) and weights (co, ky, kx, ci, v):
     v = bias + sum of weight * data at (x * stride + kx, y * stride + ky); ``groups``:
-    depthwise, co is ci.  Only outputs all of whose taps exist."""
+    depthwise, co is ci.  Only outputs all of whose taps exist.
+
+    Weights go to the data where they are few (counted first), so that no task gets all of
+    a channel; products are summed on the way to their output."""
     w = weights.select("co", "ky", "kx", "ci", F.col("v").alias("_w"))
-    j = data.join(w, "ci" if not groups else ["ci"])
+    j = data.join(_small(w), "ci")
     ox, oy = F.col("x") - F.col("kx"), F.col("y") - F.col("ky")
     j = j.where((F.pmod(ox, F.lit(stride)) == 0) & (F.pmod(oy, F.lit(stride)) == 0))
     need = weights.groupBy("co").agg(F.count("*").alias("_need"))
     s = j.groupBy("n", F.floor(oy / stride).cast("int").alias("y"), F.floor(ox / stride).cast("int").alias("x"), "co").agg(F.sum(F.col("v") * F.col("_w")).alias("_s"), F.count("*").alias("_n"))
-    s = s.join(need, "co").where("_n = _need").join(bias.select(F.col("c").alias("co"), F.col("v").alias("_b")), "co")
+    s = s.join(_small(need), "co").where("_n = _need").join(_small(bias.select(F.col("c").alias("co"), F.col("v").alias("_b"))), "co")
     v = F.col("_s") + F.col("_b")
     return s.select("n", "y", "x", "co", (F.greatest(v, F.lit(0)) if relu else v).alias("v"))
 
 
-def dft(x: DataFrame, inverse: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """Direct discrete Fourier transform of (keys..., i, re, im) along i, by one grouping:
-    (keys..., i, re, im).  For short axes; long ones are cut by the caller into two
-    shorter transforms with twiddles between."""
-    keys = keys or []
-    n = x.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else x.agg(F.count("*").alias("_n"))
-    j = x.join(n, keys) if keys else x.join(F.broadcast(n))  # one row
-    j = j.withColumn("f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    angle = (1 if inverse else -1) * 2 * F.pi() * F.pmod(F.col("i") * F.col("f"), F.col("_n")) / F.col("_n")
-    scale = F.col("_n") if inverse else F.lit(1)
-    re = F.sum((F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)) / scale)
-    im = F.sum((F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)) / scale)
-    return j.groupBy(*keys, F.col("f").cast("int").alias("i")).agg(re.alias("re"), im.alias("im"))
-
-
+def quantized_conv2d(data: DataFrame, weights: DataFrame, bias: DataFrame, zero_in: int, zero_w: int, multiplier: int, shift: int, zero_out: int, lo: int = 0, hi: int = 255, stride: int = 1, groups: bool = False) -> DataFrame:
+    """Convolution of 8-bit codes: (data - zero_in) * (weight - zero_w) summed exactly,
+    plus bias, rescaled by multiplier / 2^shift with rounding, plus ``zero_out``, clamped."""
+    shifted = [df.withColumn("v", F.col("v").cast("bigint") - z) for df, z in ((data, zero_in), (weights, zero_w))]
+    acc = conv2d(*shifted, bias, relu=False, stride=stride, groups=groups)
+    return acc.withColumn("v", requantize(F.col("v"), multiplier, shift, zero_out, lo, hi))
+
+
+def _factor(n: int) -> int:
+    """The greatest divisor of n up to its root."""
+    return next(k for k in range(int(n**0.5), 0, -1) if n % k == 0)
+
+
+def _turn(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
+    return re * F.cos(angle) - im * F.sin(angle), re * F.sin(angle) + im * F.cos(angle)
+
+
+def fft(x: DataFrame, n: int, keys: list[str], inverse: bool = False) -> DataFrame:
+    """Discrete Fourier transform of (keys..., i, re, im) along i, of n points that all
+    exist.  With n = a * b the points with equal i mod b are transformed (a of them, each
+    added to a sums), turned by their twiddle, and b sums of those are made; a and b that
+    are not prime are cut again.  The inverse is divided by n."""
+    sign = 1 if inverse else -1
+    out = _fft(x.select(*keys, F.col("i").cast("int").alias("i"), "re", "im"), n, keys, sign, 0)
+    return out.withColumns({"re": F.col("re") / n, "im": F.col("im") / n}) if inverse else out
+
+
+def _fft(x: DataFrame, n: int, keys: list[str], sign: int, depth: int) -> DataFrame:
+    a = _factor(n)
+    if a == 1 or n <= 16:
+        j = x.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        re, im = _turn(F.col("re"), F.col("im"), sign * 2 * F.pi() * F.pmod(F.col("i") * F.col("_f"), F.lit(n)) / n)
+        return j.groupBy(*keys, F.col("_f").alias("i")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    b = n // a
+    low = f"_r{depth}"
+    inner = x.select(*keys, F.pmod("i", F.lit(b)).alias(low), F.floor(F.col("i") / b).cast("int").alias("i"), "re", "im")
+    first = _fft(inner, a, [*keys, low], sign, depth + 1)  # keys, low, i: the first frequency
+    re, im = _turn(F.col("re"), F.col("im"), sign * 2 * F.pi() * (F.col(low) * F.col("i")) / n)
+    high = f"_h{depth}"
+    turned = first.select(*keys, F.col("i").alias(high), F.col(low).alias("i"), re.alias("re"), im.alias("im"))
+    second = _fft(turned, b, [*keys, high], sign, depth + 1)
+    return second.select(*keys, (F.col(high) + a * F.col("i")).cast("int").alias("i"), "re", "im")
+
+
+def fft2(x: DataFrame, w: int, h: int, inverse: bool = False) -> DataFrame:
+    """(x, y, re, im) to (x, y, re, im): rows, then columns."""
+    rows = fft(x.select("y", F.col("x").alias("i"), "re", "im"), w, ["y"], inverse)
+    cols = fft(rows.select(F.col("i").alias("x"), F.col("y").alias("i"), "re", "im"), h, ["x"], inverse)
+    return cols.select("x", F.col("i").alias("y"), "re", "im")
+
+
+def fft2_real(a: DataFrame, w: int, h: int) -> DataFrame:
+    """Spectrum of a real array (x, y, v): the columns 0 to w div 2, which hold it all."""
+    rows = fft(a.select("y", F.col("x").alias("i"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im")), w, ["y"])
+    half = rows.where(F.col("i") <= w // 2)
+    cols = fft(half.select(F.col("i").alias("x"), F.col("y").alias("i"), "re", "im"), h, ["x"])
+    return cols.select("x", F.col("i").alias("y"), "re", "im")
+
+
+def fft2_to_real(s: DataFrame, w: int, h: int) -> DataFrame:
+    """The real array (x, y, v) of a half spectrum: the other half is its conjugate, seen
+    from the opposite corner."""
+    cols = fft(s.select("x", F.col("y").alias("i"), "re", "im"), h, ["x"], inverse=True).select("x", F.col("i").alias("y"), "re", "im")
+    # after the columns each row is the spectrum of a real row
+    other = cols.where((F.col("x") > 0) & (F.col("x") * 2 < w)).select((F.lit(w) - F.col("x")).cast("int").alias("x"), "y", "re", (-F.col("im")).alias("im"))
+    rows = fft(cols.unionByName(other).select("y", F.col("x").alias("i"), "re", "im"), w, ["y"], inverse=True)
+    return rows.select(F.col("i").alias("x"), "y", F.col("re").alias("v"))

@@ -56,14 +56,20 @@ def quantized_mul(a: Column, b: Column, za: int, zb: int, m: int, shift: int, ze
 
 
 def pool(df: DataFrame, kind: str, size: int, stride: int, keys: list[str]) -> DataFrame:
-    """Max or average pooling of (keys, x, y, v): cells of a window meet by its index;
-    average rounds half up; windows cut by the edge use what they have."""
+    """Max or average pooling of (keys, x, y, v): see ``pools``."""
+    return pools(df, {"v": kind}, size, stride, keys)
+
+
+def pools(df: DataFrame, kinds: dict[str, str], size: int, stride: int, keys: list[str]) -> DataFrame:
+    """Poolings ("max", "min", "avg" or "sum") by result name, in one pass: cells of a
+    window meet by its index; averages round half up; windows cut by the edge use what
+    they have."""
     lo = lambda c: F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)).cast("int")
     hi = lambda c: F.floor(F.col(c) / stride).cast("int")
     d = df.select(*keys, "y", F.explode(F.sequence(lo("x"), hi("x"))).alias("px"), "v") if size > stride else df.where(lo("x") <= hi("x")).select(*keys, "y", hi("x").alias("px"), "v")
     d = d.select(*keys, "px", F.explode(F.sequence(lo("y"), hi("y"))).alias("py"), "v") if size > stride else d.where(lo("y") <= hi("y")).select(*keys, "px", hi("y").alias("py"), "v")
-    v = F.max("v") if kind == "max" else F.floor((F.sum("v") + F.floor(F.count("*") / 2)) / F.count("*")).cast("bigint")
-    return d.groupBy(*keys, F.col("px").alias("x"), F.col("py").alias("y")).agg(v.alias("v"))
+    by = {"max": F.max("v"), "min": F.min("v"), "sum": F.sum("v"), "avg": F.floor((F.sum("v") + F.floor(F.count("*") / 2)) / F.count("*")).cast("bigint")}
+    return d.groupBy(*keys, F.col("px").alias("x"), F.col("py").alias("y")).agg(*[by[k].alias(name) for name, k in kinds.items()])
 
 
 def softmax(df: DataFrame, keys: list[str], v: str = "v", log: bool = False, beta: float = 1.0) -> DataFrame:

@@ -163,5 +163,7 @@ def nl_means(a: ArrayTable, patch: int, search: int, sigma: float) -> ArrayTable
     spread = F.explode(F.array(*[F.struct((F.col(x) - i).cast("int").alias(x), (F.col(y) - j).cast("int").alias(y)) for i, j in square(patch)])).alias("_t")
     dist = diff.select(spread, "k", "d").select("_t.*", "k", "d").groupBy(x, y, "k").agg(F.sum("d").alias("d"))
     w = F.exp(-F.col("d") / (sigma * sigma * (2 * patch + 1) ** 2))
-    got = dist.join(moved, [x, y, "k"]).groupBy(x, y).agg((F.sum(w * F.col("u")) / F.sum(w)).alias("v"))
+    # a patch's distance reaches places around the image too: only those inside have neighbours of their own
+    inside = src.select(x, y).join(moved, [x, y])
+    got = dist.join(inside, [x, y, "k"]).groupBy(x, y).agg((F.sum(w * F.col("u")) / F.sum(w)).alias("v"))
     return a._with(got, values=("v",), types=(a.types[0],))

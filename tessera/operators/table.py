@@ -163,6 +163,42 @@ class ArrayTable:
         row = self.df.where(cond).select(*self.values).first()
         return row and (row[0] if len(row) == 1 else tuple(row))
 
+    def at_many(self, points: DataFrame) -> DataFrame:
+        """``points`` (dims) with the values there: element access without a driver."""
+        return points.join(self.df.select(*self.dims, *self.values), list(self.dims), "left")
+
+    def as_type(self, type: ElementType, rank: int) -> "ArrayTable":
+        """This table, if it has the element type and the rank; an error if not."""
+        if len(self.dims) != rank or any(t != type for t in self.types):
+            raise TypeError(f"{self.types} in {len(self.dims)} dimensions, not {type} in {rank}")
+        return self
+
+    def with_shape_of(self, other: "ArrayTable", value=0) -> "ArrayTable":
+        """An array over the region of another, filled with a value, with this one's types."""
+        df = domain(self.df.sparkSession, list(other.dims), other.region)
+        return ArrayTable(df.select("*", *[F.lit(value).cast(t.spark).alias(v) for v, t in zip(self.values, self.types)]), other.dims, self.values, self.types, other.region)
+
+    def interleaved(self, channel) -> "ArrayTable":
+        """The channel first: the order of dims in which it varies fastest."""
+        i = self._at(channel)
+        order = [i, *[k for k in range(len(self.dims)) if k != i]]
+        return self._with(self.df.select(*[self.dims[k] for k in order], *self.values), dims=tuple(self.dims[k] for k in order), region=None if self.region is None else tuple(self.region[k] for k in order))
+
+    def planar(self, channel) -> "ArrayTable":
+        """The channel last."""
+        i = self._at(channel)
+        order = [*[k for k in range(len(self.dims)) if k != i], i]
+        return self._with(self.df.select(*[self.dims[k] for k in order], *self.values), dims=tuple(self.dims[k] for k in order), region=None if self.region is None else tuple(self.region[k] for k in order))
+
+    def describe(self) -> DataFrame:
+        """A row a dimension: place, name, min, extent, and the stride of a dense layout in
+        which the first varies fastest."""
+        rows, step = [], 1
+        for i, (d, r) in enumerate(zip(self.dims, self.region)):
+            rows.append((i, d, r.min, r.extent, step))
+            step *= r.extent
+        return self.df.sparkSession.createDataFrame(rows, "place int, dim string, min int, extent int, stride long")
+
     def check_dense(self) -> bool:
         """Whether each point of the region has exactly one row."""
         n, distinct = self.df.agg(F.count("*"), F.count_distinct(*self.dims)).first()

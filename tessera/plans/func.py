@@ -634,7 +634,7 @@ class _Lowering:
                 got = associative(got, list(dims), {f"_a{k}": F.col(f"_e{k}").cast(f.values[k].type.spark) for k in kind[1]}, start, combine)
             else:
                 aggs = {"add": F.sum, "mul": F.product, "div": F.product, "max": F.max, "min": F.min, "and": F.bool_and, "or": F.bool_or, "bitand": F.bit_and, "bitor": F.bit_or, "bitxor": F.bit_xor}
-                got = got.groupBy(*dims).agg(*[aggs[kind[0][k]](_exact(F.col(f"_e{k}"), f.values[k].type)).alias(f"_a{k}") for k in kind[1]])
+                got = got.groupBy(*dims).agg(*[aggs[kind[0][k]](F.col(f"_e{k}").cast("bigint") if kind[0][k].startswith("bit") else _exact(F.col(f"_e{k}"), f.values[k].type)).alias(f"_a{k}") for k in kind[1]])
             table = table.join(got, list(dims), "left")
             put = {}
             for k in kind[1]:

@@ -84,6 +84,8 @@ def interval(e: Expr, env: dict[str, Range]) -> tuple[int, int]:
             if half:
                 return half[0][0], max(h.hi, half[0][1])
         raise Unbounded(tag)
+    if tag == "promise":
+        return interval(e.args[1], env)[0], interval(e.args[2], env)[1]
     if tag == "select":
         a, b = interval(e.args[1], env), interval(e.args[2], env)
         return min(a[0], b[0]), max(a[1], b[1])

@@ -15,6 +15,8 @@ IMG = "img AS (SELECT CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS
 PRICE = "price AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"
 PART = "parts AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS size FROM part)"
 EMB = "emb AS (SELECT vec_id AS i, d, CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, (SELECT CAST(range AS INT) AS d FROM range(64)) r)"
+#: Rows of the image; event ids run from 0 on without gaps.
+HEIGHT = "h AS (SELECT max(y) + 1 AS h FROM img)"
 QUERIES: dict[str, tuple] = {}
 
 
@@ -72,11 +74,45 @@ def reduce_product(spark, d):
     return grids.parts(spark, d).where("size < 20").groupBy(F.call_function("div", F.col("k"), F.lit(8).cast("bigint")).alias("g")).agg(reduce.product(F.col("size")).alias("p"))
 
 
-@query("reduce_empty", f"""WITH {IMG}, g AS (SELECT x, sum(v) AS s, max(v) AS hi FROM img WHERE v > 240 AND y < 3 GROUP BY x)
-SELECT CAST(r.range AS INT) AS x, CAST(coalesce(s, 0) AS BIGINT) AS s, coalesce(hi, -1) AS hi FROM range(100) r LEFT JOIN g ON g.x = r.range""")
+@query("reduce_empty", f"""WITH {IMG}, {HEIGHT}, g AS (SELECT y, sum(v) AS s, max(v) AS hi FROM img WHERE v > 241 GROUP BY y)
+SELECT CAST(r.y AS INT) AS y, CAST(coalesce(s, 0) AS BIGINT) AS s, coalesce(hi, -1) AS hi FROM (SELECT unnest(range(h)) AS y FROM h) r LEFT JOIN g ON g.y = r.y""")
 def reduce_empty(spark, d):
-    a = grids.image(spark, d).df.where("v > 240 and y < 3")
-    return reduce.grouped(a, ["x"], [F.sum("v").alias("s"), F.max("v").alias("hi")], domain(spark, ["x"], box(100)), {"s": 0, "hi": -1})
+    a = grids.image(spark, d, region=True)
+    return reduce.grouped(a.df.where("v > 241"), ["y"], [F.sum("v").alias("s"), F.max("v").alias("hi")], domain(spark, ["y"], (a.region[1],)), {"s": 0, "hi": -1})
+
+
+@query("product_wrap", f"""WITH RECURSIVE {IMG}, t AS (SELECT DISTINCT y, -1 AS x, 1::HUGEINT AS p FROM img UNION ALL
+SELECT t.y, i.x, (t.p * (2 * i.v + 3)) % 18446744073709551616 FROM t JOIN img i ON i.y = t.y AND i.x = t.x + 1)
+SELECT y, CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT) AS p FROM t WHERE x = 99""")
+def product_wrap(spark, d):
+    return reduce.product_by(grids.image(spark, d).df, ["y"], 2 * F.col("v") + 3, I64, "p")
+
+
+@query("complex_product", f"""WITH RECURSIVE {IMG}, t AS (SELECT DISTINCT y, -1 AS x, 1e0 AS re, 0e0 AS im FROM img UNION ALL
+SELECT t.y, i.x, t.re * cos(i.v / 50e0) - t.im * sin(i.v / 50e0), t.re * sin(i.v / 50e0) + t.im * cos(i.v / 50e0) FROM t JOIN img i ON i.y = t.y AND i.x = t.x + 1)
+SELECT y, round(re, 7) AS re, round(im, 7) AS im FROM t WHERE x = 99""")
+def complex_product(spark, d):
+    angle = F.col("v") / 50.0
+    got = reduce.complex_product_by(grids.image(spark, d).df, ["y"], F.cos(angle), F.sin(angle))
+    return got.select("y", F.round("re", 7).alias("re"), F.round("im", 7).alias("im"))
+
+
+@query("nan_extremes", f"""WITH {IMG}, f AS (SELECT y, CASE WHEN v > 240 AND y % 3 = 0 THEN 'nan'::DOUBLE ELSE v::DOUBLE END AS f FROM img)
+SELECT y, CASE WHEN bool_or(isnan(f)) THEN NULL ELSE max(f) END AS hi, CASE WHEN bool_or(isnan(f)) THEN NULL ELSE min(f) END AS lo, max(f) FILTER (NOT isnan(f)) AS top FROM f GROUP BY y""")
+def nan_extremes(spark, d):
+    f = F.when((F.col("v") > 240) & (F.col("y") % 3 == 0), F.lit(float("nan"))).otherwise(F.col("v").cast("double"))
+    got = grids.image(spark, d).df.select("y", f.alias("f")).groupBy("y")
+    cols = {"hi": reduce.maximum_nan(F.col("f")), "lo": reduce.minimum_nan(F.col("f")), "top": reduce.maximum_number(F.col("f"))}
+    return got.agg(*[c.alias(k) for k, c in cols.items()]).select("y", *[F.when(~F.isnan(k), F.col(k)).alias(k) for k in cols])
+
+
+@query("saturating_steps", f"""WITH RECURSIVE {IMG}, t AS (SELECT DISTINCT y, -1 AS x, 0 AS s FROM img UNION ALL
+SELECT t.y, i.x, greatest(least(t.s + i.v - 120, 127), -128) FROM t JOIN img i ON i.y = t.y AND i.x = t.x + 1) SELECT y, CAST(s AS BIGINT) AS s FROM t WHERE x = 99""")
+def saturating_steps(spark, d):
+    from ..functions.types import I8
+
+    got = grids.image(spark, d).df.groupBy("y").agg(reduce.saturating_fold(F.col("v") - 120, F.col("x"), I8).alias("s"))
+    return got.select("y", F.col("s").cast("bigint").alias("s"))
 
 
 @query("argmax_first", f"""WITH {EMB}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, d) AS a, row_number() OVER (PARTITION BY i ORDER BY v, d) AS b FROM emb)
@@ -121,8 +157,7 @@ def reverse_scan(spark, d):
 WINDOW w AS (ORDER BY k RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
 def moving_sum_max(spark, d):
     a = ArrayTable(grids.price(spark, d), ("k",), ("cents",), (I64,))
-    s = reduce.moving(a, "k", 3, 3).df.withColumnRenamed("cents", "s")
-    return s.join(reduce.moving(a, "k", 3, 3, F.max).df.withColumnRenamed("cents", "m"), "k")
+    return reduce.moving(a, "k", 3, 3, {"s": F.sum, "m": F.max}).df
 
 
 @query("stream_compaction", f"WITH {PART} SELECT k, size, row_number() OVER (ORDER BY k) - 1 AS slot FROM parts WHERE size % 7 = 0 OR size % 5 = 0")
@@ -150,6 +185,24 @@ def iir_fold(spark, d):
     return reduce.fold(a.df, ["y"], "x", F.col("v"), F.lit(-1).cast("bigint"), step)
 
 
+@query("iir_two_way", f"""WITH RECURSIVE {IMG}, f AS (SELECT y, -1 AS x, 0e0 AS b FROM (SELECT DISTINCT y FROM img) UNION ALL
+SELECT f.y, i.x, 0.5e0 * f.b + 0.5e0 * i.v FROM f JOIN img i ON i.y = f.y AND i.x = f.x + 1),
+g AS (SELECT y, 100 AS x, 0e0 AS b FROM (SELECT DISTINCT y FROM img) UNION ALL
+SELECT g.y, f.x, 0.5e0 * g.b + 0.5e0 * f.b FROM g JOIN f ON f.y = g.y AND f.x = g.x - 1 AND f.x >= 0)
+SELECT x, y, round(b, 6) AS v FROM g WHERE x < 100""")
+def iir_two_way(spark, d):
+    half = F.lit(0.5)
+    there = reduce.affine_scan(grids.image(spark, d).df, ["y"], "x", F.col("v") * 0.5, half, block=32)
+    back = reduce.affine_scan(there, ["y"], "x", F.col("v") * 0.5, half, block=32, reverse=True)
+    return back.select("x", "y", F.round("v", 6).alias("v"))
+
+
+@query("iir_columns", f"""WITH RECURSIVE {IMG}, f AS (SELECT x, -1 AS y, 0e0 AS b FROM range(100) t(x) UNION ALL
+SELECT f.x, i.y, 0.75e0 * f.b + 0.25e0 * i.v FROM f JOIN img i ON i.x = f.x AND i.y = f.y + 1) SELECT CAST(x AS INT) AS x, y, round(b, 6) AS v FROM f WHERE y >= 0""")
+def iir_columns(spark, d):
+    return reduce.affine_scan(grids.image(spark, d).df, ["x"], "y", F.col("v") * 0.25, F.lit(0.75), block=64).select("x", "y", F.round("v", 6).alias("v"))
+
+
 @query("fibonacci", "WITH RECURSIVE f AS (SELECT 0 AS x, CAST(1 AS BIGINT) AS v, CAST(1 AS BIGINT) AS w UNION ALL SELECT x + 1, w, v + w FROM f WHERE x < 39) SELECT x, v FROM f")
 def fibonacci(spark, d):
     return spark.sql("WITH RECURSIVE f(x, v, w) AS (SELECT 0, CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT x + 1, w, v + w FROM f WHERE x < 39) SELECT x, v FROM f")
@@ -161,20 +214,25 @@ def extern_sort(spark, d):
 
 
 def _boundary(name: str, kx: str, ky: str, f, sql: str | None = None):
-    """Over the lower left 20x20 corner of the image, seen from 12 cells around it."""
-    QUERIES[name] = (
-        lambda spark, d: f(ArrayTable(grids.image(spark, d).df.where("x < 20 and y < 20"), ("x", "y"), ("v",), (I64,), box(20, 20)), [(-12, 44), (-12, 44)]).df,
-        sql or f"""WITH {IMG}, p AS (SELECT CAST(a.range - 12 AS INT) AS x, CAST(b.range - 12 AS INT) AS y FROM range(44) a CROSS JOIN range(44) b)
-SELECT p.x, p.y, i.v FROM p JOIN img i ON i.x = {kx} AND i.y = {ky}""",
-    )
+    """The whole image, seen from 12 cells around it."""
+
+    def run(spark, d):
+        a = grids.image(spark, d, region=True)
+        return f(a, [(-12, r.extent + 24) for r in a.region]).df
+
+    QUERIES[name] = (run, f"""WITH {IMG}, {HEIGHT}, p AS (SELECT CAST(a.range - 12 AS INT) AS x, CAST(b.y - 12 AS INT) AS y, h.h FROM range(124) a CROSS JOIN (SELECT unnest(range(h + 24)) AS y FROM h) b CROSS JOIN h) """ + (sql or f"SELECT p.x, p.y, i.v FROM p JOIN img i ON i.x = {kx} AND i.y = {ky}"))
 
 
-_boundary("bc_repeat_edge", "greatest(least(p.x, 19), 0)", "greatest(least(p.y, 19), 0)", boundary.repeat_edge)
-_boundary("bc_repeat_image", "((p.x % 20) + 20) % 20", "((p.y % 20) + 20) % 20", boundary.repeat_image)
-_boundary("bc_mirror_image", *[f"(CASE WHEN (p.{c} + 80) % 40 >= 20 THEN 39 - (p.{c} + 80) % 40 ELSE (p.{c} + 80) % 40 END)" for c in "xy"], boundary.mirror_image)
-_boundary("bc_mirror_interior", *[f"(19 - abs((p.{c} + 76) % 38 - 19))" for c in "xy"], boundary.mirror_interior)
-_boundary("bc_constant_exterior", "", "", lambda a, r: boundary.constant_exterior(a, -5, r), f"""WITH {IMG}, p AS (SELECT CAST(a.range - 12 AS INT) AS x, CAST(b.range - 12 AS INT) AS y FROM range(44) a CROSS JOIN range(44) b)
-SELECT p.x, p.y, coalesce(i.v, -5) AS v FROM p LEFT JOIN (SELECT * FROM img WHERE x < 20 AND y < 20) i ON i.x = p.x AND i.y = p.y""")
+def _mirror(c: str, n: str) -> str:
+    m = f"(({c} + 20 * {n}) % (2 * {n}))"
+    return f"CASE WHEN {m} >= {n} THEN 2 * {n} - 1 - {m} ELSE {m} END"
+
+
+_boundary("bc_repeat_edge", "greatest(least(p.x, 99), 0)", "greatest(least(p.y, h - 1), 0)", boundary.repeat_edge)
+_boundary("bc_repeat_image", "(p.x + 100) % 100", "(p.y + 20 * h) % h", boundary.repeat_image)
+_boundary("bc_mirror_image", _mirror("p.x", "100"), _mirror("p.y", "h"), boundary.mirror_image)
+_boundary("bc_mirror_interior", "99 - abs((p.x + 1980) % 198 - 99)", "h - 1 - abs((p.y + 40 * (h - 1)) % (2 * (h - 1)) - (h - 1))", boundary.mirror_interior)
+_boundary("bc_constant_exterior", "", "", lambda a, r: boundary.constant_exterior(a, -5, r), "SELECT p.x, p.y, coalesce(i.v, -5) AS v FROM p LEFT JOIN img i ON i.x = p.x AND i.y = p.y")
 
 
 def _near(offsets, expr: str, dims: str = "x, y") -> str:
@@ -277,7 +335,7 @@ _EASY = {
     "slice": (lambda a: a.slice("y", 4), "SELECT x, v FROM img WHERE y = 4"),
     "embed": (lambda a: a.embed("c", 2, 3), "SELECT x, y, 3 AS c, v FROM img"),
     "deinterleave": (lambda a: a.deinterleave("x"), "SELECT CAST(x // 2 AS INT) AS x, y, CAST(x % 2 AS INT) AS c, v FROM img"),
-    "interleave": (lambda a: a.crop("y", 0, 2).interleave(a.crop("y", 0, 2).map(v=F.col("v") + 1), "x"), "SELECT 2 * x + c.range::INT AS x, y, v + c.range AS v FROM img CROSS JOIN range(2) c WHERE y < 2"),
+    "interleave": (lambda a: a.interleave(a.map(v=F.col("v") + 1), "x"), "SELECT 2 * x + c.range::INT AS x, y, v + c.range AS v FROM img CROSS JOIN range(2) c"),
     "fill": (lambda a: a.fill(9), "SELECT x, y, CAST(9 AS BIGINT) AS v FROM img"),
     "copy_from": (lambda a: a.copy_from(a.crop("x", 0, 30).map(v=F.col("v") * 2)), "SELECT x, y, CASE WHEN x < 30 THEN 2 * v ELSE v END AS v FROM img"),
     "for_each_value": (lambda a: a.for_each_value(lambda p, q: p * q, a), "SELECT x, y, v * v AS v FROM img"),
@@ -293,71 +351,106 @@ def concat(spark, d):
     return a.concat(a.map(v=F.col("v") + 1), "x").df
 
 
-def _block(spark, d, top: int, names: tuple[str, str]):
-    return grids.image(spark, d).df.where((F.col("y") >= top) & (F.col("y") < top + 10) & (F.col("x") < 10)).select((F.col("y") - top).cast("int").alias(names[0]), F.col("x").alias(names[1]), "v")
+def _matrix(spark, d, names: tuple[str, str]):
+    """The whole image as a matrix, a row a line."""
+    return grids.image(spark, d).df.select(F.col("y").alias(names[0]), F.col("x").alias(names[1]), "v")
+
 
+def _square(spark, names: tuple[str, str]):
+    """A matrix of 100 x 100 small numbers."""
+    return domain(spark, list(names), box(100, 100)).withColumn("v", (F.pmod(F.col(names[0]) * 7 + F.col(names[1]) * 3, F.lit(11)) - 5).cast("bigint"))
 
-_AB = f"{IMG}, a AS (SELECT y AS i, x AS k, v FROM img WHERE y < 10 AND x < 10), b AS (SELECT y AS k, x AS j, v FROM img WHERE y < 10 AND x < 10)"
+
+_AB = f"{IMG}, a AS (SELECT y AS i, x AS k, v FROM img), b AS (SELECT k.range AS k, CAST(j.range AS INT) AS j, (k.range * 7 + j.range * 3) % 11 - 5 AS v FROM range(100) k, range(100) j)"
 
 
 @query("matmul_int", f"WITH {_AB} SELECT i, j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY i, j")
 def matmul_int(spark, d):
-    return contract.matmul(_block(spark, d, 0, ("i", "k")), _block(spark, d, 0, ("k", "j")))
+    return contract.matmul(_matrix(spark, d, ("i", "k")), _square(spark, ("k", "j")))
 
 
 @query("matmul_blocked", f"WITH {_AB} SELECT i, j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY i, j")
 def matmul_blocked(spark, d):
-    return contract.matmul(_block(spark, d, 0, ("i", "k")), _block(spark, d, 0, ("k", "j")), block=4)
+    return contract.matmul(_matrix(spark, d, ("i", "k")), _square(spark, ("k", "j")), block=25)
 
 
-@query("gemm", f"WITH {_AB} SELECT i, j, CAST(2 * sum(a.v * b.v) + 3 * max(c.v) AS BIGINT) AS v FROM (SELECT k AS i, i AS k, v FROM a) a JOIN b USING (k) JOIN (SELECT y AS i, x AS j, v FROM img WHERE x < 10 AND y < 10) c USING (i, j) GROUP BY i, j")
+@query("gemm", f"WITH {_AB} SELECT i, j, CAST(2 * sum(a.v * b.v) + 3 * max(c.v) AS BIGINT) AS v FROM a JOIN b USING (k) JOIN (SELECT y AS i, x AS j, v FROM img) c USING (i, j) GROUP BY i, j")
 def gemm(spark, d):
-    return contract.gemm(_block(spark, d, 0, ("i", "k")), _block(spark, d, 0, ("k", "j")), _block(spark, d, 0, ("i", "j")), 2, 3, trans_a=True)
+    b = contract.transposed(_square(spark, ("k", "j")), "k", "j")
+    return contract.gemm(_matrix(spark, d, ("i", "k")), b, _matrix(spark, d, ("i", "j")), 2, 3, trans_b=True)
+
 
+@query("gemm_trans_a", f"WITH {IMG}, a AS (SELECT y AS i, x AS j, v FROM img) SELECT CAST(p.j AS INT) AS i, CAST(q.j AS INT) AS j, CAST(2 * sum(p.v * q.v) + 3 * max((p.j * 7 + q.j * 3) % 11 - 5) AS BIGINT) AS v FROM a p JOIN a q USING (i) GROUP BY p.j, q.j")
+def gemm_trans_a(spark, d):
+    return contract.gemm(_matrix(spark, d, ("i", "k")), _matrix(spark, d, ("k", "j")), _square(spark, ("i", "j")), 2, 3, trans_a=True)
 
-def _vec(spark, d, y: int):
-    return grids.image(spark, d).df.where((F.col("y") == y) & (F.col("x") < 10)).select(F.col("x").alias("i"), "v")
 
+_V = f"{_AB}, p AS (SELECT CAST(range AS INT) AS i, range * 5 % 17 - 8 AS v FROM range(100)), q AS (SELECT y AS i, v FROM img WHERE x = 6)"
 
-_V = f"{_AB}, p AS (SELECT x AS i, v FROM img WHERE y = 5 AND x < 10), q AS (SELECT x AS i, v FROM img WHERE y = 6 AND x < 10)"
+
+def _vec(spark):
+    return spark.range(100).select(F.col("id").cast("int").alias("i"), (F.col("id") * 5 % 17 - 8).alias("v"))
+
+
+def _column(spark, d):
+    """A column of the image: as long as the image is high."""
+    return grids.image(spark, d).slice("x", 6).df.select(F.col("y").alias("i"), "v")
 
 
 @query("gemv", f"WITH {_V} SELECT q.i, CAST(2 * sum(a.v * p.v) + max(q.v) AS BIGINT) AS v FROM q JOIN a ON a.i = q.i JOIN p ON p.i = a.k GROUP BY q.i")
 def gemv(spark, d):
-    return contract.gemv(_block(spark, d, 0, ("i", "k")), _vec(spark, d, 5), _vec(spark, d, 6), 2, 1)
+    return contract.gemv(_matrix(spark, d, ("i", "k")), _vec(spark), _column(spark, d), 2, 1)
 
 
-@query("ger", f"WITH {_V} SELECT a.i, a.k AS j, a.v + 3 * p.v * q.v AS v FROM a JOIN p ON p.i = a.i JOIN q ON q.i = a.k")
+@query("ger", f"WITH {_V} SELECT a.i, a.k AS j, a.v + 3 * q.v * p.v AS v FROM a JOIN q ON q.i = a.i JOIN p ON p.i = a.k")
 def ger(spark, d):
-    return contract.ger(_block(spark, d, 0, ("i", "j")), _vec(spark, d, 5), _vec(spark, d, 6), 3)
+    return contract.ger(_matrix(spark, d, ("i", "j")), _column(spark, d), _vec(spark), 3)
 
 
-@query("blas_level1", f"WITH {_V} SELECT CAST(sum(p.v * q.v) AS BIGINT) AS dot, CAST(sum(abs(p.v)) AS BIGINT) AS asum, CAST(sum(4 * p.v + q.v) AS BIGINT) AS axpy, CAST(sum(7 * p.v) AS BIGINT) AS scal FROM p JOIN q USING (i)")
+@query("blas_level1", f"WITH {IMG}, p AS (SELECT y * 100 + x AS i, v FROM img), q AS (SELECT i, v * 3 % 256 AS v FROM p) SELECT CAST(sum(p.v * q.v) AS BIGINT) AS dot, CAST(sum(abs(p.v)) AS BIGINT) AS asum, CAST(sum(4 * p.v + q.v) AS BIGINT) AS axpy, CAST(sum(7 * p.v) AS BIGINT) AS scal FROM p JOIN q USING (i)")
 def blas_level1(spark, d):
-    p, q = _vec(spark, d, 5), _vec(spark, d, 6)
+    p = grids.image(spark, d).df.select((F.col("y") * 100 + F.col("x")).alias("i"), "v")
+    q = p.withColumn("v", F.pmod(F.col("v") * 3, F.lit(256)))
     out = contract.dot(p, q).select(F.col("v").alias("dot"))
     for name, df in (("asum", contract.asum(p)), ("axpy", contract.axpy(p, q, 4).agg(F.sum("v").alias("v"))), ("scal", contract.scal(p, 7).agg(F.sum("v").alias("v")))):
         out = out.join(F.broadcast(df.select(F.col("v").alias(name))))  # one row each
     return out
 
 
-@query("conv_layer", f"""WITH {IMG}, dt AS (SELECT 0 AS n, y, x // 4 AS x, x % 4 AS ci, v FROM img WHERE y < 8 AND x < 32), w AS (SELECT co.range AS co, ky.range AS ky, kx.range AS kx, ci.range AS ci, (co.range + 2 * ky.range - kx.range + ci.range) % 5 - 2 AS w FROM range(3) co, range(3) ky, range(3) kx, range(4) ci)
+@query("conv_layer", f"""WITH {IMG}, dt AS (SELECT 0 AS n, y, x // 4 AS x, x % 4 AS ci, v FROM img), w AS (SELECT co.range AS co, ky.range AS ky, kx.range AS kx, ci.range AS ci, (co.range + 2 * ky.range - kx.range + ci.range) % 5 - 2 AS w FROM range(3) co, range(3) ky, range(3) kx, range(4) ci)
 SELECT CAST(n AS INT) AS n, CAST(dt.y - w.ky AS INT) AS y, CAST(dt.x - w.kx AS INT) AS x, CAST(co AS INT) AS co, CAST(greatest(0, sum(v * w) + 10 * co) AS BIGINT) AS v FROM dt JOIN w USING (ci) GROUP BY 1, 2, 3, co HAVING count(*) = 36""")
 def conv_layer(spark, d):
-    data = grids.image(spark, d).df.where("y < 8 and x < 32").select(F.lit(0).alias("n"), "y", F.floor(F.col("x") / 4).cast("int").alias("x"), F.pmod("x", F.lit(4)).alias("ci"), "v")
+    data = grids.image(spark, d).df.select(F.lit(0).alias("n"), "y", F.floor(F.col("x") / 4).cast("int").alias("x"), F.pmod("x", F.lit(4)).alias("ci"), "v")
     w = domain(spark, ["co", "ky", "kx", "ci"], box(3, 3, 3, 4)).withColumn("v", (F.col("co") + 2 * F.col("ky") - F.col("kx") + F.col("ci")) % 5 - 2)
     bias = spark.range(3).select(F.col("id").cast("int").alias("c"), (F.col("id") * 10).alias("v"))
     return contract.conv2d(data, w, bias)
 
 
-@query("dft_rows", None)
+@query("dft_rows", f"WITH {IMG} SELECT y, x, CAST(v AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM img")
 def dft_rows(spark, d):
-    rows = grids.image(spark, d).df.where("x < 16").select("y", F.col("x").alias("i"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    back = contract.dft(contract.dft(rows, keys=["y"]), inverse=True, keys=["y"])
+    rows = grids.image(spark, d).df.select("y", F.col("x").alias("i"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    back = contract.fft(contract.fft(rows, 100, ["y"]), 100, ["y"], inverse=True)
     return back.select("y", F.col("i").alias("x"), F.round("re", 4).alias("re"), F.round(F.abs("im"), 4).alias("im"))
 
 
-QUERIES["dft_rows"] = (dft_rows, f"WITH {IMG} SELECT y, x, CAST(v AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM img WHERE x < 16")
+_DFT = f"""{IMG}, {HEIGHT}, r AS (SELECT y, CAST(f.range AS INT) AS fx, sum(v * cos(-2 * pi() * ((x * f.range) % 100) / 100)) AS re, sum(v * sin(-2 * pi() * ((x * f.range) % 100) / 100)) AS im FROM img, range(51) f GROUP BY 1, 2),
+g AS (SELECT CAST(unnest(range(h)) AS INT) AS fy, h FROM h),
+c AS (SELECT fx, fy, sum(re * cos(-2 * pi() * ((y * fy) % h) / h) - im * sin(-2 * pi() * ((y * fy) % h) / h)) AS re, sum(re * sin(-2 * pi() * ((y * fy) % h) / h) + im * cos(-2 * pi() * ((y * fy) % h) / h)) AS im FROM r, g GROUP BY 1, 2)"""
+
+
+@query("fft2_real", f"WITH {_DFT} SELECT fx AS x, fy AS y, round(re, 3) + 0 AS re, round(im, 3) + 0 AS im FROM c")
+def fft2_real(spark, d):
+    a = grids.image(spark, d, region=True)
+    out = contract.fft2_real(a.df, a.region[0].extent, a.region[1].extent)
+    return out.select("x", "y", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@query("fft2_round_trip", f"WITH {IMG} SELECT x, y, v::DOUBLE AS v FROM img")
+def fft2_round_trip(spark, d):
+    a = grids.image(spark, d, region=True)
+    w, h = a.region[0].extent, a.region[1].extent
+    return contract.fft2_to_real(contract.fft2_real(a.df, w, h), w, h).select("x", "y", F.round("v", 4).alias("v"))
+
 
 for _rule, (_t, _l) in {"over": ("255", "(255 - a)"), "atop": ("b", "(255 - a)"), "xor": ("(255 - b)", "(255 - a)"), "in": ("b", "0"), "out": ("(255 - b)", "0")}.items():
 
@@ -387,9 +480,7 @@ QUERIES["game_of_life"] = (game_of_life, _life_sql())
 
 @query("pool_max_avg", f"WITH {IMG} SELECT CAST(x // 3 AS INT) AS x, CAST(y // 3 AS INT) AS y, max(v) AS m, CAST((sum(v) + count(*) // 2) // count(*) AS BIGINT) AS a FROM img GROUP BY 1, 2")
 def pool_max_avg(spark, d):
-    df = grids.image(spark, d).df
-    m = pixels.pool(df, "max", 3, 3, []).withColumnRenamed("v", "m")
-    return m.join(pixels.pool(df, "avg", 3, 3, []).withColumnRenamed("v", "a"), ["x", "y"])
+    return pixels.pools(grids.image(spark, d).df, {"m": "max", "a": "avg"}, 3, 3, [])
 
 
 @query("softmax_l2", f"WITH {EMB}, m AS (SELECT i, max(v) AS m, sqrt(sum(v * v)) AS l FROM emb GROUP BY i), s AS (SELECT emb.i, sum(exp(v - m.m)) AS s FROM emb JOIN m USING (i) GROUP BY 1) SELECT i, d, round(exp(v - m.m) / s.s, 8) AS p, round(v / l, 8) AS u FROM emb JOIN m USING (i) JOIN s USING (i)")
@@ -405,10 +496,11 @@ def tensor_reductions(spark, d):
     return grids.embedding(spark, d).df.groupBy("i").agg(*[F.round(r[op](v), 6).alias(k) for k, op in names.items()])
 
 
-@query("tensor_shapes", f"WITH {EMB} SELECT CAST(d // 8 AS INT) AS a, CAST(d % 8 AS INT) AS b, round(v, 6) AS v FROM emb WHERE i = 3")
+@query("tensor_shapes", f"WITH {EMB} SELECT CAST(i AS INT) AS i, CAST(d // 8 AS INT) AS a, CAST(d % 8 AS INT) AS b, round(v, 6) AS v FROM emb")
 def tensor_shapes(spark, d):
-    e = grids.embedding(spark, d).df.where("i = 3").select("d", "v")
-    return pixels.reshape(e, [("d", 64)], [("a", 8), ("b", 8)]).withColumn("v", F.round("v", 6))
+    e = grids.embedding(spark, d).df
+    n = e.agg(F.max("i")).first()[0] + 1
+    return pixels.reshape(e, [("i", n), ("d", 64)], [("i", n), ("a", 8), ("b", 8)]).withColumn("v", F.round("v", 6))
 
 
 @query("activations", f"WITH {EMB} SELECT i, d, round(greatest(v, 0), 8) AS relu, round(1 / (1 + exp(-v)), 8) AS sigmoid, round(CASE WHEN v < 0 THEN exp(v) - 1 ELSE v END, 8) AS elu, round(CASE WHEN v < 0 THEN 0.01 * v ELSE v END, 8) AS leaky, round(greatest(least(v, 0.5), -0.5), 8) AS clip FROM emb")
@@ -425,6 +517,12 @@ def event_windows(spark, d):
     return events.windowed_histogram(grids.read(spark, d, "events"))
 
 
-@query("nl_means", None)
+_NL = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]
+
+
+@query("nl_means", f"""WITH {IMG}, o(k, i, j) AS (VALUES {', '.join(f'({k}, {i}, {j})' for k, (i, j) in enumerate(_NL))}),
+m AS (SELECT a.x, a.y, o.k, b.v::DOUBLE AS u, (a.v - b.v) * (a.v - b.v)::DOUBLE AS d FROM img a, o, img b WHERE b.x = a.x + o.i AND b.y = a.y + o.j),
+s AS (SELECT m.x - o.i AS x, m.y - o.j AS y, m.k, sum(m.d) AS d FROM m, o GROUP BY 1, 2, 3)
+SELECT m.x, m.y, round(sum(exp(-s.d / 8100e0) * m.u) / sum(exp(-s.d / 8100e0)), 5) AS v FROM m JOIN s ON s.x = m.x AND s.y = m.y AND s.k = m.k GROUP BY 1, 2""")
 def nl_means(spark, d):
-    return stencil.nl_means(grids.image(spark, d), 1, 1, 30.0).df
+    return stencil.nl_means(grids.image(spark, d), 1, 1, 30.0).df.select("x", "y", F.round("v", 5).alias("v"))

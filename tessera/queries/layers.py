@@ -54,7 +54,7 @@ def _weights(gates: int) -> tuple[list[list[float]], list[list[float]], list[flo
 
 
 def _layer_sql(kind: str) -> str:
-    """One step after another along the first 12 points of each row of the image."""
+    """One step after another along each row of the image."""
     w, r, b = _weights(len(recurrent.GATES[kind]))
     at = {g: 2 * i for i, g in enumerate(recurrent.GATES[kind])}
 
@@ -75,13 +75,13 @@ def _layer_sql(kind: str) -> str:
         c = [f"({sigmoid(pre('f', j))} * t.c{j} + {sigmoid(pre('i', j))} * tanh({pre('c', j)}))" for j in (0, 1)]
         h = [f"{sigmoid(pre('o', j))} * tanh({c[j]})" for j in (0, 1)]
     return f"""WITH RECURSIVE {IMG}, t AS (SELECT DISTINCT y, -1 AS x, 0e0 AS h0, 0e0 AS h1, 0e0 AS c0, 0e0 AS c1 FROM img UNION ALL
-SELECT t.y, i.x, {h[0]}, {h[1]}, {c[0]}, {c[1]} FROM t JOIN img i ON i.y = t.y AND i.x = t.x + 1 WHERE i.x < 12)
+SELECT t.y, i.x, {h[0]}, {h[1]}, {c[0]}, {c[1]} FROM t JOIN img i ON i.y = t.y AND i.x = t.x + 1)
 SELECT y, x, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM t WHERE x >= 0"""
 
 
 def _layer(kind: str):
     def run(spark, d):
-        series = grids.image(spark, d).df.where("x < 12").select("y", "x", F.array(F.col("v") / 256.0).alias("v"))
+        series = grids.image(spark, d).df.select("y", "x", F.array(F.col("v") / 256.0).alias("v"))
         found = recurrent.recurrent(series, ["y"], "x", kind, *_weights(len(recurrent.GATES[kind])), x="v")
         return found.select("y", "x", *[F.round(F.col("h")[j], 6).alias(f"h{j}") for j in (0, 1)])
 

@@ -92,10 +92,11 @@ def depth_space(spark, d):
     return pixels.depth_to_space(pixels.space_to_depth(grids.image(spark, d).df.withColumn("c", F.lit(0)), 2, 1), 2, 1)
 
 
-@query("tensor_index", f"WITH {EMB} SELECT CAST(g.range AS BIGINT) AS i, d, round(v, 6) AS v FROM range(5) g JOIN emb ON emb.i = (g.range * 3) % 7")
+@query("tensor_index", f"WITH {EMB}, n AS (SELECT max(i) + 1 AS n FROM emb), g AS (SELECT unnest(range(n)) AS g, n FROM n) SELECT CAST(g AS BIGINT) AS i, d, round(v, 6) AS v FROM g JOIN emb ON emb.i = (g * 3) % n")
 def tensor_index(spark, d):
     e = grids.embedding(spark, d).df
-    index = spark.range(5).select(F.col("id").alias("i"), F.pmod(F.col("id") * 3, F.lit(7)).alias("v"))
+    n = e.agg(F.max("i")).first()[0] + 1
+    index = spark.range(n).select(F.col("id").alias("i"), F.pmod(F.col("id") * 3, F.lit(n)).alias("v"))
     return pixels.gather(e, index, "i").select("i", "d", F.round("v", 6).alias("v"))
 
 

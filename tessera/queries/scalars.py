@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.types import F32, F64, I32, U8, U16, U32
+from ..functions.types import F32, F64, I8, I16, I32, U8, U16, U32
 from ..sources import grids
 
 QUERIES: dict[str, tuple] = {}
@@ -127,12 +127,76 @@ _put(
 )
 
 
+_put(
+    "comparisons",
+    {"le": A <= B, "gt": A > B, "ge": A >= B, "ne": A != B, "eq": A == B, "no": E.logical_not(A < B), "inv": ~(A < 0), "neg": -A, "negu": -U, "both": E.logical_and(A <= 3, B != 0, A > -9)},
+    {"le": "a <= b", "gt": "a > b", "ge": "a >= b", "ne": "a <> b", "eq": "a = b", "no": "NOT a < b", "inv": "NOT a < 0", "neg": _big("-a"), "negu": _big("(256 - u) % 256"), "both": "a <= 3 AND b <> 0 AND a > -9"},
+)
+
+
+def _in_place() -> dict:
+    """The left side's type stays, whatever the right side's is."""
+    plus, minus, times, over = U, U, U, U
+    plus += A
+    minus -= A
+    times *= A
+    over /= W | 1
+    return {"plus": plus, "minus": minus, "times": times, "over": over}
+
+
+_put("in_place_operators", _in_place(), {"plus": _big("((u + a) % 256 + 256) % 256"), "minus": _big("((u - a) % 256 + 256) % 256"), "times": _big("(u * ((a + 256) % 256)) % 256"), "over": _big("u // (w | 1)")})
+_T0, _T1 = E.select(A < 0, (A, U), (B, W)), E.select((A < 0, A > 5), (A, U), (B, W))
+_M0, _M1 = E.mux(B, [(A, U), (A + 1, W), (B, U)])
+_put(
+    "tuple_selects",
+    {"s0": _T0[0], "s1": _T0[1], "c0": _T1[0], "c1": _T1[1], "m0": _M0, "m1": _M1},
+    {"s0": _big("CASE WHEN a < 0 THEN a ELSE b END"), "s1": _big("CASE WHEN a < 0 THEN u ELSE w END"), "c0": _big("CASE WHEN a < 0 THEN a ELSE b END"), "c1": _big("CASE WHEN a > 5 THEN u ELSE w END"), "m0": _big("CASE b WHEN 0 THEN a WHEN 1 THEN a + 1 ELSE b END"), "m1": _big("CASE b WHEN 0 THEN u WHEN 1 THEN w ELSE u END")},
+)
+_U16, _I8 = E.u16(U), E.i8(A)
+_put(
+    "widening_ops",
+    {
+        "ra": E.widen_right_add(_U16, W), "rs": E.widen_right_sub(_U16, W), "rm": E.widen_right_mul(_U16, W), "wl": E.widening_shift_left(U, 3), "wr": E.widening_shift_right(U, 2),
+        "rei": E.reinterpret(I8, U), "reu": E.reinterpret(U32, A), "ll": E.lossless_cast(I16, U), "lm": E.lossless_cast(U8, A & 127), "fd": E.fast_integer_divide(U, W | 1), "fm": E.fast_integer_modulo(U, W | 1),
+    },
+    {
+        "ra": _big("u + w"), "rs": _big("(u - w + 65536) % 65536"), "rm": _big("u * w"), "wl": _big("u * 8"), "wr": _big("u // 4"), "rei": _big("(u + 128) % 256 - 128"), "reu": _big("(a + 4294967296) % 4294967296"),
+        "ll": _big("u"), "lm": _big("((a % 128) + 128) % 128"), "fd": _big("u // (w | 1)"), "fm": _big("u % (w | 1)"),
+    },
+)
+_ERF = "(sign({x}) * (1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x}))))"
+_put(
+    "fast_math",
+    {
+        "fma": E.fma(_Y, E.cast(F64, B), _Y + 1.0), "erf": E.erf(_Y), "fs": E.fast_sin(_Y), "fc": E.fast_cos(_Y), "fe": E.fast_exp(_Y), "fl": E.fast_log(E.abs_(_Y) + 1.0), "fp": E.fast_pow(E.abs_(_Y) + 1.0, E.const(0.5, F64)),
+        "fi": E.fast_inverse(_Y + 3.05), "fq": E.fast_inverse_sqrt(E.abs_(_Y) + 1.0), "pi": E.pow_(_Y + 3.05, -2),
+    },
+    {
+        k: f"round({v}, 6)"
+        for k, v in {
+            "fma": "a / 10.0 * b + a / 10.0 + 1", "erf": _ERF.format(x="a / 10.0", t="(1 / (1 + 0.3275911 * abs(a / 10.0)))"), "fs": "sin(a / 10.0)", "fc": "cos(a / 10.0)", "fe": "exp(a / 10.0)", "fl": "ln(abs(a / 10.0) + 1)", "fp": "sqrt(abs(a / 10.0) + 1)",
+            "fi": "1 / (a / 10.0 + 3.05)", "fq": "1 / sqrt(abs(a / 10.0) + 1)", "pi": "1 / ((a / 10.0 + 3.05) * (a / 10.0 + 3.05))",
+        }.items()
+    },
+    6,
+)
+_put(
+    "checks_and_hints",
+    {
+        "req": E.require(A < 100, A), "lik": E.likely(A), "lii": E.likely_if_innermost(A), "pro": E.promise_clamped(A, -25, 25), "upc": E.unsafe_promise_clamped(A, -25, 25), "mem": E.memoize_tag(A, B), "pri": E.print_(A, "a"), "prw": E.print_when(A > 3, A, "a"),
+        "str": E.strict_float(_Y), "unr": E.select(A < 100, A, E.unreachable()), "bits": E.const(E.target_bits()), "feat": E.select(E.const(E.target_has_feature("any") or E.target_arch_is("any") or E.target_os_is("any")), 1, 0), "vec": E.const(E.target_natural_vector_size(I32)),
+    },
+    {**{k: _big("a") for k in ("req", "lik", "lii", "pro", "upc", "mem", "pri", "prw", "unr")}, "str": "round(a / 10.0, 9)", "bits": _big("64"), "feat": _big("0"), "vec": _big("1")},
+    9,
+)
+
+
 def _rng(x: str) -> str:
     c0, c1, c2 = E.RNG_COEFFICIENTS
     return f"CAST((((({c2}::HUGEINT * {x} + {c1}) % 4294967296) * {x} + {c0}) % 4294967296) AS BIGINT)"
 
 
 QUERIES["random_hash"] = (
-    lambda spark, d: _pairs(spark, d).select("k", E.random_uint([E.col("k", U32)], 5).column().alias("u"), F.round(E.random_float([E.col("k", U32)], 5).column().cast("double"), 7).alias("f")),
-    f"WITH {_P}, r0 AS (SELECT k, {_rng('5')} AS r FROM p), r1 AS (SELECT k, {_rng('((r + k) % 4294967296)')} AS r FROM r0), r2 AS (SELECT k, {_rng('r')} AS r FROM r1) SELECT k, CAST(xor(r, r // 65536) AS BIGINT) AS u, round(CAST(xor(r, r // 65536) // 512 AS DOUBLE) / 8388608, 7) AS f FROM r2",
+    lambda spark, d: _pairs(spark, d).select("k", E.random_uint([E.col("k", U32)], 5).column().alias("u"), E.random_int([E.col("k", U32)], 5).column().alias("i"), F.round(E.random_float([E.col("k", U32)], 5).column().cast("double"), 7).alias("f")),
+    f"WITH {_P}, r0 AS (SELECT k, {_rng('5')} AS r FROM p), r1 AS (SELECT k, {_rng('((r + k) % 4294967296)')} AS r FROM r0), r2 AS (SELECT k, {_rng('r')} AS r FROM r1) SELECT k, CAST(xor(r, r // 65536) AS BIGINT) AS u, CAST((xor(r, r // 65536) + 2147483648) % 4294967296 - 2147483648 AS INT) AS i, round(CAST(xor(r, r // 65536) // 512 AS DOUBLE) / 8388608, 7) AS f FROM r2",
 )
