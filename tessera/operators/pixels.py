@@ -4,6 +4,7 @@ tensor operators by name."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,10 +99,17 @@ def lrn(df: DataFrame, keys: list[str], channel: str, size: int, alpha: float, b
 
 _S = F.lit
 
+
+def _erf(x: Column) -> Column:
+    from ..functions.expr import _erf as series
+
+    return series(x)
+
+
 #: Unary tensor operators.
 UNARY: dict[str, Callable[[Column], Column]] = {
     "Abs": F.abs, "Acos": F.acos, "Acosh": F.acosh, "Asin": F.asin, "Asinh": F.asinh, "Atan": F.atan, "Atanh": F.atanh,
-    "Ceil": F.ceil, "Cos": F.cos, "Cosh": F.cosh, "Exp": F.exp, "Floor": F.floor, "Identity": lambda x: x, "IsNaN": F.isnan,
+    "Ceil": F.ceil, "Cos": F.cos, "Cosh": F.cosh, "Cast": lambda x: x.cast("int"), "Erf": _erf, "Exp": F.exp, "Floor": F.floor, "Identity": lambda x: x, "IsNaN": F.isnan,
     "IsInf": lambda x: F.abs(x) == float("inf"), "Log": F.log, "Neg": lambda x: -x, "Not": lambda x: ~x, "Reciprocal": lambda x: 1 / x,
     "Relu": lambda x: F.greatest(x, _S(0.0)), "Sigmoid": lambda x: 1 / (1 + F.exp(-x)), "Sign": F.signum, "Sin": F.sin, "Sinh": F.sinh,
     "Softplus": lambda x: F.log1p(F.exp(x)), "Softsign": lambda x: x / (1 + F.abs(x)), "Sqrt": F.sqrt, "Tan": F.tan, "Tanh": F.tanh,
@@ -146,6 +154,28 @@ def reduce_axes(df: DataFrame, op: str, keep: list[str]) -> DataFrame:
     return df.groupBy(*keep).agg(REDUCE[op](F.col("v")).alias("v"))
 
 
+def variadic(tables: list[DataFrame], op: str, on: list[str]) -> DataFrame:
+    """Sum, Mean, Max or Min of several tensors, point by point."""
+    names = [f"_v{i}" for i in range(len(tables))]
+    j = tables[0].select(*on, F.col("v").alias(names[0]))
+    for n, t in zip(names[1:], tables[1:]):
+        j = j.join(t.select(*on, F.col("v").alias(n)), on)
+    cols = [F.col(n) for n in names]
+    total = reduce(lambda a, b: a + b, cols)
+    v = {"Sum": total, "Mean": total / len(cols), "Max": F.greatest(*cols), "Min": F.least(*cols)}[op]
+    return j.select(*on, v.alias("v"))
+
+
+def global_pool(df: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+    """One value for each of ``keys`` (image and channel)."""
+    return df.groupBy(*keys).agg({"avg": F.avg("v"), "max": F.max("v"), "min": F.min("v")}[kind].alias("v"))
+
+
+def dropout(df: DataFrame) -> DataFrame:
+    """At inference nothing is dropped."""
+    return df
+
+
 def where(cond: DataFrame, a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     j = cond.select(*on, F.col("v").alias("_c")).join(a.select(*on, F.col("v").alias("_a")), on).join(b.select(*on, F.col("v").alias("_b")), on)
     return j.select(*on, F.when(F.col("_c"), F.col("_a")).otherwise(F.col("_b")).alias("v"))
@@ -172,6 +202,142 @@ def reshape(df: DataFrame, dims: list[tuple[str, int]], new: list[tuple[str, int
     return df.select(*reversed(cols), "v")
 
 
+def split(df: DataFrame, axis: str, sizes: list[int]) -> list[DataFrame]:
+    """Parts along an axis, each from 0 on."""
+    out, at = [], 0
+    for n in sizes:
+        out.append(df.where(F.col(axis).between(at, at + n - 1)).withColumn(axis, (F.col(axis) - at).cast("int")))
+        at += n
+    return out
+
+
+def concat(parts: list[DataFrame], axis: str, sizes: list[int]) -> DataFrame:
+    moved, at = [], 0
+    for p, n in zip(parts, sizes):
+        moved.append(p.withColumn(axis, (F.col(axis) + at).cast("int")))
+        at += n
+    return reduce(DataFrame.unionByName, moved)
+
+
+def pad(df: DataFrame, dims: list[tuple[str, int]], before: list[int], after: list[int], value=0.0) -> DataFrame:
+    """A constant around a tensor of the given extents."""
+    from ..plans.region import box
+    from .table import domain
+
+    names = [d for d, _ in dims]
+    every = domain(df.sparkSession, names, box(*[n + a + b for (_, n), a, b in zip(dims, before, after)]))
+    moved = df.select(*[(F.col(d) + a).cast("int").alias(d) for d, a in zip(names, before)], "v")
+    return every.join(moved, names, "left").select(*names, F.coalesce("v", F.lit(value)).alias("v"))
+
+
+def expand(df: DataFrame, axis: str, times: int) -> DataFrame:
+    """An axis of extent 1 (or a new one) repeated."""
+    return df.drop(axis).withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def unsqueeze(df: DataFrame, axis: str) -> DataFrame:
+    return df.withColumn(axis, F.lit(0))
+
+
+def squeeze(df: DataFrame, axis: str) -> DataFrame:
+    return df.drop(axis)
+
+
+def flatten(df: DataFrame, dims: list[tuple[str, int]], at: int) -> DataFrame:
+    """Two axes: those before ``at`` in one, the others in the other."""
+    size = lambda part: reduce(lambda a, d: a * d[1], part, 1)
+    return reshape(df, dims, [("i", size(dims[:at])), ("j", size(dims[at:]))])
+
+
+def shape_of(df: DataFrame, dims: list[str]) -> DataFrame:
+    """axis, v: the extents, as data (a tensor starts at 0)."""
+    tops = df.agg(*[(F.max(d) + 1).alias(d) for d in dims])
+    return tops.select(F.posexplode(F.array(*[F.col(d).cast("bigint") for d in dims])).alias("axis", "v"))
+
+
+def size_of(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("v"))
+
+
+def constant_of_shape(spark, dims: list[tuple[str, int]], value=0.0) -> DataFrame:
+    from ..plans.region import box
+    from .table import domain
+
+    return domain(spark, [d for d, _ in dims], box(*[n for _, n in dims])).withColumn("v", F.lit(value))
+
+
+def random_tensor(spark, dims: list[tuple[str, int]], kind: str, seed: int = 0, low: float = 0.0, high: float = 1.0, mean: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """"uniform" in [low, high) or "normal": functions of the coordinates and the seed, so
+    a lost task makes the same numbers again."""
+    from ..functions import expr as E
+    from ..functions.types import I32
+
+    at = [E.col(d, I32) for d, _ in dims]
+    u = E.random_float(at, seed).column().cast("double")
+    if kind == "uniform":
+        v = low + u * (high - low)
+    else:  # two uniforms make a normal
+        w = E.random_float(at, seed, 1).column().cast("double")
+        v = mean + scale * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * w)
+    return constant_of_shape(spark, dims).withColumn("v", v)
+
+
+def quantized_softmax(df: DataFrame, keys: list[str], scale: float, beta: float = 1.0) -> DataFrame:
+    """Codes of scale ``scale`` to codes of 1/256: probabilities, rounded and clamped."""
+    p = softmax(df.withColumn("v", F.col("v") * scale), keys, beta=beta)
+    return p.withColumn("v", F.least(F.floor(F.col("v") * 256 + 0.5), F.lit(255)).cast("bigint"))
+
+
+def quantized_l2(df: DataFrame, keys: list[str], zero: int) -> DataFrame:
+    """Codes to codes of 1/128 around 128: unit vectors."""
+    u = l2_normalize(df.withColumn("v", (F.col("v") - zero).cast("double")), keys)
+    return u.withColumn("v", F.greatest(F.least(F.floor(F.col("v") * 128 + 128.5), F.lit(255)), F.lit(0)).cast("bigint"))
+
+
+def quantized_unary(op: str, v: Column, scale: float, zero: int, scale_out: float, zero_out: int) -> Column:
+    """A unary operator on the numbers that 8-bit codes stand for."""
+    real = (v - zero) * scale
+    out = {"Logistic": lambda x: 1 / (1 + F.exp(-x))}.get(op, UNARY.get({"Negate": "Neg"}.get(op, op)))(real)
+    return F.greatest(F.least(F.floor(out / scale_out + 0.5) + zero_out, F.lit(255)), F.lit(0)).cast("bigint")
+
+
+def quantized_compare(op: str, a: Column, b: Column, sa: float, za: int, sb: float, zb: int) -> Column:
+    """Comparisons of the numbers that codes of two scales stand for."""
+    return BINARY[op]((a - za) * sa, (b - zb) * sb)
+
+
+def elementwise_program(inputs: list[Column], program: list[tuple]) -> Column:
+    """A straight-line program of 16-bit registers: register 0 is zero, then come the inputs
+    and each step's result; the last is the value.  Steps are (op, a, b, c): a is a
+    register, b a register or, with "_imm" after the name, a number, c a shift."""
+
+    def sat(x: Column) -> Column:
+        return F.greatest(F.least(x, F.lit((1 << 15) - 1)), F.lit(-(1 << 15))).cast("bigint")
+
+    regs = [F.lit(0).cast("bigint"), *[c.cast("bigint") for c in inputs]]
+    for op, a, b, c in program:
+        kind, x, y = op.removesuffix("_imm"), regs[a], F.lit(b).cast("bigint") if op.endswith("_imm") else regs[b]
+        half = 1 << c - 1 if c else 0
+        regs.append({
+            "add": lambda: sat(x + y), "sub": lambda: sat(x - y), "min": lambda: F.least(x, y), "max": lambda: F.greatest(x, y),
+            "mul_shift": lambda: sat(F.shiftright(x * y + half, c)), "clamp": lambda: F.greatest(F.least(x, F.lit(c)), y),
+        }[kind]())
+    return regs[-1]
+
+
+def upsample_channels(df: DataFrame, factor: int) -> DataFrame:
+    """Channel c to channels c * factor and on, all alike."""
+    return df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn("c", (F.col("c") * factor + F.col("_k")).cast("int")).drop("_k")
+
+
+def tile_filter(weights: DataFrame, group_out: int, group_in: int) -> DataFrame:
+    """Weights (co, ky, kx, ci, v) with output and input channels cut into groups: the
+    layout (ob, ib, ky, kx, o, i)."""
+    cut = lambda c, n: (F.floor(F.col(c) / n).cast("int"), F.pmod(c, F.lit(n)).cast("int"))
+    (ob, o), (ib, i) = cut("co", group_out), cut("ci", group_in)
+    return weights.select(ob.alias("ob"), ib.alias("ib"), "ky", "kx", o.alias("o"), i.alias("i"), "v")
+
+
 def tile(df: DataFrame, axis: str, extent: int, times: int) -> DataFrame:
     return df.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(axis, (F.col(axis) + F.col("_t") * extent).cast("int")).drop("_t")
 

@@ -129,6 +129,45 @@ def save(a: ArrayTable, path: str) -> None:
         f.write(encode(path, to_numpy(a).T.astype(kind)))
 
 
+def write_bands(a: ArrayTable, format: str, rows: int, path: str | None = None) -> DataFrame:
+    """file, y0, content: a two-dimensional array cut into bands of ``rows`` rows, each a file
+    of the format, encoded where it is; written below ``path`` (a folder that all machines
+    share, as Parquet of names and bytes) if there is one."""
+    kind = np.dtype({v: k for k, v in _TYPES.items()}[a.types[0]])
+    x, y = a.dims
+    x0, width = a.region[0].min, a.region[0].extent
+
+    def run(frame):
+        import pandas as pd
+
+        y0 = int(frame["_b"].iloc[0]) * rows
+        out = np.zeros((width, int(frame[y].max()) - y0 + 1), dtype=kind)
+        out[frame[x].to_numpy() - x0, frame[y].to_numpy() - y0] = frame["v"].to_numpy()
+        name = f"band-{y0:09d}.{format}"
+        return pd.DataFrame({"file": [name], "y0": [y0], "content": [encode(name, out)]})
+
+    bands = a.df.select(x, y, F.col(a.values[0]).alias("v"), F.floor(F.col(y) / rows).cast("int").alias("_b"))
+    out = bands.groupBy("_b").applyInPandas(run, "file string, y0 int, content binary")
+    if path is not None:
+        out.write.parquet(path)
+        out = a.df.sparkSession.read.schema("file string, y0 int, content binary").parquet(path)
+    return out
+
+
+def load_bands(files: DataFrame, format: str) -> DataFrame:
+    """x, y, v of the bands."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            for name, y0, content in zip(f["file"], f["y0"], f["content"]):
+                a = decode(name, bytes(content))
+                at = np.indices(a.shape[:2]).reshape(2, -1)
+                yield pd.DataFrame({"x": at[0].astype("int32"), "y": (at[1] + y0).astype("int32"), "v": a.reshape(a.shape[0] * a.shape[1], -1)[:, 0].astype(float)})
+
+    return files.mapInPandas(run, "x int, y int, v double")
+
+
 def convert_image(a: ArrayTable, to: ElementType) -> ArrayTable:
     """Full range to full range: 1.0 of a float is an integer's greatest value."""
     frm, v = a.types[0], F.col(a.values[0])
