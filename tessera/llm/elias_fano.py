@@ -115,16 +115,29 @@ class EliasFano:
         high = self._select(i.copy(), 1) - i
         return (high.astype(np.uint64) << np.uint64(self.low)) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, or -1: the successor search stops at an equal one."""
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places i and i + 1: the next set bit is mostly in the same word."""
+        i = np.asarray(i, dtype=np.int64)
+        bit = self._select(i.copy(), 1)
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        rest = self.highs[word] >> off >> _ONE
+        after = bit + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            after[far] = self._select(i[far] + 1, 1)
+        low = np.uint64(self.low)
+        return ((bit - i).astype(np.uint64) << low) | self._low(i), ((after - i - 1).astype(np.uint64) << low) | self._low(i + 1)
+
+    def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value, or -1: the successor search stops at an equal one.  With
+        ``lo`` and ``hi`` only the places from lo on and before hi are searched."""
         values = np.asarray(values, dtype=np.uint64)
         if not self.n or not len(values):
             return np.full(len(values), -1, dtype=np.int64)
-        if len(values) <= _AT_ONCE:
-            return self._find(values)
-        return np.concatenate([self._find(values[i : i + _AT_ONCE]) for i in range(0, len(values), _AT_ONCE)])
+        parts = [slice(i, i + _AT_ONCE) for i in range(0, len(values), _AT_ONCE)]
+        return np.concatenate([self._find(values[p], None if lo is None else lo[p], None if hi is None else hi[p]) for p in parts])
 
-    def _find(self, values: np.ndarray) -> np.ndarray:
+    def _find(self, values: np.ndarray, first: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
         high = (values >> np.uint64(self.low)).astype(np.int64)
         # a bucket is the run of set bits after the zero that ends the one before
         bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1, 0)
@@ -138,6 +151,8 @@ class EliasFano:
         if len(long):
             stop[long] = self._select(high[long], 0) - high[long]
         want = values & np.uint64((1 << self.low) - 1)
+        if first is not None:
+            start, stop = np.maximum(start, first), np.minimum(stop, end)
         lo, hi = start.copy(), stop.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -146,6 +161,6 @@ class EliasFano:
             lo[todo] = np.where(less, mid + 1, lo[todo])
             hi[todo] = np.where(less, hi[todo], mid)
             todo = todo[lo[todo] < hi[todo]]
-        hit = lo < stop
+        hit = (lo < stop) & (start < stop)
         hit[hit] = self._low(lo[hit]) == want[hit]
         return np.where(hit, lo, -1)

@@ -5,8 +5,8 @@ holds, for every node of level k - 1 (a (k-1)-gram, numbered in order), its
 successors' word numbers as one Elias-Fano sequence of ``node * V + word``, monotone
 pointers to where a node's successors begin, an 8-bit logarithm of each n-gram's
 discounted share, and an 8-bit logarithm of what the node leaves to shorter
-contexts.  N-grams seen once are left out (``min_count``); their mass stays with
-the shorter contexts:
+contexts.  N-grams seen fewer than ``min_count`` times are left out; their mass stays
+with the shorter contexts:
 
     p_k(w | c) = max(count(c w) - D, 0) / count(c) + left(c) * p_{k-1}(w | shorter c)
     p_1(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1))
@@ -39,7 +39,7 @@ DISCOUNT = 0.75
 #: 8-bit code q stands for 10 ** -(q / steps); 255 for nothing.  A level has STEPS steps a
 #: decade, or as many as its smallest share leaves.
 STEPS = 40.0
-SHARD_ENTRIES = 500_000
+SHARD_ENTRIES = 1_000_000
 _BLOB = struct_of("blob binary")
 #: Slots of each level's table of latest searches.
 _SLOTS, _MIX = 1 << 20, 0x9E3779B97F4A7C15 - (1 << 64)
@@ -74,6 +74,12 @@ class Model:
     files: tuple[tuple[str, ...], ...]
     widths: tuple[int, ...]  # nodes a shard; at level 1 the bits that a shard's hashes share
     steps: tuple[float, ...] = (STEPS,)  # of each level's codes; level 1 has none
+    sizes: tuple[int, ...] = ()  # n-grams of levels 2 and on
+    min_count: int = 1
+    open: bool = False  # another level will follow: the last one keeps its counts
+
+    def n_nodes(self, k: int) -> int:
+        return self.n_words if k == 1 else self.sizes[k - 2]
 
 
 def _map(uri: str) -> mmap.mmap:
@@ -120,16 +126,17 @@ class Vocabulary:
             counts = np.frombuffer(data, dtype="<u8", count=keys.n, offset=keys.end)
             self.shards[shard] = (at, keys, counts)
             at += keys.n
+        self.order = list(self.shards)
+        self.bases = [self.shards[x][0] for x in self.order]
         self.cache: dict[bytes, int] = {}
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         ids = np.full(len(hashes), -1, dtype=np.int64)
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), dtype=np.int64)
         low = hashes & np.uint64((1 << (64 - self.bits)) - 1)
-        for s in np.unique(shard):
-            if int(s) in self.shards:
-                base, keys, _ = self.shards[int(s)]
-                rows = np.flatnonzero(shard == s)
+        for s, rows in _by_shard(shard):
+            if s in self.shards:
+                base, keys, _ = self.shards[s]
                 at = keys.find(low[rows])
                 ids[rows[at >= 0]] = at[at >= 0] + base
         return ids
@@ -151,90 +158,117 @@ class Vocabulary:
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), dtype=np.int64)
-        for base, keys, counts in self.shards.values():
-            rows = np.flatnonzero((ids >= base) & (ids < base + keys.n))
-            out[rows] = counts[ids[rows] - base].astype(np.int64)
+        known = np.flatnonzero(ids >= 0)
+        for i, rows in _by_shard(np.searchsorted(self.bases, ids[known], side="right") - 1):
+            base, _, counts = self.shards[self.order[i]]
+            out[known[rows]] = counts[ids[known[rows]] - base].astype(np.int64)
         return out
 
 
 class Level:
-    """Successors of the nodes of the level above."""
+    """Successors of the nodes of the level above.
+
+    A search begins at its context: the node's two pointers bound the places of its
+    successors, and the word is searched between them.  Values, pointers and codes are
+    read where the files are mapped; the heap holds a table of the latest searches."""
 
     def __init__(self, model: Model, k: int):
         self.width, self.v = model.widths[k - 1], model.n_words
         self.value = np.concatenate((10 ** (-np.arange(255) / model.steps[k - 1]), [0.0]))
-        self.shards, at = {}, 0
-        shares, lefts = [], []
+        self.shards, self.bases, at = {}, [], 0
         for shard, data, offset in sorted((s, d, o) for uri in model.files[k - 1] for s, d, o in _blobs(uri)):
             values = EliasFano(data, offset)
             pointers = EliasFano(data, values.end)
             share = np.frombuffer(data, dtype=np.uint8, count=values.n, offset=pointers.end)
             left = np.frombuffer(data, dtype=np.uint8, count=pointers.n - 1, offset=pointers.end + values.n)
-            counts = np.frombuffer(data, dtype="<u4", count=values.n, offset=pointers.end + values.n + len(left))
-            self.shards[shard] = (at, values, pointers, counts)
-            shares.append(share)
-            lefts.append(left)
+            counts = np.frombuffer(data, dtype="<u4", count=values.n, offset=pointers.end + values.n + len(left)) if k < len(model.files) or model.open else None
+            self.shards[shard] = (at, values, pointers, share, left, counts)
+            self.bases.append(at)
             at += values.n
-        # a byte an n-gram and a node; and the latest searches, by slot
-        self.share = np.concatenate(shares) if shares else np.zeros(0, dtype=np.uint8)
-        self.left = np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.uint8)
-        self.keys, self.found = np.full(_SLOTS, -1, dtype=np.int64), np.full(_SLOTS, -1, dtype=np.int64)
+        self.order = list(self.shards)  # of the bases
+        # the latest searches by slot: context and word in one number, and what was found
+        self.keys, self.at = np.full(_SLOTS, -1, dtype=np.int64), np.full(_SLOTS, -1, dtype=np.int64)
+        self.codes = np.zeros((2, _SLOTS), dtype=np.uint8)
+        self.fits = model.n_nodes(k - 1) * (self.v + 1) < 1 << 63
+
+    def _search(self, nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each context and word (-1: none): the n-gram's number or -1, the code of its
+        share and the code of what the context leaves (0: it has no successors)."""
+        at, share, left = np.full(len(nodes), -1, dtype=np.int64), np.full(len(nodes), 255, dtype=np.uint8), np.zeros(len(nodes), dtype=np.uint8)
+        for s, rows in _by_shard(nodes // self.width):
+            if s not in self.shards:
+                continue
+            base, values, pointers, shares, lefts, _ = self.shards[s]
+            local = nodes[rows] - s * self.width
+            left[rows] = lefts[local]
+            some = np.flatnonzero((left[rows] > 0) & (words[rows] >= 0))
+            rows, local = rows[some], local[some]
+            first, end = pointers.pair(local)
+            i = values.find(local.astype(np.uint64) * np.uint64(self.v) + words[rows].astype(np.uint64), first.astype(np.int64), end.astype(np.int64))
+            hit = np.flatnonzero(i >= 0)
+            at[rows[hit]] = i[hit] + base
+            share[rows[hit]] = shares[i[hit]]
+        return at, share, left
 
     def lookup(self, nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each context node and word (-1: none): the n-gram's own node (-1: not
         kept), its discounted share, and what the context leaves to shorter ones."""
         node, share, left = np.full(len(nodes), -1, dtype=np.int64), np.zeros(len(nodes)), np.ones(len(nodes))
         rows = np.flatnonzero(nodes >= 0)
-        code = self.left[nodes[rows]]
-        left[rows] = self.value[code]
-        rows = rows[(code > 0) & (words[rows] >= 0)]  # a context without kept successors leaves all
-        keys = nodes[rows] * np.int64(self.v) + words[rows]  # also the value in the shard, from the shard's first node on
-        slot = ((keys * np.int64(_MIX)) >> 44) & (_SLOTS - 1)
-        at = self.found[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        if len(miss):
-            some = keys[miss]
-            shard, got = nodes[rows[miss]] // self.width, np.full(len(miss), -1, dtype=np.int64)
-            for s, (base, values, *_) in self.shards.items():
-                own = np.flatnonzero(shard == s)
-                i = values.find((some[own] - s * self.width * self.v).astype(np.uint64))
-                got[own] = np.where(i >= 0, i + base, -1)
-            at[miss] = got
-            self.keys[slot[miss]] = some
-            self.found[slot[miss]] = got  # of two in one slot the later stays, in both arrays
-        rows, at = rows[at >= 0], at[at >= 0]
-        node[rows] = at
-        share[rows] = self.value[self.share[at]]
+        n, w = nodes[rows], words[rows]
+        if self.fits:
+            keys = n * np.int64(self.v + 1) + w + 1
+            slot = ((keys * np.int64(_MIX)) >> 44) & (_SLOTS - 1)
+            at, codes = self.at[slot], self.codes[:, slot]
+            miss = np.flatnonzero(self.keys[slot] != keys)
+            got = self._search(n[miss], w[miss])
+            at[miss], codes[0, miss], codes[1, miss] = got
+            # of two in one slot the later stays, in all arrays
+            self.keys[slot[miss]], self.at[slot[miss]], self.codes[0, slot[miss]], self.codes[1, slot[miss]] = keys[miss], *got
+        else:
+            at, *codes = self._search(n, w)
+        node[rows], share[rows], left[rows] = at, self.value[codes[0]], self.value[codes[1]]
         return node, share, left
 
     def successors(self, node: int) -> np.ndarray:
         """Word numbers that follow a node, by its pointers."""
         _, values, pointers, *_ = self.shards[node // self.width]
         local = node % self.width
-        lo, hi = (int(x) for x in pointers.access(np.array([local, local + 1])))
+        lo, hi = (int(x[0]) for x in pointers.pair(np.array([local])))
         return (values.access(np.arange(lo, hi)) - np.uint64(local * self.v)).astype(np.int64)
 
     def counts_of(self, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes), dtype=np.int64)
-        for base, values, _, counts in self.shards.values():
-            rows = np.flatnonzero((nodes >= base) & (nodes < base + values.n))
+        for i, rows in _by_shard(np.searchsorted(self.bases, nodes, side="right") - 1):
+            base, *_, counts = self.shards[self.order[i]]
             out[rows] = counts[nodes[rows] - base]
         return out
 
 
+def _by_shard(shard: np.ndarray):
+    """(shard, rows) of the shards that occur."""
+    if not len(shard):
+        return
+    if shard.min() == shard.max():
+        yield int(shard[0]), np.arange(len(shard))
+        return
+    order = np.argsort(shard, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0)))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(shard[order[lo]]), order[lo:hi]
+
+
 _OPEN: dict[tuple, list] = {}
 
 
 def opened(model: Model) -> list:
-    """[Vocabulary, Level 2, ...] of this process."""
-    key = model.files
+    """[Vocabulary, Level 2, ...] of this process; levels that stay the same stay open."""
+    key = (model.files, model.open)
     if _OPEN.get("key") != key:
         old = _OPEN.get("key")
-        if old and old[0] == key[0]:
-            levels = [_OPEN["levels"][0], *[Level(model, k) for k in range(2, len(key) + 1)]]
-        else:
-            levels = [Vocabulary(model), *[Level(model, k) for k in range(2, len(key) + 1)]]
-        _OPEN["key"], _OPEN["levels"] = key, levels
+        first = _OPEN["levels"][0] if old and old[0][0] == model.files[0] else Vocabulary(model)
+        _OPEN["levels"] = [first, *[Level(model, k) for k in range(2, len(model.files) + 1)]]
+        _OPEN["key"] = key
     return _OPEN["levels"]
 
 
@@ -325,19 +359,31 @@ def _sequence(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndar
     return tokens, np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
 
-def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
+def _counted(node: np.ndarray, word: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs with their numbers (or the sums of ``c``), in order."""
+    if len(node) and node.max() < 1 << 31 and word.max() < 1 << 32:
+        keys = node << 32 | word
+        order = np.argsort(keys, kind="stable") if c is not None else None  # merges sorted runs
+        keys = keys[order] if c is not None else np.sort(keys)
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        node, word = keys[new] >> 32, keys[new] & 0xFFFFFFFF
+    else:
+        order = np.lexsort((word, node))
+        node, word = node[order], word[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), dtype=bool), (node[1:] != node[:-1]) | (word[1:] != word[:-1]))))
+        keys, node, word = node, node[new], word[new]
+    n = np.diff(np.concatenate((new, [len(keys)]))) if c is None else np.add.reduceat(c[order], new) if len(new) else new
+    return node, word, n
+
+
+def _ngrams(train: DataFrame, model: Model, k: int, min_count: int) -> DataFrame:
     """node, word, c: counts of k-grams whose (k-1)-gram prefix and suffix are kept,
     which leaves out none that reaches the least count."""
     out = struct_of("node bigint, word bigint, c bigint")
     schema = arrow_schema(out)
 
     def merged(held):
-        keys, c = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys, kind="stable")  # merges sorted runs
-        keys, c = keys[order], c[order]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys = keys[new]
-        return batch(schema, [keys >> 32, keys & 0xFFFFFFFF, np.add.reduceat(c, new)])
+        return batch(schema, list(_counted(*(np.concatenate(x) for x in zip(*held)))))
 
     def run(batches):
         levels, held, size = opened(model), [], 0
@@ -348,12 +394,12 @@ def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
             first[starts] = True
             nodes = _nodes(levels[: k - 1], ids, first)
             at = np.flatnonzero(~first[1:]) + 1
-            ok = (nodes[k - 2][at - 1] >= 0) & (counts[at] > 1) & (counts[at - 1] > 1)
+            ok = (nodes[k - 2][at - 1] >= 0) & (counts[at] >= min_count) & (counts[at - 1] >= min_count)
             if k > 2:
                 ok &= nodes[k - 2][at] >= 0
             at = at[ok]
             if len(at):
-                held.append(np.unique(nodes[k - 2][at - 1] << 32 | ids[at], return_counts=True))
+                held.append(_counted(nodes[k - 2][at - 1], ids[at]))
                 size += len(held[-1][0])
             if size > 3_000_000:
                 yield merged(held)
@@ -364,7 +410,7 @@ def _ngrams(train: DataFrame, model: Model, k: int) -> DataFrame:
     return train.mapInArrow(run, out).groupBy("node", "word").agg(F.sum("c").alias("c"))
 
 
-def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: int, most: int) -> tuple[str, int]:
+def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: int, most: int, counted: bool) -> tuple[str, int]:
     n_shards = max(1, -(-n_kept // SHARD_ENTRIES))
     width = max(1, -(-n_nodes // n_shards))
     v, steps, least = model.n_words, _steps(most), DISCOUNT / max(most, 2)
@@ -384,7 +430,9 @@ def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: in
             left = np.where(degree > 0, np.maximum(_quantise(np.log10(np.maximum(1 - taken, least)), steps), 1), 0).astype(np.uint8)
             ends = np.concatenate(([0], np.cumsum(degree)))
             values = local.astype(np.uint64) * np.uint64(v) + word.astype(np.uint64)
-            payload = elias_fano.encode(values, size * v) + elias_fano.encode(ends, len(node) + 1) + _quantise(np.log10(share), steps).tobytes() + left.tobytes() + np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
+            payload = elias_fano.encode(values, size * v) + elias_fano.encode(ends, len(node) + 1) + _quantise(np.log10(share), steps).tobytes() + left.tobytes()
+            if counted:  # the next level's shares are made of them
+                payload += np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
             yield batch(schema, [[_blob(shard, payload)]])
 
     path = fresh_path(kept.sparkSession, f"lm-level{k}")
@@ -393,24 +441,21 @@ def _write_level(kept: DataFrame, model: Model, k: int, n_nodes: int, n_kept: in
     return path, width
 
 
-def train_model(docs: DataFrame, order: int = 2, min_count: int = 2) -> Model:
+def train_model(docs: DataFrame, order: int = 2, min_count: int = 1) -> Model:
     """Counts the n-grams of all texts of ``docs`` (column text; null: empty) and
-    writes the trie of orders 1 to ``order``.  At most 2^31 distinct words."""
-    if min_count < 2:
-        raise ValueError("n-grams seen once are left out")
+    writes the trie of orders 1 to ``order``.  N-grams counted fewer than ``min_count``
+    times are left out of levels 2 and on; an empty table gives an empty model."""
     spark, train = docs.sparkSession, docs_view(docs, "text")
     words = persist(_unigrams(train).where("c > 0"), "lm-words")
     n_words, n_tokens, most = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
     path, bits = _write_vocabulary(words, n_words)
-    model = Model(n_tokens, n_words, (_publish(spark, path),), (bits,))
+    model = Model(n_tokens, n_words, (_publish(spark, path),), (bits,), min_count=min_count, open=order > 1)
     n_nodes = n_words
     for k in range(2, order + 1):
-        if max(n_words, n_nodes) >= 1 << 31:
-            raise ValueError("numbers of words and nodes are kept in 31 bits")
-        kept = persist(_ngrams(train, model, k).where(F.col("c") >= min_count), f"lm-counts{k}")
+        kept = persist(_ngrams(train, model, k, min_count).where(F.col("c") >= min_count), f"lm-counts{k}")
         n_kept, most_kept = kept.agg(F.count("*"), F.coalesce(F.max("c"), F.lit(0))).first()
-        path, width = _write_level(kept, model, k, n_nodes, n_kept, most)
-        model = Model(n_tokens, n_words, (*model.files, _publish(spark, path)), (*model.widths, width), (*model.steps, _steps(most)))
+        path, width = _write_level(kept, model, k, n_nodes, n_kept, most, k < order)
+        model = Model(n_tokens, n_words, (*model.files, _publish(spark, path)), (*model.widths, width), (*model.steps, _steps(most)), (*model.sizes, n_kept), min_count, k < order)
         n_nodes, most = n_kept, most_kept
     return model
 
@@ -427,7 +472,7 @@ def score_texts(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     first[starts] = True
     p = (counts + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1))
     base = np.log10(p)
-    node, often = ids, np.where(counts > 1, ids, -1)  # a word seen once ends no kept n-gram
+    node, often = ids, np.where(counts >= model.min_count, ids, -1)  # a rarer word ends no kept n-gram
     for level in levels[1:]:
         before = np.concatenate(([-1], node[:-1]))
         before[first] = -1

@@ -193,7 +193,7 @@ def test_elias_fano():
         assert ef.find(probe).tolist() == [want.get(int(p), -1) for p in probe]
 
 
-def brute_lm(train, texts, order=2):
+def brute_lm(train, texts, order=2, least=1):
     """Scores without tries or quantising."""
     grams = [Counter() for _ in range(order)]
     for t in train:
@@ -201,9 +201,9 @@ def brute_lm(train, texts, order=2):
         grams[0].update(toks[1:])
         for k in range(2, order + 1):
             grams[k - 1].update(tuple(toks[i : i + k]) for i in range(len(toks) - k + 1))
-    kept = [None, {g: c for g, c in grams[1].items() if c >= 2}]
+    kept = [None, {g: c for g, c in grams[1].items() if c >= least}]
     if order > 2:
-        kept.append({g: c for g, c in grams[2].items() if c >= 2 and g[:2] in kept[1]})
+        kept.append({g: c for g, c in grams[2].items() if c >= least and g[:2] in kept[1]})
     n, v = sum(grams[0].values()), len(grams[0])
     succ = [None] + [Counter() for _ in range(order - 1)]
     for k in range(1, order):
@@ -229,14 +229,14 @@ def brute_lm(train, texts, order=2):
     return n, out
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(small, odd, order, monkeypatch):
+@pytest.mark.parametrize("order, least", [(2, 1), (3, 1), (3, 2)])
+def test_language_model(small, odd, order, least, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_ENTRIES", 3000)
     docs = small.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    model = ngram_lm.train_model(docs.where(~langid.held_out("doc_id", 5, 1)), order=order)
+    model = ngram_lm.train_model(docs.where(~langid.held_out("doc_id", 5, 1)), order=order, min_count=least)
     rows = docs.collect()
     train = [r.text for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
-    n, want = brute_lm(train, [r.text for r in rows], order)
+    n, want = brute_lm(train, [r.text for r in rows], order, least)
     assert model.n_tokens == n
     got = ngram_lm.score(docs, model, "doc_id", "text").collect()
     by = {r.text: r for r in got}
@@ -279,6 +279,27 @@ def test_trie_successors(small):
     assert (node >= 0).all() and (share > 0).all() and (left < 1).all()
 
 
+def test_levels_are_searched_from_their_context(small, monkeypatch):
+    """Numbers of successors that no 31 bits hold, without the table of searches, and codes
+    that stay in the files' maps."""
+    model = ngram_lm.train_model(small.limit(150), order=3)
+    vocab, two, three = ngram_lm.opened(model)
+    for level in (two, three):
+        for _, values, pointers, share, left, _ in level.shards.values():
+            assert not any(a.flags.owndata for a in (values.lows, values.highs, pointers.highs, share, left))
+    nodes = np.arange(0, model.n_words, 7)
+    words = (nodes * 13) % model.n_words
+    with_table = [x.copy() for x in two.lookup(nodes, words)]
+    monkeypatch.setattr(two, "fits", False)
+    assert all((a == b).all() for a, b in zip(two.lookup(nodes, words), with_table))
+    for n in nodes[:60].tolist():
+        found = two.successors(n)
+        at, share, left = two.lookup(np.full(model.n_words, n), np.arange(model.n_words))
+        assert np.flatnonzero(at >= 0).tolist() == found.tolist()
+    big = np.array([5, 1 << 40, 5, 1 << 40]), np.array([3, 9, 3, 8])
+    assert [x.tolist() for x in ngram_lm._counted(*big)] == [[5, 1 << 40, 1 << 40], [3, 8, 9], [2, 1, 1]]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
