@@ -139,16 +139,16 @@ def brute_mix(docs, plan):
     doms = {}
     for (d, *_), c in caps.items():
         doms[d] = doms.get(d, 0) + c
-    top = water_fill({d: (c, plan.domain_weights.get(d, 1)) for d, c in doms.items()}, sum(leaves.values()) * plan.budget_per_mille // 1000)
+    top = water_fill({d: (c, plan.domain_weights.get(d, plan.default)) for d, c in doms.items()}, sum(leaves.values()) * plan.budget_per_mille // 1000)
     out = Counter()
     for d in doms:
         langs = Counter()
         for k, c in caps.items():
             if k[0] == d:
                 langs[k[1]] += c
-        mid = water_fill({x: (c, plan.lang_weights.get(x, 1)) for x, c in langs.items()}, top[d])
+        mid = water_fill({x: (c, plan.lang_weights.get(x, plan.default)) for x, c in langs.items()}, top[d])
         for x in langs:
-            own = {k: (c, plan.source_weights.get(k[2], 1)) for k, c in caps.items() if k[:2] == (d, x)}
+            own = {k: (c, plan.source_weights.get(k[2], plan.default)) for k, c in caps.items() if k[:2] == (d, x)}
             low = water_fill({k[2]: v for k, v in own.items()}, mid[x])
             for k in own:
                 for epoch in range(plan.max_epochs):
@@ -319,6 +319,53 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.length for r in rows) == max(r.sequence_id * 2048 + r.offset + r.length for r in rows)
 
 
+def test_pipeline_stages_against_brute_force(spark, small, tokenizer, tmp_path):
+    """Every stage over all that the one before kept, held against plain versions."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from test_texts import brute_components, check_passages
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = small.where("doc_id < 260").select(*corpus_pipeline.COLUMNS)
+
+    def run(name, rows):
+        rows.write.parquet(str(tmp_path / name))
+        out = stages[name](spark, spark.read.schema(rows.schema).parquet(str(tmp_path / name)), "unused")
+        out.write.parquet(str(tmp_path / (name + "-out")))
+        return rows.collect(), spark.read.schema(out.schema).parquet(str(tmp_path / (name + "-out")))
+
+    before, now = run("language_id", docs)
+    assert {(r.doc_id, r.text) for r in now.collect()} == {(r.doc_id, r.text) for r in before if any(c.isalpha() for c in r.text or "")}
+    before, now = run("near_duplicates", now)
+    least = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in before])}
+    assert sorted(r.doc_id for r in now.collect()) == sorted(least) and len(least) < len(before)
+    before, now = run("repeated_passages", now)
+    after = {r.doc_id: r.text for r in now.collect()}
+    check_passages([(r.doc_id, r.text, after.get(r.doc_id, "")) for r in sorted(before, key=lambda r: r.doc_id)])
+    assert any(after.get(r.doc_id) != r.text for r in before)
+    before, now = run("source_mix", now)
+    mixed = Counter((key(r.doc_id), r.text) for r in now.collect())
+    want = Counter()
+    for (doc, text, _), n in brute_mix(spark.createDataFrame(before, now.schema), corpus_pipeline.MIX).items():
+        want[doc, text] += n
+    assert mixed == want and len(want) < len(before)
+    before, now = run("pack", now)
+    tok = Tokenizer.from_file(tokenizer)
+    length = Counter()
+    for r in before:
+        length[r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1] += 1
+    pieces = sorted(now.collect(), key=lambda r: (r.sequence_id, r.offset))
+    stream, whole, have = 0, Counter(), 0
+    for r in pieces:
+        assert r.sequence_id * 2048 + r.offset == stream and r.start == have and r.offset + r.length <= 2048
+        stream, have = stream + r.length, have + r.length
+        if have == r.doc_tokens:
+            whole[r.doc_id, have] += 1
+            have = 0
+    assert whole == length and have == 0
+
+
 def test_mix_sql(spark):
     import duckdb
 

@@ -24,32 +24,39 @@ def windows(raw, n):
     return [(a[0], b[1]) for a, b in zip(at, at[n - 1 :])]
 
 
-def test_chunk_dedup(small):
-    """Held against windows of words, without the operator's chunks: what goes is said
-    before, word for word; what shares nothing stays; no long passage is left twice."""
-    docs = small.where("doc_id < 400")
-    got = chunk_dedup.dedup_substrings(docs.withColumn("old", F.col("text"))).orderBy("doc_id").collect()
-    assert len(got) == docs.count() and any(r.removed_bytes for r in got) and any(not r.removed_bytes for r in got)
+def check_passages(rows, spans=None):
+    """(doc_id, old, new) in order: what goes is said before, word for word; what shares
+    nothing stays; no long passage is left twice.  By windows of words, not by the
+    operator's chunks."""
     before, left = b"", {}
     seen: set[bytes] = set()
-    for r in got:
-        raw, kept, last = (r.old or "").encode(), [], 0
-        for s in r.removed_spans:
-            kept.append(raw[last : s.start])
-            last = s.stop
-            gone = raw[s.start : s.stop]  # may begin or end inside a long word
-            said = [(a, b) for a, b in windows(gone, 16) if gone[a:b] in before or raw.find(gone[a:b]) < s.start + a]
+    for k, (doc, old, new) in enumerate(rows):
+        raw, kept, last = (old or "").encode(), [], 0
+        for start, stop in spans[k] if spans else ():
+            kept.append(raw[last:start])
+            last = stop
+            gone = raw[start:stop]  # may begin or end inside a long word
+            said = [(a, b) for a, b in windows(gone, 16) if gone[a:b] in before or raw.find(gone[a:b]) < start + a]
             for m in WORD.finditer(gone):
                 assert any(a <= m.start() and m.end() <= b for a, b in said) or gone in before
-        assert b"".join([*kept, raw[last:]]).decode() == (r.text or "")
+        if spans:
+            assert b"".join([*kept, raw[last:]]).decode() == (new or "")
         own = [b" ".join(WORD.findall(raw[a:b])) for a, b in windows(raw, 16)]
         if len(set(own)) == len(own) and not seen & set(own):
-            assert r.removed_bytes == 0
+            assert (new or "") == (old or "")
         seen |= set(own)
         before += b"\n" + raw
-        new = (r.text or "").encode()
-        for w in {b" ".join(WORD.findall(new[a:b])) for a, b in windows(new, 51)}:
-            assert left.setdefault(w, r.doc_id) == r.doc_id
+        text = (new or "").encode()
+        for w in {b" ".join(WORD.findall(text[a:b])) for a, b in windows(text, 51)}:
+            assert left.setdefault(w, doc) == doc
+
+
+def test_chunk_dedup(small):
+    docs = small.where("doc_id < 400")
+    got = chunk_dedup.dedup_substrings(docs.withColumn("old", F.col("text"))).orderBy("doc_id").collect()
+    assert len(got) == docs.count() and any(r.removed_bytes for r in got) and any(not r.removed_bytes for r in got)
+    check_passages([(r.doc_id, r.old, r.text) for r in got], [[(s.start, s.stop) for s in r.removed_spans] for r in got])
+    assert all(r.removed_bytes == sum(s.stop - s.start for s in r.removed_spans) for r in got)
 
 
 def test_chunk_dedup_odd(odd):
