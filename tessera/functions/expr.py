@@ -682,8 +682,7 @@ def unsafe_promise_clamped(e: Expr, lo, hi) -> Expr:
 
 def promise_clamped(e: Expr, lo, hi) -> Expr:
     """As ``unsafe_promise_clamped``, but checked at each point."""
-    message = F.lit("a promise was broken")
-    return node(e.type, lambda x, a, b: F.when((x >= a) & (x <= b), x).otherwise(F.raise_error(message).cast(e.type.spark)), e, cast(e.type, lo), cast(e.type, hi), tag="promise")
+    return node(e.type, lambda x, a, b: F.when((x >= a) & (x <= b), x).otherwise(F.raise_error(F.lit("a promise was broken")).cast(e.type.spark)), e, cast(e.type, lo), cast(e.type, hi), tag="promise")
 
 
 def print_(e: Expr, *_) -> Expr:

@@ -290,3 +290,14 @@ def test_moving_blocks(spark):
 def test_array_table_errors(spark):
     with pytest.raises(ValueError):
         ArrayTable(spark.range(3), ("x",))
+
+
+def test_the_entry_is_imported_without_a_session():
+    """In a process of its own: no query may need Spark before it runs."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 150"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
