@@ -39,7 +39,9 @@ DISCOUNT = 0.75
 #: 8-bit code q stands for 10 ** -(q / steps); 255 for nothing.  A level has STEPS steps a
 #: decade, or as many as its smallest share leaves.
 STEPS = 40.0
-SHARD_ENTRIES = 1_000_000
+SHARD_ENTRIES = 500_000
+#: Different n-grams that a task counts before it hands them on.
+PAIRS_HELD = 1_000_000
 _BLOB = struct_of("blob binary")
 #: Slots of each level's table of latest searches.
 _SLOTS, _MIX = 1 << 20, 0x9E3779B97F4A7C15 - (1 << 64)
@@ -387,7 +389,7 @@ def _ngrams(train: DataFrame, model: Model, k: int, min_count: int) -> DataFrame
 
     def run(batches):
         levels, held, size = opened(model), [], 0
-        for _, texts in text_slices(batches, 4 << 20):
+        for _, texts in text_slices(batches, 2 << 20):
             tokens, starts, _ = _sequence(texts)
             ids, counts = levels[0].lookup(tokens)
             first = np.zeros(len(ids), dtype=bool)
@@ -401,7 +403,7 @@ def _ngrams(train: DataFrame, model: Model, k: int, min_count: int) -> DataFrame
             if len(at):
                 held.append(_counted(nodes[k - 2][at - 1], ids[at]))
                 size += len(held[-1][0])
-            if size > 3_000_000:
+            if size > PAIRS_HELD:
                 yield merged(held)
                 held, size = [], 0
         if held:
@@ -496,7 +498,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = arrow_schema(out)
 
     def run(batches):
-        for rows, texts in text_slices(batches, 4 << 20):
+        for rows, texts in text_slices(batches, 2 << 20):
             if texts:
                 yield batch(schema, [*[rows.column(i) for i in range(len(keep))], *[pa.array(x) for x in score_texts(model, texts)]])
 
