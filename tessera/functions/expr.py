@@ -27,6 +27,7 @@ class Expr:
         self.value = leaf.get("value")  # a constant's
         self.call = leaf.get("call")  # (array, element)
         self.tag = leaf.get("tag")  # what the node is, for rewrites: add, mul, max, ...
+        self.quick = leaf.get("quick")  # a cheaper function that gives null where it would be wrong
 
     def column(self, bind: Callable[["Expr"], Column | None] | None = None) -> Column:
         """The Spark column; ``bind`` may give columns for leaves."""
@@ -41,8 +42,23 @@ class Expr:
             return F.col(f"`{self.name}`")
         if self.call is not None:
             raise ValueError("an array call has to be bound to a table")
+        if self.quick is not None:
+            quick, exact = self._both(bind)
+            return F.coalesce(quick, exact)
         return self.build(*[a.column(bind) for a in self.args])
 
+    def _both(self, bind) -> tuple[Column, Column]:
+        """The quick and the exact column.  Nodes below that have both stay apart, so a chain
+        is built twice and not twice a step; null goes through all of them."""
+        pairs = []
+        for a in self.args:
+            if a.quick is not None and (bind is None or bind(a) is None):
+                pairs.append(a._both(bind))
+            else:
+                c = a.column(bind)
+                pairs.append((c, c))
+        return self.quick(*[q for q, _ in pairs]), self.build(*[x for _, x in pairs])
+
     def rebuild(self, f: Callable[["Expr"], "Expr | None"]) -> "Expr":
         """A copy with the nodes that ``f`` maps replaced, outermost first."""
         new = f(self)
@@ -50,7 +66,7 @@ class Expr:
             return new
         if not self.args:
             return self
-        out = Expr(self.type, tuple(a.rebuild(f) for a in self.args), self.build, name=self.name, value=self.value, call=self.call, tag=self.tag)
+        out = Expr(self.type, tuple(a.rebuild(f) for a in self.args), self.build, name=self.name, value=self.value, call=self.call, tag=self.tag, quick=self.quick)
         return out
 
     def nodes(self):
@@ -236,10 +252,17 @@ def arith(kind: str, a, b) -> Expr:
         ops = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y}
         if t.bits == 32 and t.is_uint and kind == "mul":
             return node(t, mul_u32, a, b, tag=kind)
+        if t.bits == 64 and t.is_int:  # decimals only where a sum leaves 64 bits
+            out = node(t, lambda x, y: wrap(ops[kind](_wide(x, t), _wide(y, t)), t), a, b, tag=kind)
+            out.quick = {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply}[kind]
+            return out
         return node(t, lambda x, y: wrap(ops[kind](_wide(x, t), _wide(y, t)), t), a, b, tag=kind)
     if t.bits == 64 and t.is_uint:
         raise TypeError("uint64 division is not supported")
     ops = {"div": euclid_div, "mod": euclid_mod}
+    if t.bits == 64:  # within 64 bits: the least number by -1 stays itself
+        over = lambda x, y: (x == F.lit(t.min)) & (y == -1)
+        return node(t, lambda x, y: F.when(over(x, y), x if kind == "div" else F.lit(0).cast("bigint")).otherwise(ops[kind](x, y)), a, b, tag=kind)
     return node(t, lambda x, y: wrap(ops[kind](x.cast("bigint"), y.cast("bigint")), t), a, b, tag=kind)
 
 
