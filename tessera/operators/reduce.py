@@ -173,7 +173,8 @@ def long_scan(df: DataFrame, order: str, value: Column, block: int, out: str = "
     sums = b.groupBy("_b").agg(F.sum("_x").alias("_s"))
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is not None and (hi - lo) // block >= most_blocks:
-        base = long_scan(sums, "_b", F.col("_s"), block, "_base", most_blocks).select("_b", (F.col("_base") - F.col("_s")).alias("_base"))
+        below = long_scan(sums.select(F.col("_b").alias("_o"), F.col("_s").alias("_own")), "_o", F.col("_own"), block, "_sum", most_blocks)
+        base = below.select(F.col("_o").alias("_b"), (F.col("_sum") - F.col("_own")).alias("_base"))
     else:
         base = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
