@@ -213,14 +213,14 @@ def scatter(init: DataFrame, updates: DataFrame, keys: list[str], value: str, or
     return init.join(last, keys, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
-def affine_scan(df: DataFrame, keys: list[str], order: str, value: Column, factor: Column, block: int = 1024, reverse: bool = False, out: str = "v") -> DataFrame:
+def affine_scan(df: DataFrame, keys: list[str], order: str, value: Column, factor: Column, block: int = 512, reverse: bool = False, out: str = "v") -> DataFrame:
     """Linear recurrence acc = factor * acc + value along a whole-number ``order``, from 0,
     within each group: keys, order, out as doubles.
 
-    A block of 1,024 places is one map of the value before it, acc -> m * acc + s; blocks
-    are scanned like that inside, then their maps one after another (a small fold a
-    group), and each row adds what its block began with.  Long series so take several
-    tasks, and none holds more of one than its blocks' maps."""
+    A block of ``block`` places is one map of the value before it, acc -> m * acc + s.
+    Blocks are scanned inside, each in a task of its own; then each one folds the maps of
+    those before it, which is all that one task sees of a series, and every row adds what
+    its block began with."""
     sign = -1 if reverse else 1
     rows = df.select(*keys, order, value.cast("double").alias("_x"), factor.cast("double").alias("_f"), F.floor(F.col(order) * sign / block).alias("_b"))
     steps = F.array_sort(F.collect_list(F.struct((F.col(order) * sign).alias("o"), F.col("_x").alias("x"), F.col("_f").alias("f"))))
@@ -233,15 +233,10 @@ def affine_scan(df: DataFrame, keys: list[str], order: str, value: Column, facto
 
     inside = inside.withColumn("_r", F.aggregate("_i", start, one))
     inside = inside.select(*keys, "_b", "_i", F.col("_r.m").alias("_m"), F.col("_r.s").alias("_s"), F.col("_r.all").alias("_all"))
-    maps = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_m").alias("m"), F.col("_s").alias("s")))).alias("_l"))
-    begin = F.expr("named_struct('a', 0D, 'all', cast(array() as array<double>))")
-
-    def across(acc: Column, it: Column) -> Column:
-        return F.struct((it["m"] * acc["a"] + it["s"]).alias("a"), F.concat(acc["all"], F.array(acc["a"])).alias("all"))
-
-    bases = maps.withColumn("_a", F.aggregate("_l", begin, across, lambda acc: acc["all"]))
-    bases = bases.select(*keys, F.inline(F.arrays_zip(F.transform("_l", lambda t: t["b"]).alias("_b"), F.col("_a").alias("_base"))))
-    done = inside.join(bases, [*keys, "_b"])
+    # one pass over the blocks in order: each takes the maps of those before it
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    done = inside.withColumn("_before", F.collect_list(F.struct(F.col("_m").alias("m"), F.col("_s").alias("s"))).over(ahead))
+    done = done.withColumn("_base", F.aggregate("_before", F.lit(0.0), lambda acc, it: it["m"] * acc + it["s"]))
     pairs = F.zip_with("_i", "_all", lambda i, r: F.struct((i["o"] * sign).alias(order), r["m"].alias("m"), r["s"].alias("s")))
     return done.select(*keys, "_base", F.inline(pairs)).select(*keys, order, (F.col("m") * F.col("_base") + F.col("s")).alias(out))
 
