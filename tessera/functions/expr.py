@@ -44,20 +44,26 @@ class Expr:
             raise ValueError("an array call has to be bound to a table")
         if self.quick is not None:
             quick, exact = self._both(bind)
-            return F.coalesce(quick, exact)
+            return F.coalesce(quick, wrap(exact, self.type))
         return self.build(*[a.column(bind) for a in self.args])
 
     def _both(self, bind) -> tuple[Column, Column]:
-        """The quick and the exact column.  Nodes below that have both stay apart, so a chain
-        is built twice and not twice a step; null goes through all of them."""
-        pairs = []
+        """The quick column, and the exact value as a decimal that is still to be wrapped.
+        Nodes below that have both stay apart, so a chain is built twice and not twice a
+        step; null goes through all of them.  Decimals hold any sum, and one product of
+        wrapped factors."""
+        quick, exact = [], []
         for a in self.args:
             if a.quick is not None and (bind is None or bind(a) is None):
-                pairs.append(a._both(bind))
+                q, x = a._both(bind)
+                if "mul" in (self.tag, a.tag):
+                    x = wrap(x, a.type).cast("decimal(38,0)")
             else:
-                c = a.column(bind)
-                pairs.append((c, c))
-        return self.quick(*[q for q, _ in pairs]), self.build(*[x for _, x in pairs])
+                q = a.column(bind)
+                x = q.cast("decimal(38,0)")
+            quick.append(q)
+            exact.append(x)
+        return self.quick(*quick), {"add": Column.__add__, "sub": Column.__sub__, "mul": Column.__mul__}[self.tag](*exact)
 
     def rebuild(self, f: Callable[["Expr"], "Expr | None"]) -> "Expr":
         """A copy with the nodes that ``f`` maps replaced, outermost first."""
