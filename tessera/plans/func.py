@@ -149,6 +149,7 @@ class Func:
         self.root = self.frozen = self.kept = False
         self.required: list[tuple[Expr, str]] = []
         self.special: list[Expr] = []
+        self.passes: list = []
         self.bounds: dict[str, tuple] = {}
         self.by: tuple[str, ...] = ()
         self.made: dict = {}
@@ -343,6 +344,12 @@ class Func:
         out.df.write.mode("overwrite").parquet(path)
         return out
 
+    def add_custom_lowering_pass(self, rewrite) -> "Func":
+        """``rewrite`` maps every expression to one of its type before it becomes columns, in
+        a request for this function; passes run in the order in which they were added."""
+        self.passes.append(rewrite)
+        return self
+
     def add_requirement(self, cond: Expr, message: str = "requirement failed") -> None:
         """Checked at each point."""
         self.required.append((cond, message))
@@ -354,7 +361,7 @@ class Func:
             low, extent = self.bounds.get(a, (None, None))
             if extent is not None and (n.extent != extent or low is not None and n.min != low):
                 raise IndexError(f"{a} is bound to {extent} places" + (f" from {low} on" if low is not None else ""))
-        return _Lowering(spark).array(self, r)
+        return _Lowering(spark, tuple(self.passes)).array(self, r)
 
     def infer_input_regions(self, region) -> dict["Image", Box]:
         """The box that each input has to supply."""
@@ -472,8 +479,8 @@ class _Lowering:
     """One realization.  A table that several consumers read over one region is one plan,
     whose exchanges Spark runs once."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, passes: tuple = ()):
+        self.spark, self.passes = spark, passes
         self.made: dict[tuple, ArrayTable] = {}
 
     def array(self, f: Func | Image, need: Box) -> ArrayTable:
@@ -535,10 +542,18 @@ class _Lowering:
 
         return e.rebuild(step)
 
+    def rewritten(self, e: Expr) -> Expr:
+        for rewrite in self.passes:
+            new = rewrite(e)
+            if new.type != e.type:
+                raise TypeError("a pass keeps types")
+            e = new
+        return e
+
     def points(self, df: DataFrame, env: dict[str, Range], exprs: list[Expr], own: tuple | None = None) -> tuple[DataFrame, list[Column]]:
         """The points' table with columns for all calls in ``exprs``, and the expressions'
         columns over it.  ``own`` is (func, table): calls of a function under update."""
-        exprs = [self.inlined(e) for e in exprs]
+        exprs = [self.rewritten(self.inlined(e)) for e in exprs]
         bound: dict[int, Column] = {}
         sites: list[tuple[Expr, str]] = []
 

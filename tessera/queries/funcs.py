@@ -358,3 +358,12 @@ def func_gather(spark, d):
     img, f = _image(spark, d), Func("ga")
     f[x, y] = img[E.i32(img[x, y] % 100), y]
     return f.realize(_size(img), spark).df
+
+
+@query("func_custom_pass", f"WITH {IMG} SELECT x, y, v * 8 + 1 AS v FROM img")
+def func_custom_pass(spark, d):
+    """A pass over the tree that writes shifts for a product."""
+    img, f = _image(spark, d), Func("cp")
+    f[x, y] = img[x, y] * 8 + 1
+    f.add_custom_lowering_pass(lambda e: e.rebuild(lambda n: n.args[0] << 3 if n.tag == "mul" and n.args[1].value == 8 else None))
+    return f.realize(_size(img), spark).df

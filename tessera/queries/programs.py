@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.types import F64
 from ..operators import pixels, vision
-from ..plans.autodiff import gradients, scatter_adjoint
+from ..plans.autodiff import gradients, propagate_adjoints, scatter_adjoint
+from ..plans.func import Func, Image, RDom, Var
+from ..plans.region import box
+from ..operators.table import ArrayTable
 from ..sources import grids
 from .arrays import EMB, IMG, _near
 from ..operators.stencil import BINOMIAL5, square
@@ -124,3 +127,35 @@ def gradient(spark, d):
 def gradient_gather(spark, d):
     reads = grids.image(spark, d).df.select(F.col("v").cast("int").alias("place"), (2.0 * F.col("x")).alias("adj"))
     return scatter_adjoint(reads, ["place"], "adj")
+
+
+@query("adjoint_blur", f"""WITH {IMG}, h AS (SELECT max(y) + 1 AS h FROM img), o AS (SELECT x, y, (2e0 * a.v + 3e0 * b.v * b.v) AS f, a.v AS va, b.v AS vb FROM img a JOIN (SELECT x - 1 AS x, y, v FROM img) b USING (x, y)),
+s AS (SELECT x, y, 2e0 * (x + 1) AS g FROM o UNION ALL SELECT x + 1, y, 6e0 * vb * (x + 1) FROM o) SELECT CAST(x AS INT) AS x, y, round(sum(g), 4) AS v FROM s GROUP BY 1, 2""")
+def adjoint_blur(spark, d):
+    """Of 2 a + 3 b^2 over neighbours a and b, a stage of its own, weighted by x + 1 and
+    summed along rows by an update: what each input point adds to the total."""
+    a = grids.image(spark, d, region=True)
+    img = Image(a._with(a.df.withColumn("v", F.col("v").cast("double")), types=(F64,)), 2, F64)
+    x, y, w, h = Var("x"), Var("y"), a.width, a.height
+    mixed, total, r = Func("mixed"), Func("total"), RDom([(0, w - 1)])
+    mixed[x, y] = img[x, y] * 2.0 + img[x + 1, y] * img[x + 1, y] * 3.0
+    mixed.compute_root()
+    total[y] = E.const(0.0, F64)
+    total[y] += mixed[r.x, y] * E.cast(F64, r.x + 1)
+    ones = spark.range(h).select(F.col("id").cast("int").alias("y"), F.lit(1.0).alias("v"))
+    found = propagate_adjoints(total, ArrayTable(ones, ("y",), ("v",), (F64,), box(h)), spark)
+    return found[img].df.select("x", "y", F.round("v", 4).alias("v"))
+
+
+@query("adjoint_lookup", f"WITH {IMG}, t AS (SELECT v // 16 AS k, count(*) AS n, sum(x) AS s FROM img GROUP BY 1) SELECT CAST(k AS INT) AS k, round(2e0 * (k / 4e0) * s, 5) AS v FROM t")
+def adjoint_lookup(spark, d):
+    """Of the square of a table read at a computed place: sums over all its readers."""
+    a = grids.image(spark, d, region=True)
+    img = Image(a, 2)
+    lut = Image(ArrayTable(spark.range(16).select(F.col("id").cast("int").alias("k"), (F.col("id") / 4.0).alias("v")), ("k",), ("v",), (F64,), box(16)), 1, F64)
+    x, y, f = Var("x"), Var("y"), Func("read")
+    e = lut[E.clamp(E.i32(img[x, y] / 16), 0, 15)]
+    f[x, y] = e * e
+    weight = a.df.select("x", "y", F.col("x").cast("double").alias("v"))
+    found = propagate_adjoints(f, ArrayTable(weight, ("x", "y"), ("v",), (F64,), a.region), spark)
+    return found[lut].df.select("k", F.round("v", 5).alias("v"))

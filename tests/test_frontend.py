@@ -259,3 +259,16 @@ def test_in_place_steps_with_predicates(spark):
         if i % 3 != 1:
             want = want * 2 - i
     assert set(values(f.realize([3], spark)).values()) == {want}
+
+
+def test_custom_passes(spark):
+    """A rewrite of the tree: every 7 becomes 8."""
+    f = Func()
+    f[x] = x * 7 + 1
+    f.add_custom_lowering_pass(lambda e: e.rebuild(lambda n: E.const(8, n.type) if n.value == 7 else None))
+    assert values(f.realize([3], spark)) == {(i,): 8 * i + 1 for i in range(3)}
+    g = Func()
+    g[x] = x
+    g.add_custom_lowering_pass(lambda e: E.cast(F64, e))
+    with pytest.raises(TypeError):
+        g.realize([3], spark)
