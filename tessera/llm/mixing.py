@@ -109,11 +109,16 @@ def _keyed(docs: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def _places(keyed: DataFrame, plan: MixPlan) -> DataFrame:
+def _light(keyed: DataFrame) -> DataFrame:
+    """Per document: leaf, tokens, id and text hash, without the text."""
+    return keyed.select(*_LEAF, "mix_tokens", F.col("doc_id").cast("bigint").alias("mix_id"), F.xxhash64(F.col("text").cast("string")).alias("mix_tie"))
+
+
+def _places(light: DataFrame, plan: MixPlan) -> DataFrame:
     """Per document and epoch: leaf, tokens, and the order key, id and text hash that
     order them."""
     epochs = F.explode(F.array(*[F.lit(e) for e in range(plan.max_epochs)])).alias("mix_epoch")
-    light = keyed.select(*_LEAF, "mix_tokens", F.col("doc_id").cast("bigint").alias("mix_id"), F.xxhash64(F.col("text").cast("string")).alias("mix_tie"), epochs)
+    light = light.select("*", epochs)
     light = light.withColumn("mix_key", order_key(F.col("mix_id"), plan.seed, F.col("mix_epoch")))
     return light.withColumn("mix_range", F.shiftright("mix_key", _KEY_BITS - RANGES.bit_length() + 1)).withColumn("mix_id", F.coalesce("mix_id", F.lit(-(1 << 63))))
 
@@ -122,9 +127,10 @@ def cuts(docs: DataFrame, plan: MixPlan, tokens: Column) -> DataFrame:
     """For each leaf and epoch that gets anything, the last place selected: mix_last
     (key, id, tie), null where the whole epoch is.
 
-    Sums of the leaves' hash ranges place every range; only the range where a budget
-    ends is ordered row by row."""
-    places = _places(_keyed(docs, tokens), plan)
+    Texts are read once for it: their token counts are written without them.  Sums of the
+    leaves' hash ranges place every range; only the range where a budget ends is ordered
+    row by row."""
+    places = _places(persist(_light(_keyed(docs, tokens)), "mix-tokens"), plan)
     group = [*_LEAF, "mix_epoch"]
     ranges = persist(places.groupBy(*group, "mix_range").agg(F.sum("mix_tokens").alias("s")), "mix-ranges")
     named = [F.col(c).alias(c[4:]) for c in _LEAF]
@@ -152,8 +158,8 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), tokens: Column | None = None
     text are selected together; extra columns pass through, but those whose names
     begin with ``mix_`` are replaced; an empty table stays empty.
 
-    Texts are not shuffled: documents meet a table of one row a leaf and epoch, which
-    Spark broadcasts only while its files are below its threshold.
+    Texts, however long, are not shuffled: documents meet a table of one row a leaf and
+    epoch, which Spark broadcasts only while its files are below its threshold.
     """
     tokens = n_tokens_of(F.col("text").cast("string")) if tokens is None else tokens
     own = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])

@@ -491,7 +491,8 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     in training), base_score (unigrams) and score (the model), both log10, of each text.
 
     Null and empty texts are the end alone; repeated rows give repeated rows; an empty
-    table gives none; other columns are ignored."""
+    table gives none; other columns are ignored; a very long text is scored whole, in a
+    slice of its own."""
     keep = tuple(c for c in keep if c not in _SCORE.names)  # the results replace them
     out = T.StructType(docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields + _SCORE.fields)
     frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))

@@ -50,7 +50,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1,
     ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, the piece's ids
     as little-endian integers of the tokenizer's width.  Null and empty texts are
     documents of the end id alone; repeated rows are packed as often as they come;
-    an empty table gives no pieces; extra columns are ignored.
+    an empty table gives no pieces; extra columns are ignored; a very long text is one
+    row of ids, cut into as many pieces as it fills windows.
     """
     table = persist(encode_documents(docs, tokenizer, end_id), "packing-ids")
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))

@@ -212,7 +212,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Null texts count as empty and fail for their length; a null language means the
     reference of all; a histogram too small to judge has distance null and does not
     fail; repeated rows are judged each; an empty table gives no rows; extra columns
-    are ignored.
+    are ignored; a very long text is one row's array of words.
     """
     chars, words, more = _references(docs, limits)
     known = [k for k in words if k != ALL]

@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, seed: int =
     Null, empty and blank texts have fingerprint zero and link like any other;
     repeated rows share a fingerprint; a null doc_id never names a component unless
     all its members' ids are null, which then have a null component_id; an empty
-    table gives no rows; extra columns are ignored.
+    table gives no rows; extra columns are ignored; a very long text is hashed whole, its
+    bits counted 16,384 shingles at a time.
     """
     return _labelled(docs, width, most, seed)[1]
 
