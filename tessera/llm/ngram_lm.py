@@ -40,6 +40,8 @@ DISCOUNT = 0.75
 #: decade, or as many as its smallest share leaves.
 STEPS = 40.0
 SHARD_ENTRIES = 500_000
+#: Words whose numbers a process remembers.
+MOST_CACHED = 250_000
 #: Different n-grams that a task counts before it hands them on.
 PAIRS_HELD = 1_000_000
 _BLOB = struct_of("blob binary")
@@ -145,17 +147,15 @@ class Vocabulary:
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts."""
-        cache, seen = self.cache, Counter(words)
-        fresh = [w for w in seen if w not in cache]
+        cache = self.cache
+        fresh = list(set(words).difference(cache))
+        if len(cache) + len(fresh) > MOST_CACHED and cache:  # frequent words come back soon
+            cache.clear()
+            fresh = list(set(words))
         if fresh:
             ids = self._find(np.fromiter(map(hash_of, fresh), dtype=np.uint64, count=len(fresh)))
             cache.update(zip(fresh, ids.tolist()))
         ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
-        for w in fresh:  # only words that come again in the same batch are worth keeping
-            if seen[w] == 1:
-                del cache[w]
-        if len(cache) > 400_000:
-            cache.clear()
         return ids, self.counts_of(ids)
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
