@@ -31,6 +31,32 @@ def test_word_encoder_equals_whole_texts(tokenizer, ids_of, small):
         assert enc.encode(t).tolist() == got.tolist()
 
 
+def test_words_are_spelled_by_their_parts(tokenizer, ids_of):
+    """The model meets a word once, whatever signs and capitals stand around and in it."""
+    enc = WordEncoder(tokenizer)
+    met: list[str] = []
+    spell = enc._parts
+    enc._parts = lambda parts: met.extend(parts) or spell(parts)
+    words = ["quandrolisch", "Überèé", "naïf"]
+    signs = ["", ",", ".", "'s", "!'", "''ll", "***", "~", "12,5", "$$$"]
+    texts = [f"{b}{w}{a} {w.upper()}{a}{w}" for w in words for a in signs for b in signs]
+    for _ in range(2):
+        for t, got in zip(texts, enc.encode_batch(texts)):
+            assert got.tolist() == ids_of(t)
+    assert len(met) == len(set(met)) < 60 < len({w for t in texts for w in t.split(" ")})
+
+
+def test_words_of_any_characters(tokenizer, ids_of):
+    """Every character in, before and after a word, those that are not plain too."""
+    enc = WordEncoder(tokenizer, limit=300)
+    codes = [*range(1, 0x300), 0x307, 0x301, 0x345, 0x3A3, 0x1E9E, 0x2C65, 0x2028, 0x3000, 0xFB01, 0x1F600]
+    texts = [f"a{chr(c)}b, {chr(c)} {chr(c)}Z' x{chr(c)}. \u0130{chr(c)}e\u0301{chr(c)}'{chr(c)}s" for c in codes]
+    texts += ["<|endoftext|>,a", "a<|startoftext|>b.", "< |>", "", None, " ", "\n\n", "a  b", " a ", "it's 'S I'LL 'lll", "7\x1c8\x858\xa0"]
+    for t, got in zip(texts, enc.encode_batch(texts)):
+        assert got.tolist() == ids_of(t), t
+    assert enc.encode_batch([]) == [] and [x.tolist() for x in enc.encode_batch([None])] == [[]]
+
+
 @pytest.mark.parametrize("table", ["odd", "small"])
 def test_packing(table, request, tokenizer, ids_of):
     docs = request.getfixturevalue(table)
