@@ -19,6 +19,8 @@ _OPEN: dict[str, "WordEncoder"] = {}
 
 #: Stands between words that are encoded together; words whose ids hold its id too are encoded alone.
 _BETWEEN, _TOGETHER = "~", 128
+#: Different words whose parts are held together.
+_AT_ONCE = 1 << 15
 
 #: The normalizer and the split that ``_PART`` repeats for words of printable ASCII and Latin
 #: letters, none of which composes with another or has a lower case elsewhere or of several
@@ -43,7 +45,7 @@ class WordEncoder:
     which are far fewer and are kept in the same bounds; batches then need no other cache.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, max_piece: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, max_piece: int = 48):
         quiet_env()
         from tokenizers import Tokenizer
 
@@ -209,12 +211,17 @@ class WordEncoder:
         column = pa.array([t or "" for t in texts], pa.large_string())
         pieces = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         words = pieces.flatten().dictionary_encode()
-        names, size = words.dictionary.to_pylist(), self.dtype.itemsize
-        ids, ends, rest = self._spelled(names)
-        place = np.arange(len(names))
-        place[rest] = len(names) + np.arange(len(rest))
-        spelled = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer((ends * size).astype("<i8")), pa.py_buffer(ids)])
-        table = pa.concat_arrays([spelled, pa.array(self._marked([names[i] for i in rest]), pa.large_binary())])
+        size = self.dtype.itemsize
+        tables, place = [], np.arange(len(words.dictionary))
+        for at in range(0, len(place), _AT_ONCE):
+            names = words.dictionary[at : at + _AT_ONCE].to_pylist()
+            ids, ends, rest = self._spelled(names)
+            place[at : at + _AT_ONCE] += sum(map(len, tables)) - at
+            tables.append(pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer((ends * size).astype("<i8")), pa.py_buffer(ids)]))
+            if rest:
+                place[at + np.array(rest)] = sum(map(len, tables)) + np.arange(len(rest))
+                tables.append(pa.array(self._marked([names[i] for i in rest]), pa.large_binary()))
+        table = pa.concat_arrays(tables)
         found = table.take(pa.array(place[np.asarray(words.indices)]))
         places = np.frombuffer(found.buffers()[1], dtype="<i8", count=len(found) + 1)[np.asarray(pieces.offsets)] // size
         flat = np.frombuffer(found.buffers()[2] or b"", dtype=self.dtype, count=int(places[-1]))
