@@ -185,14 +185,18 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (0 to 1) of each whole text.
 
     ``und`` with score 0 for a null text, one without letters, or a model without
-    languages.  Repeated rows give repeated rows; an empty table gives none."""
+    languages.  Repeated rows give repeated rows; an empty table gives none.  Texts that
+    are kept go to Python once, and come back in small batches."""
     keep = tuple(c for c in keep if c not in ("lang_pred", "score"))  # the results replace them
-    out = T.StructType(docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields + struct_of(_PRED).fields)
-    frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields
+    out = T.StructType(fields + struct_of(_PRED).fields)
+    own = [c == "text" and isinstance(f.dataType, T.StringType) for c, f in zip(keep, fields)]
+    columns = [F.col(f"`{c}`").alias("text" if read else f"c{i}") for i, (c, read) in enumerate(zip(keep, own))]
+    frame = docs.select(*columns, *([] if any(own) else [F.col("text").cast("string").alias("text")]))
     schema = arrow_schema(out)
 
     def run(batches):
-        for rows, texts in text_slices(batches):
+        for rows, texts in text_slices(batches, 2 << 20):
             found = [("und", 0.0) if (x := features(t)) is None else model.predict(x) for t in texts]
             yield batch(schema, [*[rows.column(i) for i in range(len(keep))], [f[0] for f in found], [f[1] for f in found]])
 

@@ -210,6 +210,19 @@ def plain_features(text):
     return [v / norm for v in logs]
 
 
+def test_language_id_keeps_texts_once(small):
+    """A kept text is what is read; one of another type is kept as it is and read as a string."""
+    model = langid.fit(small.select("text", "lang"))
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(small, model, "doc_id").collect()}
+    own = {r.doc_id: r.text for r in small.collect()}
+    for docs, n in ((small, 3), (small.withColumn("text", F.col("text").cast("binary")), 4)):
+        found = langid.predict(docs, model, "lang", "text", "doc_id")
+        assert found.columns == ["lang", "text", "doc_id", "lang_pred", "score"] and found.schema["text"] == docs.schema["text"]
+        assert found._jdf.queryExecution().analyzed().children().head().output().size() == n
+        got = found.select("doc_id", F.col("text").cast("string").alias("text"), "lang_pred", "score").collect()
+        assert {r.doc_id: r.text for r in got} == own and {r.doc_id: (r.lang_pred, r.score) for r in got} == want
+
+
 def test_language_id_against_a_plain_vote(small):
     """The sample, the features and the vote, made again without the operator's."""
     train = small.where("doc_id % 3 = 0")
