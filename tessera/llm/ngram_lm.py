@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import mmap
 import struct
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +44,8 @@ SHARD_ENTRIES = 500_000
 MOST_CACHED = 250_000
 #: Different n-grams that a task counts before it hands them on.
 PAIRS_HELD = 1_000_000
+#: Bytes of text that a task looks up together.
+SLICE = 3 << 20
 _BLOB = struct_of("blob binary")
 #: Slots of each level's table of latest searches.
 _SLOTS, _MIX = 1 << 20, 0x9E3779B97F4A7C15 - (1 << 64)
@@ -59,6 +61,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _split(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' words as ``words_of`` gives them, one text after another, and how many
+    each has; different words are told apart in Arrow, and Python meets each once."""
+    column = pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string()))
+    pieces = pc.ascii_split_whitespace(column)
+    words = pieces.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty word
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return words.filter(some).cast(pa.large_binary()).dictionary_encode(), np.diff(before[np.asarray(pieces.offsets)])
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def _steps(most: int) -> float:
     """Steps a decade of a level whose contexts are counted at most ``most`` times: code
     254 reaches DISCOUNT / most, below which no share and no rest lies."""
@@ -153,7 +170,10 @@ class Vocabulary:
             cache.clear()
             fresh = list(set(words))
         if fresh:
-            ids = self._find(np.fromiter(map(hash_of, fresh), dtype=np.uint64, count=len(fresh)))
+            hashes = _hashes(fresh)
+            order = np.argsort(hashes)  # what lies together is read together
+            ids = np.empty(len(fresh), dtype=np.int64)
+            ids[order] = self._find(hashes[order])
             cache.update(zip(fresh, ids.tolist()))
         ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
         return ids, self.counts_of(ids)
@@ -223,10 +243,14 @@ class Level:
             slot = ((keys * np.int64(_MIX)) >> 44) & (_SLOTS - 1)
             at, codes = self.at[slot], self.codes[:, slot]
             miss = np.flatnonzero(self.keys[slot] != keys)
-            got = self._search(n[miss], w[miss])
-            at[miss], codes[0, miss], codes[1, miss] = got
+            # each search once, in the files' order
+            miss = miss[np.argsort(keys[miss])]
+            new = np.concatenate((np.ones(min(1, len(miss)), dtype=bool), np.diff(keys[miss]) != 0))
+            first, same = miss[new], np.cumsum(new) - 1
+            got = self._search(n[first], w[first])
+            at[miss], codes[0, miss], codes[1, miss] = (x[same] for x in got)
             # of two in one slot the later stays, in all arrays
-            self.keys[slot[miss]], self.at[slot[miss]], self.codes[0, slot[miss]], self.codes[1, slot[miss]] = keys[miss], *got
+            self.keys[slot[first]], self.at[slot[first]], self.codes[0, slot[first]], self.codes[1, slot[first]] = keys[first], *got
         else:
             at, *codes = self._search(n, w)
         node[rows], share[rows], left[rows] = at, self.value[codes[0]], self.value[codes[1]]
@@ -279,21 +303,26 @@ def _unigrams(train: DataFrame) -> DataFrame:
     out = struct_of("h bigint, c bigint")
     schema = arrow_schema(out)
 
-    def run(batches):
-        held: Counter = Counter()
-
-        def rows():
-            h = np.fromiter(map(hash_of, held), dtype=np.uint64, count=len(held)).view(np.int64)
-            return batch(schema, [h, np.fromiter(held.values(), dtype=np.int64, count=len(held))])
+    def merged(held):
+        h, c = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h = h[order]
+        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return batch(schema, [h[new].view(np.int64), np.add.reduceat(c[order], new)])
 
-        for _, texts in text_slices(batches):
-            for t in texts:
-                held.update(words_of(t))
-            held[END] += len(texts)
-            if len(held) > 400_000:
-                yield rows()
-                held = Counter()
-        yield rows()
+    def run(batches):
+        held, size = [], 0
+        for _, texts in text_slices(batches, SLICE):
+            words, _ = _split(texts)
+            names = [*words.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
+            counts = np.append(np.bincount(np.asarray(words.indices), minlength=len(names) - 1), len(texts))
+            held.append((_hashes(names), counts.astype(np.int64)))
+            size += len(names)
+            if size > PAIRS_HELD:
+                yield merged(held)
+                held, size = [], 0
+        if held:
+            yield merged(held)
 
     return train.mapInArrow(run, out).groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -347,18 +376,19 @@ def _nodes(levels: list, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]
     return out
 
 
-def _sequence(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All texts' tokens with END before and after each; where each starts; lengths."""
-    tokens: list[bytes] = []
-    starts, lengths = [], []
-    for t in texts:
-        words = words_of(t)
-        starts.append(len(tokens))
-        lengths.append(len(words) + 1)
-        tokens.append(END)
-        tokens += words
-        tokens.append(END)
-    return tokens, np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+def _sequence(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and counts of all texts' tokens with END before and after each; where each
+    text starts; lengths (words and one end)."""
+    words, n = _split(texts)
+    names = [*words.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
+    ids, counts = vocabulary.lookup(names)
+    lengths = n.astype(np.int64) + 1
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    place = np.full(int((lengths + 1).sum()), len(names) - 1)
+    body = np.ones(len(place), dtype=bool)
+    body[starts] = body[starts + lengths] = False
+    place[body] = np.asarray(words.indices)
+    return ids[place], counts[place], starts, lengths
 
 
 def _counted(node: np.ndarray, word: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -389,9 +419,10 @@ def _ngrams(train: DataFrame, model: Model, k: int, min_count: int) -> DataFrame
 
     def run(batches):
         levels, held, size = opened(model), [], 0
-        for _, texts in text_slices(batches, 2 << 20):
-            tokens, starts, _ = _sequence(texts)
-            ids, counts = levels[0].lookup(tokens)
+        for _, texts in text_slices(batches, SLICE):
+            if not texts:
+                continue
+            ids, counts, starts, _ = _sequence(levels[0], texts)
             first = np.zeros(len(ids), dtype=bool)
             first[starts] = True
             nodes = _nodes(levels[: k - 1], ids, first)
@@ -468,8 +499,7 @@ _SCORE = struct_of("n_tokens bigint, n_known bigint, base_score double, score do
 def score_texts(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     """n_tokens, n_known, base_score, score of each text."""
     levels = opened(model)
-    tokens, starts, lengths = _sequence(texts)
-    ids, counts = levels[0].lookup(tokens)
+    ids, counts, starts, lengths = _sequence(levels[0], texts)
     first = np.zeros(len(ids), dtype=bool)
     first[starts] = True
     p = (counts + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1))
@@ -499,7 +529,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = arrow_schema(out)
 
     def run(batches):
-        for rows, texts in text_slices(batches, 2 << 20):
+        for rows, texts in text_slices(batches, SLICE):
             if texts:
                 yield batch(schema, [*[rows.column(i) for i in range(len(keep))], *[pa.array(x) for x in score_texts(model, texts)]])
 

@@ -279,6 +279,28 @@ def test_trie_successors(small):
     assert (node >= 0).all() and (share > 0).all() and (left < 1).all()
 
 
+def test_words_and_searches_are_met_once(small, odd):
+    """Words of every kind as ``words_of`` gives them; a slice's searches are different and in order."""
+    texts = [r.text for r in small.limit(60).collect()] + [r.text for r in odd.collect()]
+    texts += ["".join(map(chr, range(1, 0x400))) * 2, " \tAÉ b\x0b\x0cc\x1c\x85d\xa0 ", "\r\n", "x", None]
+    words, n = ngram_lm._split(texts)
+    want = [ngram_lm.words_of(t) for t in texts]
+    assert n.tolist() == list(map(len, want)) and words.to_pylist() == [w for t in want for w in t]
+    assert [x.tolist() for x in ngram_lm._split([None])][1] == [0] and len(ngram_lm._split([])[1]) == 0
+    model = ngram_lm.train_model(small.limit(60))
+    vocab, level = ngram_lm.opened(model)
+    level.keys[:] = -1
+    met = []
+    search = level._search
+    level._search = lambda nodes, words: met.append(nodes * (model.n_words + 1) + words) or search(nodes, words)
+    scores = ngram_lm.score_texts(model, texts)
+    del level._search
+    assert len(met) == 1 and (np.diff(met[0]) > 0).all()
+    alone = [ngram_lm.score_texts(model, [t]) for t in texts]
+    for i, column in enumerate(scores):
+        assert np.allclose(column, [a[i][0] for a in alone], rtol=1e-12, atol=1e-9)
+
+
 def test_levels_are_searched_from_their_context(small, monkeypatch):
     """Numbers of successors that no 31 bits hold, without the table of searches, and codes
     that stay in the files' maps."""
