@@ -96,7 +96,9 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def text_slices(batches, max_chars: int = 8 << 20):
     """(batch slice, texts as str with null as None), at most about ``max_chars``
-    of text at a time, so that memory does not depend on how rows are batched."""
+    of text at a time, so that memory does not depend on how rows are batched.  What
+    Arrow's pool keeps of a batch's temporaries goes back to the system after it."""
+    pool = pa.default_memory_pool()
     for b in batches:
         column = b.column(b.schema.get_field_index("text"))
         sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64))
@@ -107,6 +109,7 @@ def text_slices(batches, max_chars: int = 8 << 20):
             part = b.slice(start, stop - start)
             yield part, column.slice(start, stop - start).to_pylist()
             start = stop
+        pool.release_unused()
 
 
 def quiet_env() -> None:

@@ -5,10 +5,11 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import counting, packing, sstable
+from tessera.llm import _shared, counting, packing, sstable
 from tessera.llm.tokens import WordEncoder
 
 
@@ -57,6 +58,18 @@ def test_words_of_any_characters(tokenizer, ids_of):
     assert enc.encode_batch([]) == [] and [x.tolist() for x in enc.encode_batch([None])] == [[]]
 
 
+def test_slices_give_memory_back(monkeypatch):
+    """After each batch, the last one too, Arrow's pool is asked for what it does not use."""
+    asked = []
+    pool = type("Pool", (), {"release_unused": lambda self: asked.append(len(seen))})()
+    monkeypatch.setattr(_shared.pa, "default_memory_pool", lambda: pool)
+    seen = []
+    batches = [pa.record_batch({"text": ["abc"] * 5}), pa.record_batch({"text": ["d", None]}), pa.record_batch({"text": pa.array([], pa.string())})]
+    for part, texts in _shared.text_slices(batches, 7):
+        seen += texts
+    assert seen == ["abc"] * 5 + ["d", None] and asked == [5, 7, 7]
+
+
 @pytest.mark.parametrize("table", ["odd", "small"])
 def test_packing(table, request, tokenizer, ids_of):
     docs = request.getfixturevalue(table)
