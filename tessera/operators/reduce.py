@@ -181,6 +181,43 @@ def long_scan(df: DataFrame, order: str, value: Column, block: int, out: str = "
     return b.join(base, "_b").withColumn(out, (F.col("_base") + F.sum("_x").over(inside))).drop("_b", "_x", "_base")
 
 
+#: Places of a line that one task scans.
+_SCAN_BLOCK = 1 << 17
+
+
+def wrapped_scan(df: DataFrame, keys: list[str], order: str, value: Column, type: ElementType, extent: int, out: str = "v") -> DataFrame:
+    """Running sums in an integer type along a whole-number ``order`` of up to ``extent``
+    places within each group; null from the first null value on.
+
+    64-bit values are summed as two halves, so that nothing overflows and no decimals are
+    needed.  A line of more than ``_SCAN_BLOCK`` places is cut into blocks: each is scanned
+    by itself and adds the sums of those before it."""
+    wide, mask = type.bits > 32, F.lit((1 << 32) - 1)
+    v = F.col("_x")
+    parts = {"_h": F.shiftright(v, 32), "_l": v.bitwiseAND(mask)} if wide else {"_l": v}
+    rows = df.withColumn("_x", wrap(value, I64) if wide and type.is_uint else value.cast("bigint"))
+    aggs = {k: F.sum(F.coalesce(c, F.lit(0).cast("bigint"))) for k, c in parts.items()} | {"_n": F.max(v.isNull())}
+    none = {k: F.lit(False) if k == "_n" else F.lit(0).cast("bigint") for k in aggs}
+    long = extent > _SCAN_BLOCK
+    if long:
+        rows = rows.withColumn("_b", F.floor(F.col(order) / _SCAN_BLOCK))
+        ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*keys, "_b").agg(*[a.alias(f"_s{k}") for k, a in aggs.items()])
+        base = sums.select(*keys, "_b", *[F.coalesce((F.max if k == "_n" else F.sum)(f"_s{k}").over(ahead), none[k]).alias(f"_a{k}") for k in aggs])
+    inside = Window.partitionBy(*keys, *(["_b"] if long else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[a.over(inside).alias(k) for k, a in aggs.items()])
+    got = {k: F.col(k) for k in aggs}
+    if long:
+        rows = rows.join(base, [*keys, "_b"])
+        got = {k: c | F.col(f"_a{k}") if k == "_n" else c + F.col(f"_a{k}") for k, c in got.items()}
+    if wide:
+        whole = F.shiftleft(got["_h"] + F.shiftright(got["_l"], 32), 32).bitwiseOR(got["_l"].bitwiseAND(mask))
+        whole = wrap(whole, type) if type.is_uint else whole
+    else:
+        whole = wrap(got["_l"], type)
+    return rows.select(*[c for c in df.columns if c != out], F.when(~got["_n"], whole).alias(out))
+
+
 def moving(a: ArrayTable, d, before: int, after: int, agg=F.sum, block: int = 4096) -> ArrayTable:
     """Aggregate over [x - before, x + after] along a dimension; ``agg`` may be a dict of
     result names and aggregates, computed in one pass.  A long dimension is cut

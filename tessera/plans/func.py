@@ -25,7 +25,7 @@ from ..functions import expr as E
 from ..functions.expr import Expr, Undef, cast, const
 from ..functions.types import F64, I32, ElementType
 from ..operators.halo import gather
-from ..operators.reduce import associative
+from ..operators.reduce import associative, wrapped_scan
 from ..operators.table import ArrayTable, domain
 from . import region as R
 from .region import Box, Range, box, interval, shift_of
@@ -785,6 +785,11 @@ class _Lowering:
         if reads:
             line, cols = self.points(table, dict(zip(dims, whole)), list(reads.values()))
             line = line.select(*dims, *vals, *[c.alias(f"_in{i}") for i, c in enumerate(cols)])
+        along = _running_sum(new, vals, f, at, up) if not conds and up is not None else None
+        if along is not None:
+            (k, own), = along[1].items()
+            e = own.column(lambda n: F.col(f"_in{next(x for x, r in reads.items() if r.same(n))}") if n.call is not None else None)
+            return self.running_sum(line.withColumn("_e", e), along[0], dims, vals, vals[k], f.values[k].type, (at, up), (rng, rng2), others)
         low = F.col(dims[up]) if up is not None else F.lit(0)
         fields = [F.col(dims[at]).alias("p"), low.alias("q"), *[F.col(v) for v in vals], *[F.col(f"_in{i}") for i in reads], *[F.col(d).alias(f"_d_{d}") for d in others]]
         lines = line.groupBy(*others, low.alias("_q")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_l"))
@@ -825,6 +830,69 @@ class _Lowering:
         return out.select(*moved, *vals)
 
 
+    @staticmethod
+    def running_sum(line: DataFrame, steps: tuple[bool, bool], dims, vals, v: str, t: ElementType, places: tuple[int, int], ranges: tuple[Range, Range], others: list[str]) -> DataFrame:
+        """Running sums of ``_e`` over the ranges, along one place or both, one after the
+        other, from what stands before the ranges on.
+
+        Sums along both start a line with the difference to the start of the line before."""
+        (p, q), (a, b) = [dims[i] for i in places], ranges
+        inside = F.col(p).between(a.min, a.max) & F.col(q).between(b.min, b.max)
+        rows = line.withColumn("_e", F.col("_e").cast(t.spark))
+        if steps[0]:
+            edge = F.col(p) == a.min - 1
+            # 64-bit differences wrap as sums do: the start before is a row of its own, of the opposite sign
+            cells = rows.select(*dims, *vals, F.when(edge, F.col(v)).when(inside, F.col("_e")).otherwise(F.lit(0).cast(t.spark)).alias("_e"), F.lit(True).alias("_real"))
+            if steps[1]:
+                keep = [c for c in cells.columns if c not in (q, "_e", "_real")]
+                cell = lambda y, e, real: F.struct(y.cast("int").alias(q), e.alias("_e"), F.lit(real).alias("_real"))
+                own, less = cell(F.col(q), F.col("_e"), True), cell(F.col(q) + 1, (E.const(0, t) - E.col(v, t)).column(), False)
+                cells = cells.select(*keep, F.inline(F.when(edge & (F.col(q) < b.max), F.array(own, less)).otherwise(F.array(own))))
+            rows = wrapped_scan(cells, [q, *others], p, F.col("_e"), t, a.extent + 1, "_e").where("_real").drop("_real")
+        if steps[1]:
+            start = F.when(F.col(q) == b.min - 1, F.col(v)).when(inside, F.col("_e")).otherwise(F.lit(0).cast(t.spark))
+            rows = wrapped_scan(rows.withColumn("_e", start), [p, *others], q, F.col("_e"), t, b.extent + 1, "_e")
+        return rows.select(*dims, *[F.when(inside, F.col("_e")).otherwise(F.col(v)).alias(x) if x == v else F.col(x) for x in vals])
+
+
+def _running_sum(new: dict[int, Expr], vals, f: Func, at: int, up: int):
+    """((along the fast variable, along the slow one), {value: what is added up}) if the one
+    updated value of a recurrence, whose reads of itself are named by their distances, is
+    the sum of that and of the values before it (less the one that both of those have in)."""
+    if len(new) != 1:
+        return None
+    (k, e), = new.items()
+    t = f.values[k].type
+    if t.is_float or t.is_bool:
+        return None
+    lags: dict[tuple[int, int], int] = {}
+    rest: list[tuple[int, Expr]] = []
+
+    def split(n: Expr, sign: int) -> None:
+        whole = not n.type.is_float and n.type.bits >= t.bits  # sums modulo more are sums modulo less
+        if whole and n.tag in ("add", "sub"):
+            split(n.args[0], sign)
+            split(n.args[1], sign if n.tag == "add" else -sign)
+        elif whole and (n.tag or "").startswith("cast:") and not n.args[0].type.is_float and n.args[0].type.bits >= t.bits:
+            split(n.args[0], sign)
+        elif n.name and n.name.startswith(f"_lag:{k}:") and not n.name.endswith(":0:0"):
+            a, b = (int(x) for x in n.name.split(":")[2:])
+            lags[a, b] = lags.get((a, b), 0) + sign
+        else:
+            rest.append((sign, n))
+
+    split(e, 1)
+    found = {frozenset({((-1, 0), 1)}): (True, False), frozenset({((0, -1), 1)}): (False, True), frozenset({((-1, 0), 1), ((0, -1), 1), ((-1, -1), -1)}): (True, True)}
+    steps = found.get(frozenset(lags.items()))
+    if steps is None or any(m.name and m.name.startswith("_lag:") and not m.name.endswith(":0:0") for _, n in rest for m in n.nodes()):
+        return None
+    own = None
+    for sign, n in rest:
+        n = cast(t, n.rebuild(lambda m: Expr(m.type, name=vals[int(m.name.split(":")[1])]) if m.name and m.name.startswith("_lag:") else None))
+        own = (n if sign > 0 else -n) if own is None else own + n if sign > 0 else own - n
+    return steps, {k: E.const(0, t) if own is None else own}
+
+
 def _associative(f: Func, u: Update):
     """({value: kind}, {value: expression}) if every updated value is old (op) e and e
     does not read f."""

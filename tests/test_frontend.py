@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.functions.types import F32, F64, I8, I16, I32, I64, U8
+from tessera.functions.types import F32, F64, I8, I16, I32, I64, U8, U32, U64
 from tessera.operators import halo, reduce
 from tessera.operators.table import ArrayTable, generate
 from tessera.plans import generator
@@ -249,6 +249,70 @@ def test_long_scans_scan_their_blocks_by_blocks(spark):
     assert [got[i] for i in range(5000)] == np.cumsum(np.arange(5000) % 17).tolist()
 
 
+def _sums_in_order(start, add, t, lags, fast, slow):
+    """What a loop over both ranges stores; null (None) where anything it adds is."""
+    f = dict(start)
+    for b in range(*slow):
+        for a in range(*fast):
+            parts = [add(a, b, f[a, b]), *[f[a + i, b + j] if s > 0 or f[a + i, b + j] is None else -f[a + i, b + j] for (i, j), s in lags.items()]]
+            f[a, b] = None if None in parts else (sum(parts) - t.min) % (1 << t.bits) + t.min
+    return f
+
+
+_BOTH = {(-1, 0): 1, (0, -1): 1, (-1, -1): -1}
+
+
+@pytest.mark.parametrize("block", [3, 1 << 17])
+@pytest.mark.parametrize("t, lags", [(I64, _BOTH), (U64, _BOTH), (U32, _BOTH), (I8, _BOTH), (I32, {(-1, 0): 1}), (I64, {(0, -1): 1})])
+def test_sums_over_both_coordinates_are_scans(spark, monkeypatch, t, lags, block):
+    """Whole numbers of any width wrap, ranges begin inside, and a gap in the input spreads."""
+    monkeypatch.setattr(reduce, "_SCAN_BLOCK", block)
+    big = t.max // 3
+    table = generate(spark, ("x", "y"), [9, 8], F.col("x") * 5 + F.col("y") * F.col("y"), I32)
+    img = Image(ArrayTable(table.df.where("not (x = 6 and y = 4)"), ("x", "y"), ("v",), (I32,), table.region))
+    f, r = Func(), RDom([(2, 6), (1, 5)])
+    f[x, y] = E.cast(t, x * 7 - y * y) + E.const(big, t)
+    e = f[r.x, r.y] - E.cast(t, img[r.x, r.y])
+    for (i, j), s in lags.items():
+        e = e + f[r.x + i, r.y + j] if s > 0 else e - f[r.x + i, r.y + j]
+    f[r.x, r.y] = e
+    got = f.realize([9, 8], spark)
+    wrapped = lambda v: (v - t.min) % (1 << t.bits) + t.min
+    start = {(a, b): wrapped(a * 7 - b * b + big) for a in range(-1, 9) for b in range(-1, 8)}
+    want = _sums_in_order(start, lambda a, b, old: None if (a, b) == (6, 4) else old - (a * 5 + b * b), t, lags, (2, 8), (1, 6))
+    assert values(got) == {k: v for k, v in want.items() if min(k) >= 0}
+    assert "collect_list" not in got.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_over_both_coordinates_of_each_layer(spark):
+    """The fast variable second, a pure one beside, nothing of the place's own, a wider sum cast back."""
+    c = Var("c")
+    f, r = Func(), RDom([(0, 5), (0, 4)])
+    f[y, c, x] = E.cast(I8, x * 3 + y * 20 + c)
+    f[r.y, c, r.x] = E.cast(I8, E.cast(I32, f[r.y, c, r.x - 1]) + f[r.y - 1, c, r.x] - f[r.y - 1, c, r.x - 1] + r.x * c)
+    got = f.realize([4, 3, 5], spark)
+    for k in range(3):
+        start = {(a, b): (a * 3 + b * 20 + k + 128) % 256 - 128 for a in range(-1, 5) for b in range(-1, 4)}
+        want = _sums_in_order(start, lambda a, b, old: a * k, I8, _BOTH, (0, 5), (0, 4))
+        assert {(a, b): v for (b, at, a), v in values(got).items() if at == k} == {p: v for p, v in want.items() if min(p) >= 0}
+    assert "collect_list" not in got.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_recurrences_over_both_coordinates_stay_folds(spark):
+    """Twice a value, a value ahead, a greatest: not running sums."""
+    forms = [lambda f, r: f[r.x - 1, r.y] * 2 + f[r.x, r.y - 1], lambda f, r: f[r.x - 1, r.y] + f[r.x + 1, r.y], lambda f, r: f[r.x - 1, r.y] + f[r.x, r.y - 1] + 1, lambda f, r: E.max_(f[r.x - 1, r.y] + 1, f[r.x, r.y - 1])]
+    steps = [lambda f, a, b: f[a - 1, b] * 2 + f[a, b - 1], lambda f, a, b: f[a - 1, b] + f[a + 1, b], lambda f, a, b: f[a - 1, b] + f[a, b - 1] + 1, lambda f, a, b: max(f[a - 1, b] + 1, f[a, b - 1])]
+    for form, step in zip(forms, steps):
+        f, r = Func(), RDom([(0, 4), (0, 3)])
+        f[x, y] = E.i64(x + y * 2)
+        f[r.x, r.y] = form(f, r)
+        want = {(a, b): a + b * 2 for a in range(-1, 5) for b in range(-1, 3)}
+        for b in range(3):
+            for a in range(4):
+                want[a, b] = step(want, a, b)
+        assert values(f.realize([4, 3], spark)) == {(a, b): want[a, b] for a in range(4) for b in range(3)}
+
+
 def test_in_place_steps_with_predicates(spark):
     f, r = Func(), RDom([(0, 10)])
     r.where(r.x % 3 != 1)
